@@ -26,7 +26,7 @@ SKETCH = 128
 #: Standard deviations that a sketch's count may fall short of its mean.
 SLACK = 5.0
 #: Passes in which one hub of each list meets the rest, before the rest meet each other.
-HUB_PASSES = 2
+HUB_PASSES = 1
 
 
 def _sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -160,7 +160,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
         if pairs.isEmpty():
-            break
+            continue
         tested = pairs if tested is None else tested.unionByName(pairs)
         found = materialize(_verified(pairs, reps, base, width, k, similarity), "links")
         links = found if links is None else links.unionByName(found)
