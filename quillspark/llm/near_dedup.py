@@ -22,7 +22,7 @@ from quillspark.llm import textvec
 from quillspark.llm.common import materialize, small, table
 from quillspark.llm.components import connected_components
 
-SKETCH = 128
+SKETCH = 256
 #: Standard deviations that a sketch's count may fall short of its mean.
 SLACK = 5.0
 #: Passes in which one hub of each list meets the rest, before the rest meet each other.
