@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quillspark.llm import bpe, exact_dedup, mixing, near_dedup, token_store
+from quillspark.llm import bpe, exact_dedup, html_text, mixing, near_dedup, token_store
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
     "op2_mix_sources": mixing.op2_mix_sources,
+    "op3_html_text": html_text.op3_html_text,
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_token_file": token_store.op6_token_file,
