@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.llm import bpe, exact_dedup, html_text, mixing, near_dedup, token_store
+from quillspark.llm import bpe, exact_dedup, html_text, media, mixing, near_dedup, quality, token_store, toxicity
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
@@ -11,6 +11,9 @@ QUERIES = {
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_token_file": token_store.op6_token_file,
+    "op7_quality": quality.op7_quality,
+    "op9_toxicity": toxicity.op9_toxicity,
+    "op10_media": media.op10_media,
 }
 
 ORACLES = {

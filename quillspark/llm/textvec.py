@@ -21,6 +21,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
+#: For words of letters and digits: other ASCII bytes separate.
+_NOT_LETTER = np.ones(256, bool)
+_NOT_LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64) | np.uint64(1)
 _BYTE_LOWERED = _BYTE[_LOWER]
 _PLACE = _rng.integers(0, 2**64, 16, dtype=np.uint64) | np.uint64(1)
@@ -65,12 +68,17 @@ def chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         first = last
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word, and for each text the number of its first word (one more than texts)."""
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, letters: bool = False, prefix: int = 0) -> tuple[np.ndarray, ...]:
+    """Hash of each word, and for each text the number of its first word (one more than texts).
+
+    letters: words are runs of ASCII letters, digits and bytes from 128. prefix: the hashes of that
+    many leading bytes come second.
+    """
     n = len(data)
+    none = np.zeros(0, np.uint64)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    space = _SPACE[data]
+        return (none, *[none] * bool(prefix), np.zeros(len(offsets), np.int64))
+    space = (_NOT_LETTER if letters else _SPACE)[data]
     begins = np.empty(n, bool)
     begins[0], begins[1:] = True, space[:-1]
     begins[offsets[:-1][offsets[:-1] < n]] = True
@@ -82,8 +90,12 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np
     sums = np.empty(n + 1, np.uint64)
     sums[0] = 0
     np.cumsum((_BYTE_LOWERED if lower else _BYTE)[data] * _power(_ODD, "up", n), out=sums[1:])
-    hashes = (sums[stops] - sums[starts]) * _power(_UNDO, "down", n + 1)[starts] + (stops - starts).astype(np.uint64)
-    return mix(hashes), np.searchsorted(starts, offsets)
+    undo = _power(_UNDO, "down", n + 1)[starts]
+
+    def hashed(to: np.ndarray) -> np.ndarray:
+        return mix((sums[to] - sums[starts]) * undo + (to - starts).astype(np.uint64))
+
+    return (hashed(stops), *[hashed(np.minimum(stops, starts + prefix))] * bool(prefix), np.searchsorted(starts, offsets))
 
 
 def shingles(hashes: np.ndarray, width: int) -> np.ndarray:

@@ -9,9 +9,9 @@ max_bits bits in one table and runs all checkpoints of a block side by side.
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +28,7 @@ STRIDE = 256
 BLOCK_IDS = 1 << 19
 CACHE_WORDS = 600_000
 
-_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|[^\w\s]+|_+")
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 #: Latin-1 spaces and number signs that this module leaves to the library.
 _NOT_PLAIN = "\x85\xa0\xaa\xb2\xb3\xb9\xba\xbc\xbd\xbe"
 _BLANKS = re.compile(r"[ \t\n\r\f\v]+")
@@ -116,6 +116,7 @@ class WordTokenizer:
     """The tokenizers library, asked once per distinct lower-case piece."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -132,7 +133,9 @@ class WordTokenizer:
         # Latin words split into pieces as the library would; it gets every other word whole
         cut, whole = {}, []
         for word in found:
-            if word.isascii():
+            if not word.isprintable():
+                whole.append(word)
+            elif word.isascii():
                 cut[word] = _PIECE.findall(word.lower())
             elif max(word) < "\u0250" and unicodedata.is_normalized("NFC", word) and "\u0130" not in word and not any(c in _NOT_PLAIN for c in word):
                 cut[word] = _PIECE.findall(word.lower())
