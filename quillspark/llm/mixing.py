@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import materialize, small, table
+from quillspark.llm.common import fresh, materialize, small, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -79,9 +79,10 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: fl
 
 def repeat_rows(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """docs with each row as often as its copies say (identifiers must be unique)."""
-    counts = mixed.where("copies > 0").select(F.col(id_col).alias("mix_id"), "copies")
-    rows = docs.join(counts, F.col(id_col).eqNullSafe(F.col("mix_id")))
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    mix_id, copies, copy = fresh(docs, "mix_id"), fresh(docs, "copies"), fresh(docs, "copy")
+    counts = mixed.where("copies > 0").select(F.col(id_col).alias(mix_id), F.col("copies").cast("int").alias(copies))
+    rows = docs.join(small(counts), F.col(id_col).eqNullSafe(F.col(mix_id)))
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _columns(df: DataFrame) -> list[Column]:

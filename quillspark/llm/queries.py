@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.llm import bpe, exact_dedup, html_text, media, mixing, near_dedup, quality, token_store, toxicity
+from quillspark.llm import bpe, exact_dedup, html_text, line_dedup, media, mixing, near_dedup, quality, token_store, toxicity
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_token_file": token_store.op6_token_file,
     "op7_quality": quality.op7_quality,
+    "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_media": media.op10_media,
 }
