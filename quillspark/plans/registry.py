@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillspark.plans import text_queries
+from quillspark.plans import inventory_queries, section_queries, text_queries
 
-MODULES = (text_queries,)
+MODULES = (text_queries, section_queries, inventory_queries)
 FLAGSHIP = "r1_hybrid_search"
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
