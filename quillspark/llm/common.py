@@ -42,6 +42,13 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def narrowed(df: DataFrame, ids: DataFrame, key: str, label: str, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows of df whose key is among ids: by broadcast if ids are few, else by one shuffle into a written table."""
+    if ids.limit(rows + 1).count() <= rows:
+        return df.join(F.broadcast(ids), key, "left_semi")
+    return materialize(df.join(ids, key, "left_semi"), label)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """name, or name with underscores if df has such a column (names clash whatever their case)."""
     taken = {c.lower() for c in df.columns}

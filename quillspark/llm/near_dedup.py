@@ -19,14 +19,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import textvec
-from quillspark.llm.common import materialize, small, table
+from quillspark.llm.common import materialize, narrowed, small, table
 from quillspark.llm.components import connected_components
 
-SKETCH = 256
+SKETCH = 224
 #: Standard deviations that a sketch's count may fall short of its mean.
-SLACK = 5.0
+SLACK = 4.0
+#: Values by which the mean of the shared values falls short where both sketches are cut.
+END_VALUES = 3.0
 #: Passes in which one hub of each list meets the rest, before the rest meet each other.
 HUB_PASSES = 1
+#: 64-bit words of the bitmap that filters pairs of the last pass.
+SIGNATURE = 16
 
 
 def _sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -71,17 +75,22 @@ def full_sets(docs: DataFrame, width: int = 5) -> DataFrame:
 def _needed(n_a: Column, n_b: Column, k: int, similarity: float) -> Column:
     """Values that the sketches of two similar sets must share, all but certainly; exactly if both sketches are whole."""
     large, both = F.greatest(n_a, n_b), n_a + n_b
-    share = similarity / (1 + similarity)
-    slack = F.lit(SLACK) * F.lit(sqrt(k * similarity * (1 - similarity))) * F.sqrt(1 - F.least(F.lit(1.0), F.lit(float(k)) * similarity / large))
-    return F.when(large <= k, share * both).otherwise(share * both * F.lit(float(k)) / large - slack)
+    common = similarity / (1 + similarity) * both  # of two sets that are just similar enough
+    # drawing k of large without replacement; the ends of two sketches differ, which costs a few values more
+    spread = F.sqrt(F.lit(float(k)) * common / large * (1 - common / large) * F.greatest(F.lit(0.0), 1 - F.lit(float(k)) / large))
+    return F.when(large <= k, common).otherwise(common * F.lit(float(k)) / large - SLACK * spread - END_VALUES)
 
 
-def _postings(reps: DataFrame, k: int, similarity: float) -> DataFrame:
-    """(value, rep, n, left): the listed values of each sketch; left counts shared values from this one on."""
-    values = reps.select("rep", "n", F.explode("sketch").alias("value"))
+def _ranked(reps: DataFrame) -> DataFrame:
+    """(rep, n, ranked): the values of each sketch that others retain too, rarest first."""
+    values = reps.select("rep", F.explode("sketch").alias("value"))
     counts = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    shared = values.join(counts, "value")
-    ranked = shared.groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("ranked"))
+    ranked = values.join(counts, "value").groupBy("rep").agg(F.sort_array(F.collect_set(F.struct("df", "value"))).alias("ranked"))
+    return ranked.join(reps.select("rep", "n").distinct(), "rep").select("rep", "n", "ranked")
+
+
+def _postings(ranked: DataFrame, k: int, similarity: float) -> DataFrame:
+    """(value, rep, n, left): the listed values of each sketch; left counts shared values from this one on."""
     # the smallest similar partner has similarity * n shingles
     least = F.ceil(_needed(F.col("n").cast("double"), F.ceil(F.col("n") * F.lit(similarity)).cast("double"), k, similarity) - 1e-9)
     ranked = ranked.withColumn("listed", F.size("ranked") - F.greatest(least, F.lit(1)) + 1).where("listed > 0")
@@ -89,8 +98,19 @@ def _postings(reps: DataFrame, k: int, similarity: float) -> DataFrame:
     return each.select(F.col("col.value").alias("value"), "rep", "n", (F.col("total") - F.col("pos")).alias("left"))
 
 
+def _signatures(ranked: DataFrame) -> DataFrame:
+    """(rep, n, total, g0..): a bitmap of the shared values. Two sets differ in at least as many values as their bitmaps in bits."""
+    words = [
+        F.expr(f"aggregate(filter(ranked, x -> (x.value & {SIGNATURE - 1}) = {w}), 0L, (bits, x) -> bits | shiftleft(1L, cast(shiftright(x.value, 8) & 63 as int)))").alias(f"g{w}")
+        for w in range(SIGNATURE)
+    ]
+    return ranked.select("rep", "n", F.size("ranked").alias("total"), *words)
+
+
 def _verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, width: int, k: int, similarity: float) -> DataFrame:
     """The pairs (a, b) that are similar: by union sketches first, by full sets then."""
+    ids = materialize(pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct(), "paired")
+    sketches = narrowed(sketches, ids, "rep", "paired-sketches")
     left = sketches.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
     right = sketches.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
     rows = pairs.join(right, "b").join(left, "a")
@@ -99,8 +119,10 @@ def _verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, width: int
     union = F.when(whole, F.array_union("s_a", "s_b")).otherwise(union)
     hits = F.when(whole, F.size(F.array_intersect("s_a", "s_b"))).otherwise(F.size(F.array_intersect(F.array_intersect(union, F.col("s_a")), F.col("s_b"))))
     rows = rows.select("a", "b", "n_a", "n_b", whole.alias("whole"), F.size(union).alias("union"), hits.alias("hits"))
-    slack = SLACK * sqrt(similarity * (1 - similarity) / k)
-    enough = F.when(F.col("whole"), F.col("hits") * 100 >= F.lit(round(similarity * 100)) * F.col("union")).otherwise(F.col("hits") >= F.lit(similarity - slack) * F.col("union"))
+    # a union sketch is k of the union's shingles, drawn without replacement
+    every = (F.col("n_a") + F.col("n_b")) / (1 + similarity)
+    slack = (SLACK + 1) * sqrt(similarity * (1 - similarity) / k) * F.sqrt(F.greatest(F.lit(0.0), 1 - F.lit(float(k)) / every))
+    enough = F.when(F.col("whole"), F.col("hits") * 100 >= F.lit(round(similarity * 100)) * F.col("union")).otherwise(F.col("hits") >= (F.lit(similarity) - slack) * F.col("union") - 1e-6)
     rows = materialize(rows.where(enough), "candidates")
     sure = rows.where("whole").select("a", "b")
     rest = rows.where("not whole").select("a", "b", "n_a", "n_b")
@@ -133,7 +155,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = sketches.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "set_a", "set_b", "sketch").dropDuplicates(["rep", "n", "set_a", "set_b"])
     # one row per class; two classes can have one representative only where identifiers repeat
     reps = materialize(keyed.join(firsts, ["rep", "n", "set_a", "set_b"], "left_semi").drop("set_a", "set_b"), "reps")
-    lists = materialize(_postings(reps, k, similarity), "postings")
+    ranked = materialize(_ranked(reps), "ranked")
+    lists = materialize(_postings(ranked, k, similarity), "postings")
 
     links = None
     tested = None
@@ -151,9 +174,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             near = open_lists.join(hub, "value").where((F.col("label") != F.col("hub_label")) & (F.least("left", "hub_left") >= _needed(F.col("n").cast("double"), F.col("hub_n").cast("double"), k, similarity) - 1e-9))
             pairs = near.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
         else:
-            rest = materialize(open_lists.join(apart.select("value"), "value", "left_semi"), "rest")
-            other = rest.select("value", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("left").alias("left_b"), F.col("label").alias("label_b"))
-            met = rest.join(other, (rest["value"] == other["value"]) & (rest["rep"] < other["b"]) & (rest["label"] != other["label_b"]) & (F.least(rest["left"], other["left_b"]) >= _needed(rest["n"].cast("double"), other["n_b"].cast("double"), k, similarity) - 1e-9))
+            open_lists = open_lists.join(apart.select("value"), "value", "left_semi")
+            rest = materialize(open_lists.join(_signatures(ranked), ["rep", "n"]), "rest")
+            other = rest.select("value", *[F.col(c).alias(f"{c}_b") for c in rest.columns if c != "value"])
+            differ = sum((F.bit_count(F.col(f"g{w}").bitwiseXOR(F.col(f"g{w}_b"))) for w in range(SIGNATURE)), F.lit(0))
+            needed = _needed(F.col("n").cast("double"), F.col("n_b").cast("double"), k, similarity) - 1e-9
+            met = rest.join(other, "value").where((F.col("rep") < F.col("rep_b")) & (F.col("label") != F.col("label_b")) & (F.least("left", "left_b") >= needed) & (F.col("total") + F.col("total_b") - differ >= 2 * needed))
+            met = met.withColumnRenamed("rep_b", "b")
             pairs = met.select(F.col("rep").alias("a"), "b")
         pairs = pairs.distinct()
         if tested is not None:
