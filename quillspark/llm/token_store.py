@@ -26,12 +26,15 @@ from quillspark.llm.common import materialize, table
 STRIDE = 256
 #: Ids after which a block ends, at the end of a document.
 BLOCK_IDS = 1 << 19
-CACHE_WORDS = 600_000
+#: Pieces kept per Python worker; beyond it their memory starts afresh.
+CACHE_PIECES = 800_000
+#: Pieces that the library gets in one call.
+ASK_PIECES = 2000
 
-_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
-#: Latin-1 spaces and number signs that this module leaves to the library.
-_NOT_PLAIN = "\x85\xa0\xaa\xb2\xb3\xb9\xba\xbc\xbd\xbe"
-_BLANKS = re.compile(r"[ \t\n\r\f\v]+")
+#: Pieces of lower-case Latin text, as the vocabulary's own pattern cuts it.
+_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\u017f]+|[0-9]|[^\\s0-9a-z\xdf-\xf6\xf8-\u017f]+")
+#: Characters whose texts go to the library whole: controls, odd spaces, number signs, other scripts.
+_OTHER = re.compile("[\x00-\x08\x0e-\x1f\x7f-\xa0\xaa\xad\xb2\xb3\xb5\xb9\xba\xbc-\xbe\u0130\u0180-\U0010ffff]")
 
 
 def code_lengths(counts: np.ndarray, max_bits: int) -> np.ndarray:
@@ -113,75 +116,82 @@ class HuffmanCode:
 
 
 class WordTokenizer:
-    """The tokenizers library, asked once per distinct lower-case piece."""
+    """The tokenizers library, asked once per distinct piece of Latin text, and for other texts whole."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, dtype: str = "<u4"):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.words: dict[str, np.ndarray] = {}
+        self.dtype = dtype
         self.pieces: dict[str, bytes] = {}
 
-    def _ask(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _learn(self, found: set[str]) -> None:
-        if len(self.words) + len(found) > CACHE_WORDS:
-            self.words.clear()
-        # Latin words split into pieces as the library would; it gets every other word whole
-        cut, whole = {}, []
-        for word in found:
-            if not word.isprintable():
-                whole.append(word)
-            elif word.isascii():
-                cut[word] = _PIECE.findall(word.lower())
-            elif max(word) < "\u0250" and unicodedata.is_normalized("NFC", word) and "\u0130" not in word and not any(c in _NOT_PLAIN for c in word):
-                cut[word] = _PIECE.findall(word.lower())
-            else:
-                whole.append(word)
-        if len(self.pieces) > CACHE_WORDS:
-            self.pieces.clear()
-        fresh = list(set().union(*cut.values()).difference(self.pieces))
-        self.pieces.update(zip(fresh, self._ask(fresh), strict=True))
-        for word, parts in cut.items():
-            self.words[word] = b"".join([self.pieces[p] for p in parts])
-        self.words.update(zip(whole, self._ask(whole), strict=True))
+    def _ids(self, texts: list[str]) -> list:
+        return self.tokenizer.encode_batch(texts, add_special_tokens=False)
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes() for e in self._ids(texts)]
+
+    def _learn(self, found: list[str]) -> None:
+        for at in range(0, len(found), ASK_PIECES):
+            part = found[at : at + ASK_PIECES]
+            answer = self._ids([" ".join(part)])[0]
+            word = np.array(answer.word_ids)
+            if len(word) and word[-1] + 1 == len(part):
+                raw = np.array(answer.ids, self.dtype)
+                cuts = np.searchsorted(word, np.arange(1, len(part)))
+                self.pieces.update(zip(part, [x.tobytes() for x in np.split(raw, cuts)], strict=True))
+            else:  # pieces that the library cuts otherwise beside each other
+                self.pieces.update(zip(part, self.whole(part), strict=True))
 
     def encode_batch(self, texts: list[str], end: bytes) -> list[bytes]:
-        cut = [_BLANKS.split(t) for t in texts]
+        plain = [not _OTHER.search(t) and (t.isascii() or unicodedata.is_normalized("NFC", t)) for t in texts]
+        cut = [_PIECE.findall(t.lower()) if p else [] for t, p in zip(texts, plain, strict=True)]
         every: set[str] = set()
-        for w in cut:
-            every.update(w)
-        missing = every.difference(self.words)
-        self._learn(every if len(self.words) + len(missing) > CACHE_WORDS else missing)
-        words = self.words
-        return [b"".join([words[x] for x in w]) + end for w in cut]
+        for pieces in cut:
+            every.update(pieces)
+        missing = every.difference(self.pieces)
+        if len(self.pieces) + len(missing) > CACHE_PIECES:
+            self.pieces.clear()
+            missing = every
+        self._learn(list(missing))
+        known = self.pieces
+        out = [b"".join([known[x] for x in pieces]) + end for pieces in cut]
+        odd = [i for i, p in enumerate(plain) if not p]
+        for i, ids in zip(odd, self.whole([texts[i] for i in odd]), strict=True):
+            out[i] = ids + end
+        return out
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
 
 
-def _tokenizer(path: str) -> WordTokenizer:
-    if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
-    return _tokenizers[path]
+def _tokenizer(path: str, dtype: str) -> WordTokenizer:
+    if path + dtype not in _tokenizers:
+        _tokenizers[path + dtype] = WordTokenizer(path, dtype)
+    return _tokenizers[path + dtype]
 
 
-def token_ids(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """(doc_id, text) to (doc_id, n_tokens, ids): little-endian unsigned 32-bit integers, with the end id."""
-    end = int(end_id).to_bytes(4, "little")
+def id_type(vocabulary: int) -> str:
+    """Little-endian integers that hold every id, for tables on the way."""
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
+
+
+def token_ids(docs: DataFrame, path: str, vocabulary: int, end_id: int) -> DataFrame:
+    """(doc_id, text) to (doc_id, ids): integers of id_type, with the end id."""
+    dtype = id_type(vocabulary)
+    end = np.array([end_id], dtype).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(path)
+        tokenizer = _tokenizer(path, dtype)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 ids = tokenizer.encode_batch([x or "" for x in part.column(1).to_pylist()], end)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
-    return docs.mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return docs.mapInArrow(run, "doc_id long, ids binary")
 
 
 def id_counts(tokens: DataFrame, vocabulary: int) -> np.ndarray:
@@ -189,9 +199,10 @@ def id_counts(tokens: DataFrame, vocabulary: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary, np.int64)
+        dtype = id_type(vocabulary)
         for batch in batches:
             for value in batch.column(0):
-                total += np.bincount(np.frombuffer(value.as_py(), "<u4"), minlength=vocabulary)
+                total += np.bincount(np.frombuffer(value.as_py(), dtype), minlength=vocabulary)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), pa.array(total[used])], ["id", "n"])
 
@@ -201,7 +212,7 @@ def id_counts(tokens: DataFrame, vocabulary: int) -> np.ndarray:
     return counts
 
 
-BLOCK_SCHEMA = "shard int, block int, doc_ids array<long>, sizes array<long>, n_ids long, checkpoints array<long>, packed binary"
+BLOCK_SCHEMA = "shard int, block int, before long, doc_ids array<long>, sizes array<long>, n_ids long, checkpoints array<long>, packed binary"
 
 
 def write_token_file(docs: DataFrame, path: str, vocabulary: int, end_id: int, max_bits: int = 16, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, np.ndarray]:
@@ -209,10 +220,11 @@ def write_token_file(docs: DataFrame, path: str, vocabulary: int, end_id: int, m
 
     Null texts count as empty, and each document gets the end id, so no document is without ids.
     Equal doc_ids (and null ones, which come first) stand in the order of their ids. An empty table
-    gives no blocks. Other columns are ignored. shard and block number the blocks in file order.
+    gives no blocks. Other columns are ignored. shard and block number the blocks in file order; before
+    counts the ids of the shard's earlier blocks.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    tokens = materialize(token_ids(base, path, end_id), "token-ids")
+    tokens = materialize(token_ids(base, path, vocabulary, end_id), "token-ids")
     lengths = code_lengths(id_counts(tokens, vocabulary), max_bits)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(lengths)
@@ -222,21 +234,22 @@ def write_token_file(docs: DataFrame, path: str, vocabulary: int, end_id: int, m
         from pyspark import TaskContext
 
         code, shard, block = HuffmanCode(shared.value), TaskContext.get().partitionId(), 0
-        doc_ids, pending, n = [], [], 0
+        dtype = np.dtype(id_type(vocabulary))
+        doc_ids, pending, n, before = [], [], 0, 0
 
         def flush() -> pd.DataFrame:
-            ids = np.frombuffer(b"".join(pending), "<u4").astype(np.int64)
+            ids = np.frombuffer(b"".join(pending), dtype).astype(np.int64)
             packed, checkpoints = code.encode(ids)
-            return pd.DataFrame([(shard, block, doc_ids, [len(x) // 4 for x in pending], len(ids), checkpoints.tolist(), packed)], columns=["shard", "block", "doc_ids", "sizes", "n_ids", "checkpoints", "packed"])
+            return pd.DataFrame([(shard, block, before, doc_ids, [len(x) // dtype.itemsize for x in pending], len(ids), checkpoints.tolist(), packed)], columns=["shard", "block", "before", "doc_ids", "sizes", "n_ids", "checkpoints", "packed"])
 
         for frame in frames:
             for doc_id, ids in zip(frame["doc_id"].astype(object), frame["ids"], strict=True):
                 doc_ids.append(None if pd.isna(doc_id) else int(doc_id))
                 pending.append(ids)
-                n += len(ids) // 4
+                n += len(ids) // dtype.itemsize
                 if n >= BLOCK_IDS:
                     yield flush()
-                    doc_ids, pending, n, block = [], [], 0, block + 1
+                    doc_ids, pending, n, block, before = [], [], 0, block + 1, before + n
         if pending:
             yield flush()
 
@@ -251,11 +264,8 @@ def read_token_file(blocks: DataFrame, lengths: np.ndarray) -> DataFrame:
     # one number per shard is summed on the driver, as many as the file has parts
     shards = sorted((r["shard"], r["n"]) for r in blocks.groupBy("shard").agg(F.sum("n_ids").alias("n")).collect())
     sums = np.concatenate(([0], np.cumsum([n for _, n in shards]))).tolist()
-    before = spark.createDataFrame([(s, int(b)) for (s, _), b in zip(shards, sums, strict=False)], "in_shard int, shard_start long")
-    from pyspark.sql import Window
-
-    run_sum = F.sum("n_ids").over(Window.partitionBy("shard").orderBy("block"))
-    placed = blocks.join(F.broadcast(before), F.col("shard") == F.col("in_shard")).withColumn("first", F.col("shard_start") + run_sum - F.col("n_ids"))
+    starts = spark.createDataFrame([(s, int(b)) for (s, _), b in zip(shards, sums, strict=False)], "in_shard int, shard_start long")
+    placed = blocks.join(F.broadcast(starts), F.col("shard") == F.col("in_shard")).withColumn("first", F.col("shard_start") + F.col("before"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = HuffmanCode(shared.value)
