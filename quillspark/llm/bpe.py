@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import table
 
 #: Pieces kept per Python worker; beyond it the memory of pieces starts afresh.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 250_000
 #: Bytes of the matrices of one merging step.
-TREE_CELLS = 4_000_000
+TREE_CELLS = 400_000
 
 _NONE = np.int64(2**62)
 #: A space between two visible characters: pieces never reach over it, nor look past it.
@@ -203,7 +203,7 @@ def tokenizer(path: str, pattern: str) -> ByteBPE:
     return _loaded[path, pattern]
 
 
-def _groups(batch: pa.RecordBatch, most: int = 4_000_000) -> Iterator[tuple[int, list[str]]]:
+def _groups(batch: pa.RecordBatch, most: int = 1_500_000) -> Iterator[tuple[int, list[str]]]:
     """Rows of a batch in groups of bounded text; nulls are empty."""
     group, chars, first = [], 0, 0
     for i, value in enumerate(batch.column(1)):
