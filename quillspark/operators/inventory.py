@@ -64,9 +64,12 @@ def containment(texts: DataFrame, terms: DataFrame, small_rows: int = SMALL_DICT
     # at most KEY_CHARS different lengths
     lengths = sorted(r[0] for r in keyed.select(F.length("window")).distinct().collect())
     body = texts.select("id", F.lower("text").alias("body"))
-    windows = F.array_distinct(F.flatten(F.array(*[
-        F.when(F.length("body") >= n, F.transform(F.sequence(F.lit(1), F.length("body") - n + 1), lambda i, n=n: F.substr("body", i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in lengths
-    ])))
+
+    def windows_of(n: int) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.length("body") - n + 1), lambda i: F.substr("body", i, F.lit(n)))
+        return F.when(F.length("body") >= n, every).otherwise(F.array().cast("array<string>"))
+
+    windows = F.array_distinct(F.flatten(F.array(*[windows_of(n) for n in lengths])))
     hits = body.select("id", F.explode(windows).alias("window")).join(keyed, "window")
     long = hits.where(F.length("low") > KEY_CHARS).select("id", "term", "low")
     checked = long.join(body, "id").where(F.contains("body", "low")).select("id", "term")
