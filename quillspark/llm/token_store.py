@@ -27,7 +27,9 @@ STRIDE = 256
 #: Ids after which a block ends, at the end of a document.
 BLOCK_IDS = 1 << 19
 #: Pieces kept per Python worker; beyond it their memory starts afresh.
-CACHE_PIECES = 800_000
+CACHE_PIECES = 1_200_000
+#: How the vocabulary marks the last token of a piece.
+WORD_END = "</w>"
 #: Pieces that the library gets in one call.
 ASK_PIECES = 2000
 
@@ -124,7 +126,10 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.dtype = dtype
+        self.dtype = np.dtype(dtype)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
         self.pieces: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list:
@@ -136,12 +141,11 @@ class WordTokenizer:
     def _learn(self, found: list[str]) -> None:
         for at in range(0, len(found), ASK_PIECES):
             part = found[at : at + ASK_PIECES]
-            answer = self._ids([" ".join(part)])[0]
-            word = np.array(answer.word_ids)
-            if len(word) and word[-1] + 1 == len(part):
-                raw = np.array(answer.ids, self.dtype)
-                cuts = np.searchsorted(word, np.arange(1, len(part)))
-                self.pieces.update(zip(part, [x.tobytes() for x in np.split(raw, cuts)], strict=True))
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.dtype)
+            cuts = (self.dtype.itemsize * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cuts) == len(part):
+                raw = ids.tobytes()
+                self.pieces.update(zip(part, [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)], strict=True))
             else:  # pieces that the library cuts otherwise beside each other
                 self.pieces.update(zip(part, self.whole(part), strict=True))
 
@@ -201,8 +205,7 @@ def id_counts(tokens: DataFrame, vocabulary: int) -> np.ndarray:
         total = np.zeros(vocabulary, np.int64)
         dtype = id_type(vocabulary)
         for batch in batches:
-            for value in batch.column(0):
-                total += np.bincount(np.frombuffer(value.as_py(), dtype), minlength=vocabulary)
+            total += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype), minlength=vocabulary)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), pa.array(total[used])], ["id", "n"])
 
@@ -253,7 +256,7 @@ def write_token_file(docs: DataFrame, path: str, vocabulary: int, end_id: int, m
         if pending:
             yield flush()
 
-    ordered = tokens.select("doc_id", "ids").repartitionByRange(parts, "doc_id", "ids").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
+    ordered = tokens.select("doc_id", "ids").repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
     return materialize(ordered.mapInPandas(run, BLOCK_SCHEMA), "token-file", codec="none"), lengths
 
 
