@@ -91,8 +91,10 @@ def _ranked(reps: DataFrame) -> DataFrame:
 
 def _postings(ranked: DataFrame, k: int, similarity: float) -> DataFrame:
     """(value, rep, n, left): the listed values of each sketch; left counts shared values from this one on."""
-    # the smallest similar partner has similarity * n shingles
-    least = F.ceil(_needed(F.col("n").cast("double"), F.ceil(F.col("n") * F.lit(similarity)).cast("double"), k, similarity) - 1e-9)
+    # partners have from similarity * n to n / similarity shingles; between these ends the need rises and then falls, so one of them needs least
+    n = F.col("n").cast("double")
+    ends = F.ceil(n * F.lit(similarity) - 1e-9), F.floor(n / F.lit(similarity) + 1e-9)
+    least = F.ceil(F.least(*[_needed(n, m.cast("double"), k, similarity) for m in ends]) - 1e-9)
     ranked = ranked.withColumn("listed", F.size("ranked") - F.greatest(least, F.lit(1)) + 1).where("listed > 0")
     each = ranked.select("rep", "n", F.size("ranked").alias("total"), F.posexplode(F.slice("ranked", F.lit(1), F.col("listed").cast("int"))))
     return each.select(F.col("col.value").alias("value"), "rep", "n", (F.col("total") - F.col("pos")).alias("left"))

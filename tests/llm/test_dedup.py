@@ -56,6 +56,18 @@ def test_near_duplicates_match_brute_force(spark):
         assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_near_duplicates_inside_longer_versions(spark):
+    rows = []
+    for n in (200, 212, 216, 220, 224, 228, 232, 240):
+        for m in (n * 4 // 3, n * 4 // 3 - 4):
+            for _ in range(6):
+                i = len(rows)
+                words = [f"w{i}n{j}" for j in range(m + 4)]  # m shingles, of which the shorter text has n
+                rows += [(i, " ".join(words[: n + 4]), "s"), (i + 1, " ".join(words), "s")]
+    got = near_dedup.near_duplicates(docs_of(spark, rows)).collect()
+    assert [r.doc_id for r in got if r.component_id != r.doc_id // 2 * 2] == []
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_dedup.near_duplicates(docs_of(spark, [])).collect() == []
     got = near_dedup.near_duplicates(docs_of(spark, [(None, "a b c d e f", None)])).first()
