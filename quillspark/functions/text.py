@@ -168,9 +168,13 @@ def unwrap_fence(col: Column) -> Column:
 
 def bigrams(col: Column) -> Column:
     """Distinct character pairs without white space; a single character is its own gram."""
-    text = F.regexp_replace(F.lower(col), r"(?U)\s+", "")
-    pairs = F.when(F.length(text) > 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.substr(text, i, F.lit(2)))))
-    return pairs.when(F.length(text) == 1, F.array(text)).otherwise(F.array().cast("array<string>"))
+    def pairs(text: Column) -> Column:
+        found = F.when(F.length(text) > 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.substr(text, i, F.lit(2)))))
+        return found.when(F.length(text) == 1, F.array(text)).otherwise(F.array().cast("array<string>"))
+
+    # bound as a variable, the text is cleaned once and not again for each pair; a null text has no grams
+    cleaned = F.coalesce(F.regexp_replace(F.lower(col), r"(?U)\s+", ""), F.lit(""))
+    return F.get(F.transform(F.array(cleaned), pairs), F.lit(0))
 
 
 def dice(a: Column, b: Column) -> Column:
@@ -179,7 +183,17 @@ def dice(a: Column, b: Column) -> Column:
     return F.when(total > 0, 2.0 * F.size(F.array_intersect(a, b)) / total).otherwise(0.0)
 
 
+def ratio_may_reach(a: Column, b: Column, least: float) -> Column:
+    """False only where sequence_ratio is below least: by the lengths, then by the characters in common, each as often as both have it."""
+    n_a, n_b = F.length(a), F.length(b)
+    chars = F.array_distinct(F.split(a, ""))
+    times = lambda text, n, c: n - F.length(F.replace(text, c, F.lit("")))
+    common = F.aggregate(chars, F.lit(0), lambda s, c: s + F.least(times(a, n_a, c), times(b, n_b, c)))
+    near = F.least(n_a, n_b) * (2 - least) >= least * F.greatest(n_a, n_b) - 1e-9
+    return F.when((n_a > 0) & (n_b > 0) & near, 2.0 * common >= least * (n_a + n_b) - 1e-9).otherwise(False)
+
+
 @F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratio of matching blocks; meant for pairs that a Dice or length filter left over."""
+    """Ratio of matching blocks; meant for pairs that ratio_may_reach left over."""
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype="float64")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.operators.questions import LIKE_QUESTION
 from quillspark.plans.fixtures import sql_clean, sql_compact, sql_strip, sql_strip_heading, table
 
 LETTERS = r"[\p{L}]+"
@@ -104,14 +105,16 @@ def p14_bigram_dice(spark, sf_dir):
 
 
 def p15_sequence_ratio(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next_text"))
-    # a ratio of t needs a length ratio of t / (2 - t); most pairs end there, before any Python
-    near = F.least(F.length("text"), F.length("next_text")) >= 0.754 * F.greatest(F.length("text"), F.length("next_text"))
-    pairs = turns.join(after, ["conv_id", "turn"]).where(near).withColumn("d", T.dice(T.bigrams(F.col("text")), T.bigrams(F.col("next_text")))).where("d >= 0.6")
+    """Neighbours of one conversation that are alike: all from LIKE_QUESTION on, and those with a Dice value of 0.6 on."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", T.strip(F.col("text")).alias("text"), T.bigrams(F.col("text")).alias("grams"))
+    after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next_text"), F.col("grams").alias("next_grams"))
+    pairs = turns.join(after, ["conv_id", "turn"]).withColumn("d", T.dice(F.col("grams"), F.col("next_grams")))
+    # most pairs end here, before any Python
+    pairs = pairs.where((F.col("d") >= 0.6) | T.ratio_may_reach(F.col("text"), F.col("next_text"), LIKE_QUESTION))
     return pairs.select("conv_id", "turn", F.greatest("d", T.sequence_ratio("text", "next_text")).alias("similarity"))
 
 
+
 QUERIES = {f.__name__: f for f in (
     p1_clean_text, p2_normalize_query, p3_char_ngrams, p4_token_set, p5_strip_heading_prefix, p6_canonical_term, p7_title_terms, p8_first_meaningful_line,
     p9_window_at_keyword, p10_term_type, p11_truncate_at_boundary, p12_citations, p13_unwrap_fence, p14_bigram_dice, p15_sequence_ratio,
