@@ -26,6 +26,8 @@ from quillspark.llm.common import table
 CACHE_PIECES = 250_000
 #: Bytes of the matrices of one merging step.
 TREE_CELLS = 400_000
+#: Bytes beyond which a piece is merged on its own, as few others share its length.
+LONG_PIECE = 128
 
 _NONE = np.int64(2**62)
 #: A space between two visible characters: pieces never reach over it, nor look past it.
@@ -72,6 +74,7 @@ class ByteBPE:
         order = np.argsort(np.array(keys, np.int64), kind="stable")
         self.pair_keys = np.array(keys, np.int64)[order]
         self.pair_ranks = np.array(values, np.int64)[order]
+        self.pair_table: dict[int, int] = {}
         self.spaced: dict[str, bytes] = {}
         self.bare: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
@@ -94,6 +97,10 @@ class ByteBPE:
             elif piece:
                 by_width.setdefault(1 << (len(piece) - 1).bit_length(), []).append(i)
         for width, group in by_width.items():
+            if width > LONG_PIECE:
+                for i in group:
+                    out[i] = self._merge_long(pieces[i], width)
+                continue
             rows = max(1, TREE_CELLS // width)
             for at in range(0, len(group), rows):
                 part = group[at : at + rows]
@@ -143,6 +150,49 @@ class ByteBPE:
         ends = 4 * np.cumsum((ids >= 0).sum(1))
         return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
+    def _merge_long(self, piece: bytes, width: int) -> bytes:
+        """One long piece with a tree of its own: every merge costs three paths to the root."""
+        if not self.pair_table:
+            self.pair_table = dict(zip(self.pair_keys.tolist(), self.pair_ranks.tolist(), strict=True))
+        n, none, pairs = len(piece), int(_NONE), self.pair_table
+        first = self.single[np.frombuffer(piece, np.uint8)]
+        if (first < 0).any():
+            raise ValueError("the vocabulary lacks a single byte that a text has")
+        leaves = np.full(2 * width, _NONE)
+        leaves[width : width + n - 1] = self._leaf(first[:-1], first[1:], np.arange(n - 1), width)
+        level = width
+        while level > 1:
+            leaves[level // 2 : level] = np.minimum(leaves[level : 2 * level : 2], leaves[level + 1 : 2 * level : 2])
+            level //= 2
+        tree, ids = leaves.tolist(), first.tolist()
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+
+        def update(node: int, leaf: int) -> None:
+            tree[node] = leaf
+            node >>= 1
+            while node:
+                left, right = tree[2 * node], tree[2 * node + 1]
+                least = left if left < right else right
+                if tree[node] == least:
+                    return
+                tree[node] = least
+                node >>= 1
+
+        while tree[1] < none:
+            rank, at = divmod(tree[1], width)
+            gone = after[at]
+            far, near = after[gone], before[at]
+            ids[at], ids[gone], after[at] = rank, -1, far
+            if far < n:
+                before[far] = at
+            update(width + gone, none)
+            found = pairs.get(rank << 32 | ids[far]) if far < n else None
+            update(width + at, none if found is None else found * width + at)
+            if near >= 0:
+                found = pairs.get(ids[near] << 32 | rank)
+                update(width + near, none if found is None else found * width + near)
+        return np.array([i for i in ids if i >= 0], "<u4").tobytes()
+
     def _leaf(self, left: np.ndarray, right: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
         rank = self.pair_rank(left, right)
         return np.where(rank < _NONE, rank * width + at, _NONE)
@@ -218,7 +268,10 @@ def _groups(batch: pa.RecordBatch, most: int = 1_500_000) -> Iterator[tuple[int,
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids array<int>) for every row; null and empty texts give an empty list, whole texts are encoded."""
+    """(doc_id, ids array<int>) for every row; null and empty texts give an empty list, whole texts are encoded.
+
+    Repeated rows give repeated results; no rows give none; other columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path, pattern)
@@ -233,7 +286,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, ids) to (doc_id, bytes binary); a null list decodes to no bytes."""
+    """(doc_id, ids) to (doc_id, bytes binary); a null list decodes to no bytes; no rows give none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path, pattern)
@@ -275,4 +328,5 @@ def public_vocabulary() -> tuple[str, str]:
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """encode_digests of documents with the public byte-level vocabulary."""
     return encode_digests(table(spark, sf_dir, "documents"), *public_vocabulary())
