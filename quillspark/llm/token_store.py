@@ -125,7 +125,9 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # a text that spells one of these has it as one id, as the library cuts it out first
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added) if added else r"(?!)", re.I)
         self.dtype = np.dtype(dtype)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
@@ -150,7 +152,7 @@ class WordTokenizer:
                 self.pieces.update(zip(part, self.whole(part), strict=True))
 
     def encode_batch(self, texts: list[str], end: bytes) -> list[bytes]:
-        plain = [not _OTHER.search(t) and (t.isascii() or unicodedata.is_normalized("NFC", t)) for t in texts]
+        plain = [not _OTHER.search(t) and not self.added.search(t) and (t.isascii() or unicodedata.is_normalized("NFC", t)) for t in texts]
         cut = [_PIECE.findall(t.lower()) if p else [] for t, p in zip(texts, plain, strict=True)]
         every: set[str] = set()
         for pieces in cut:
@@ -183,7 +185,7 @@ def id_type(vocabulary: int) -> str:
 
 
 def token_ids(docs: DataFrame, path: str, vocabulary: int, end_id: int) -> DataFrame:
-    """(doc_id, text) to (doc_id, ids): integers of id_type, with the end id."""
+    """(doc_id, text) to (doc_id, ids): integers of id_type, with the end id. Null and empty texts have that one only; repeated rows stay; no rows give none."""
     dtype = id_type(vocabulary)
     end = np.array([end_id], dtype).tobytes()
 
@@ -199,7 +201,7 @@ def token_ids(docs: DataFrame, path: str, vocabulary: int, end_id: int) -> DataF
 
 
 def id_counts(tokens: DataFrame, vocabulary: int) -> np.ndarray:
-    """How often each id occurs, counted per task, summed by Spark: one number per vocabulary entry reaches the driver."""
+    """How often each id occurs, counted per task, summed by Spark: one number per vocabulary entry reaches the driver. No rows give zeros."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary, np.int64)
@@ -261,7 +263,7 @@ def write_token_file(docs: DataFrame, path: str, vocabulary: int, end_id: int, m
 
 
 def read_token_file(blocks: DataFrame, lengths: np.ndarray) -> DataFrame:
-    """doc_id, start, n_tokens, ids of every document: start counts the ids of all documents before it."""
+    """doc_id, start, n_tokens, ids of every document: start counts the ids of all documents before it. A file without blocks gives no rows."""
     spark = blocks.sparkSession
     shared = spark.sparkContext.broadcast(lengths)
     # one number per shard is summed on the driver, as many as the file has parts
@@ -285,11 +287,12 @@ def read_token_file(blocks: DataFrame, lengths: np.ndarray) -> DataFrame:
 
 
 def crc_of_ids(read: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32."""
+    """doc_id, start, n_tokens, ids_crc32 of every row; repeated rows give repeated results."""
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token file of documents, read back; null texts have the end id only, equal doc_ids stand by their ids."""
     import public_tokenizers
 
     blocks, lengths = write_token_file(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), vocabulary=49_408, end_id=2)
