@@ -9,8 +9,10 @@ further in are carved.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 import ahocorasick
@@ -22,6 +24,8 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import materialize, table
 
 UNIT = 64
+#: What the texts were declared as; sniffing corrects it when the stored media are read.
+DECLARED = "text/plain"
 SAMPLE_RATE = 8000
 #: Bytes of results that are handed on at once.
 OUT_BYTES = 8_000_000
@@ -60,13 +64,11 @@ def _jpeg(b: memoryview, at: int) -> int | None:
         frame = frame or marker in (0xC0, 0xC1, 0xC2)
         p += 2 + size
         if marker == 0xDA:
-            raw = bytes(b[p:])
-            q = raw.find(b"\xff")
-            while q >= 0 and q + 1 < len(raw) and (raw[q + 1] == 0 or 0xD0 <= raw[q + 1] <= 0xD7):
-                q = raw.find(b"\xff", q + 2)
-            if q < 0:
+            p = b.obj.find(b"\xff", p)
+            while p >= 0 and p + 1 < len(b) and (b[p + 1] == 0 or 0xD0 <= b[p + 1] <= 0xD7):
+                p = b.obj.find(b"\xff", p + 2)
+            if p < 0:
                 return None
-            p += q
     return p + 2 - at if frame and p + 2 <= len(b) and b[p : p + 2] == b"\xff\xd9" else None
 
 
@@ -138,25 +140,35 @@ def _gzip(b: memoryview, at: int) -> int | None:
     return min(p, len(b)) - at - len(unpack.unused_data) if unpack.eof else None
 
 
-def _pdf(b: memoryview, at: int) -> int | None:
-    raw = bytes(b[at:])
-    end = raw.find(b"%%EOF")
-    if end < 0 or b"startxref" not in raw[:end]:
+def _places(b: bytes, mark: bytes, memo: dict) -> list[int]:
+    """All places of a mark in a value, looked for once."""
+    if mark not in memo:
+        memo[mark] = [m.start() for m in re.finditer(re.escape(mark), b)]
+    return memo[mark]
+
+
+def _pdf(b: bytes, at: int, memo: dict) -> int | None:
+    """Up to the last end mark before another file begins; a cross-reference must stand before the first."""
+    ends, crosses, heads = [_places(b, m, memo) for m in (b"%%EOF", b"startxref", b"%PDF-")]
+    first, cross, head = bisect_left(ends, at), bisect_left(crosses, at), bisect_right(heads, at)
+    if first == len(ends) or cross == len(crosses) or crosses[cross] > ends[first]:
         return None
-    nxt = raw.find(b"%PDF-", 5)
-    last = raw.rfind(b"%%EOF", 0, nxt if nxt > 0 else len(raw))
-    return max(end, last) + 5
-
-
-def _zip(b: memoryview, at: int) -> int | None:
-    """Up to the end record whose directory offset and size agree with its place."""
-    raw, p = bytes(b[at:]), 0
-    while (p := raw.find(b"PK\x05\x06", p)) >= 0 and p + 22 <= len(raw):
-        size, offset, note = struct.unpack_from("<IIH", raw, p + 12)
-        if offset + size == p and p + 22 + note <= len(raw) and raw[offset : offset + 4] in (b"PK\x01\x02", b"PK\x05\x06"):
-            return p + 22 + note
-        p += 4
-    return None
+    last = bisect_left(ends, heads[head]) - 1 if head < len(heads) else len(ends) - 1
+    return ends[max(first, last)] + 5 - at
+
+
+def _zip(b: bytes, at: int, memo: dict) -> int | None:
+    """Up to the end record whose directory offset and size agree with its place: each end record belongs to one start."""
+    if "zip" not in memo:
+        memo["zip"] = {}
+        for p in _places(b, b"PK\x05\x06", memo):
+            if p + 22 <= len(b):
+                size, offset, note = struct.unpack_from("<IIH", b, p + 12)
+                start = p - size - offset
+                if start >= 0 and p + 22 + note <= len(b) and b[start + offset : start + offset + 4] in (b"PK\x01\x02", b"PK\x05\x06"):
+                    memo["zip"].setdefault(start, p + 22 + note)
+    end = memo["zip"].get(at)
+    return None if end is None else end - at
 
 
 def _ogg(b: memoryview, at: int) -> int | None:
@@ -183,7 +195,7 @@ def _mp4(b: memoryview, at: int) -> int | None:
 
 
 #: Type, magic bytes, their place in the file, validator.
-FORMATS: list[tuple[str, bytes, int, Callable[[memoryview, int], int | None]]] = [
+FORMATS: list[tuple[str, bytes, int, Callable[..., int | None]]] = [
     ("image/png", b"\x89PNG\r\n\x1a\n", 0, _png),
     ("image/jpeg", b"\xff\xd8\xff", 0, _jpeg),
     ("image/gif", b"GIF87a", 0, _gif),
@@ -210,15 +222,16 @@ _machine: list[ahocorasick.Automaton] = []
 
 
 def sniff(value: bytes) -> list[tuple[str, int, int]]:
-    """(type, offset, length) of each valid file in value, outermost only, in order."""
+    """(type, offset, length) of each valid file in value, outermost only, in order; the marks of a value are looked for once."""
     if not _machine:
         _machine.append(_automaton())
-    view, found, covered = memoryview(value), [], 0
+    view, found, covered, memo = memoryview(value), [], 0, {}
     hits = sorted((end - len(FORMATS[i][1]) + 1 - FORMATS[i][2], i) for end, i in _machine[0].iter(value.decode("latin-1")))
     for at, i in hits:
         if at < covered or at < 0:
             continue
-        length = FORMATS[i][3](view, at)
+        check = FORMATS[i][3]
+        length = check(value, at, memo) if check in (_pdf, _zip) else check(view, at)
         if length:
             found.append((FORMATS[i][0], at, length))
             covered = at + length
@@ -255,7 +268,7 @@ def sniff_media(rows: DataFrame, id_col: str, content_col: str, declared_col: st
 
 
 def carve(rows: DataFrame, id_col: str, content_col: str) -> DataFrame:
-    """id, media_type, offset, content: one row for each file found inside a value."""
+    """id, media_type, offset, content: one row for each file found inside a value; null and empty values and no rows give none."""
     found = rows.select(F.col(id_col).alias("id"), F.col(content_col).alias("content"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,7 +284,7 @@ def carve(rows: DataFrame, id_col: str, content_col: str) -> DataFrame:
 
 
 def to_wav(payload: bytes) -> bytes:
-    """One channel of 8-bit samples."""
+    """One channel of 8-bit samples; no bytes give no samples."""
     pad = b"\0" * (len(payload) & 1)
     head = struct.pack("<4sIHHIIHH4sI", b"fmt ", 16, 1, 1, SAMPLE_RATE, SAMPLE_RATE, 1, 8, b"data", len(payload))
     return b"RIFF" + struct.pack("<I", 4 + len(head) + len(payload) + len(pad)) + b"WAVE" + head + payload + pad
@@ -282,10 +295,10 @@ def _batches(ids: list, columns: list[list], names: list[str], kinds: list[pa.Da
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) as stored media: doc_id, n_bytes, media_type, media. Null texts count as empty; bytes 0 fill up to a positive multiple of 64."""
+    """(doc_id, text) as stored media: doc_id, n_bytes, declared_type, media. Null texts count as empty; bytes 0 fill up to a positive multiple of 64."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, kinds = ["n_bytes", "media_type", "media"], [pa.int64(), pa.string(), pa.binary()]
+        names, kinds = ["n_bytes", "declared_type", "media"], [pa.int64(), pa.string(), pa.binary()]
         for batch in batches:
             ids, sizes, media, held = [], [], [], 0
             for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -296,26 +309,28 @@ def store_texts(docs: DataFrame) -> DataFrame:
                 media.append(to_wav(payload))
                 held += len(payload)
                 if held > OUT_BYTES:
-                    yield _batches(ids, [sizes, ["audio/wav"] * len(ids), media], names, kinds)
+                    yield _batches(ids, [sizes, [DECLARED] * len(ids), media], names, kinds)
                     ids, sizes, media, held = [], [], [], 0
             if ids:
-                yield _batches(ids, [sizes, ["audio/wav"] * len(ids), media], names, kinds)
+                yield _batches(ids, [sizes, [DECLARED] * len(ids), media], names, kinds)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return materialize(rows.mapInArrow(run, "doc_id long, n_bytes long, media_type string, media binary"), "media")
+    return materialize(rows.mapInArrow(run, "doc_id long, n_bytes long, declared_type string, media binary"), "media")
 
 
 def media_features(stored: DataFrame) -> DataFrame:
     """Read stored media back: sizes, digests and a feature string of each row.
 
-    The type is sniffed anew; a value that is no whole WAV file has a null payload and the feature
-    'invalid'. The feature holds the type, samples, mean, peak, zero samples and embedded files.
+    media_type is the sniffed type and corrects the declared one (declared_ok says whether they agree);
+    a value that is no whole WAV file has a null payload and the feature 'invalid'. The feature holds
+    the type, samples, mean, peak, zero samples and embedded files. Repeated rows give repeated
+    results; no rows give none.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: list[list] = [[] for _ in range(6)]
-            for value in batch.column(2):
+            cols: list[list] = [[] for _ in range(8)]
+            for value, declared in zip(batch.column(2), batch.column(3).to_pylist(), strict=True):
                 raw = value.as_py() or b""
                 shape = wav_data(memoryview(raw))
                 found = sniff(raw)
@@ -327,17 +342,20 @@ def media_features(stored: DataFrame) -> DataFrame:
                     inner = sniff(payload)
                     feature = f"audio/wav;samples={len(samples)};mean={int(samples.sum()) * 1000 // max(1, len(samples))};peak={int(samples.max(initial=0))};zeros={int((samples == 0).sum())};embedded={len(inner)}"
                     row = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(raw), hashlib.sha256(raw).hexdigest(), feature)
+                kind = found[0][0] if found and found[0][1] == 0 else None
+                row += (kind, None if declared is None else kind == declared)
                 for column, x in zip(cols, row, strict=True):
                     column.append(x)
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], ["doc_id", "n_bytes", *_FEATURES])
 
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media_type string, declared_ok boolean"
+    return stored.select("doc_id", "n_bytes", "media", "declared_type").mapInArrow(run, schema)
 
 
-_FEATURES = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+_FEATURES = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media_type", "declared_ok"]
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents stored as media and read back; null texts count as empty."""
     return media_features(store_texts(table(spark, sf_dir, "documents")))
