@@ -135,13 +135,16 @@ def fold(id_col: str, folds: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, folds: int, held: int, rows: int) -> DataFrame:
-    """(doc_id, text, label) of at most that many labelled documents outside the held-out fold, by identifier hash."""
+    """(doc_id, text, label) of at most that many labelled documents outside the held-out fold, by identifier hash.
+
+    Of conflicting labels of an identifier the larger counts, of its texts the smallest; null identifiers and labels are no labels.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null and label is not null")
-    known = known.where(fold("doc_id", folds) != held).dropDuplicates(["doc_id"])
+    known = known.where(fold("doc_id", folds) != held).groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     # at most `rows` ids: a proven bound for the broadcast
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
-    return picked.dropDuplicates(["doc_id"]).orderBy("doc_id").limit(rows)
+    return picked.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label")).orderBy("doc_id").limit(rows)
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, label_col: str = "quality", folds: int = 4, held: int = 2) -> NaiveBayesSVM:
@@ -197,4 +200,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, thres
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """quality of documents by labels.quality; odd rows as in score_quality."""
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

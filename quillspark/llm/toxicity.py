@@ -30,7 +30,7 @@ PREFIX = 4
 SAMPLE_ROWS = 6000
 EPOCHS = 6
 THRESHOLD = 0.5
-#: Words of a training text that one step may hold; longer texts are cut into windows, all of which count.
+#: Words that scoring holds at once; longer texts are read window by window, with overlap.
 WINDOW_WORDS = 4000
 
 # fixed values: frequent function words of each language
@@ -171,10 +171,7 @@ def train(texts: list[tuple[np.ndarray, np.ndarray, int]], labels: np.ndarray, e
             batch = order[at : at + 32]
             for i in batch:
                 word, head, _ = texts[i]
-                if len(word) > WINDOW_WORDS:  # another window of a long text each time
-                    a = int(rng.integers(0, len(word) - WINDOW_WORDS + 1))
-                    word, head = word[a : a + WINDOW_WORDS], head[a : a + WINDOW_WORDS]
-                x = model.embed(word, head)
+                x = model.embed(word, head)  # of the whole text, however long
                 top, where = model.pool(x)
                 p = 1 / (1 + np.exp(-np.clip(top @ model.out + bias[0], -30, 30)))
                 d = f32((p - y[i]) * weight[i] / len(batch))
@@ -266,6 +263,7 @@ def score_toxicity(docs: DataFrame, model: TextCNN, threshold: float = THRESHOLD
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of documents by labels.toxic; a null doc_id counts as not held out, odd rows as in score_toxicity."""
     docs = table(spark, sf_dir, "documents")
     scored = score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "language", "score", "predicted")
