@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import materialize
+from quillspark.llm.common import discard, materialize
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", label: str = "component") -> DataFrame:
@@ -19,11 +19,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", label: st
     both = materialize(pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "edges")
     labels = materialize(both.groupBy("x").agg(F.min("y").alias("near")).select(F.col("x").alias("id"), F.least("x", "near").alias(label)), "labels")
     while True:
-        near = both.join(labels, both["y"] == labels["id"]).groupBy("x").agg(F.min(label).alias("near"))
-        new = labels.join(near, labels["id"] == near["x"]).select("id", F.col(label).alias("old"), F.least(label, "near").alias("new"))
-        new = materialize(new, "labels")
+        near = both.join(labels.select("id", label), both["y"] == F.col("id")).groupBy("x").agg(F.min(label).alias("near"))
+        new = labels.select("id", label).join(near, F.col("id") == near["x"]).select("id", F.col(label).alias("old"), F.least(label, "near").alias("new"))
+        new, last = materialize(new, "labels"), labels
         jump = new.select(F.col("id").alias("at"), F.col("new").alias("next"))
         labels = materialize(new.join(jump, new["new"] == jump["at"]).select("id", "old", F.least("new", "next").alias(label)), "labels")
+        discard(last, new)
         if labels.where(F.col(label) != F.col("old")).isEmpty():
+            discard(both)
             return labels.select("id", label)
-        labels = labels.drop("old")

@@ -1,9 +1,11 @@
 """Exact deduplication with a log-structured merge index of text digests.
 
-A flush writes one sorted run of (digest, identifier) rows, a Parquet table with a Bloom filter on
-the digest. Compaction merges runs and keeps one identifier and the count of each digest; Spark's
-partial aggregation plays the memtable of each task. A lookup probes the compacted index; every hit
-is then compared byte by byte with the text that stays.
+A memtable takes up to MEMTABLE_ROWS rows; its flush is a run, sorted by digest, with one entry (digest,
+identifier that stays, count) for each digest and a bitmap filter of them. Compaction goes by levels: up to
+FANOUT runs become one of the next level. Entries first probe the filters of the other runs of their
+merge; only those that some filter may hold are shuffled and merged, the rest pass into the new run as
+they are. Hits, the texts of digests that occur twice, are then compared byte by byte with the text that
+stays.
 """
 
 from __future__ import annotations
@@ -13,8 +15,16 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import materialize, scratch_dir, small, table
+from quillspark.llm.common import discard, fits, materialize, scratch_dir, small, table
 
+#: Rows that one memtable takes before it is flushed as a run.
+MEMTABLE_ROWS = 65_536
+#: Runs that one compaction merges.
+FANOUT = 8
+#: Bits of the filters for each row of a run.
+FILTER_BITS = 32
+#: Bits of one piece of a filter, as Spark's bitmap functions cut them.
+_PIECE = 32_768
 #: Rows of one group that meet in one task when hits are verified.
 HITS_PER_SALT = 2048
 
@@ -22,32 +32,67 @@ HITS_PER_SALT = 2048
 class DigestIndex:
     """Runs of digests under one folder. keep: 'smallest' or 'largest' identifier stays."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, keep: str = "smallest"):
+    def __init__(self, spark: SparkSession, path: str | None = None, keep: str = "smallest", memtable_rows: int = MEMTABLE_ROWS, fanout: int = FANOUT):
         if keep not in ("smallest", "largest"):
             raise ValueError(f"keep must be 'smallest' or 'largest', not {keep!r}")
-        self.spark, self.keep = spark, keep
+        self.spark, self.keep, self.memtable_rows, self.fanout = spark, keep, memtable_rows, fanout
         self.path = path or f"{scratch_dir(spark)}/digests-{uuid.uuid4().hex}"
-        self.runs: list[str] = []
+        #: (level, folder, number of runs) of what compaction has not merged yet
+        self.levels: list[tuple[int, str, int]] = []
+
+    def _best(self, column: str) -> Column:
+        return F.min(column) if self.keep == "smallest" else F.max(column)
+
+    def _write(self, entries: DataFrame, level: int, runs: int) -> DataFrame:
+        """Entries (run, digest, keep_id, n) as one folder of runs, each file sorted by run and digest."""
+        folder = f"{self.path}/level-{level:02d}-{len(self.levels):03d}"
+        entries.select("run", "digest", "keep_id", "n").sortWithinPartitions("run", "digest").write.option("compression", "zstd").parquet(folder)
+        self.levels.append((level, folder, runs))
+        return self.spark.read.parquet(folder)
 
     def flush(self, digests: DataFrame) -> DataFrame:
-        """Write (digest, id) rows as one run, sorted inside each file, with Bloom filters; return the run."""
-        run = f"{self.path}/run-{len(self.runs):05d}"
-        (
-            digests.select("digest", "id")
-            .sortWithinPartitions("digest", "id")
-            .write.option("parquet.bloom.filter.enabled#digest", "true")
-            .option("parquet.bloom.filter.adaptive.enabled", "true")
-            .option("compression", "zstd")
-            .parquet(run)
-        )
-        self.runs.append(run)
-        return self.spark.read.parquet(run)
+        """Rows (digest, id) through memtables into runs of level 0; rows are dealt to memtables by identifier hash."""
+        runs = max(1, -(-digests.count() // self.memtable_rows))
+        dealt = digests.select("digest", "id", F.pmod(F.xxhash64("id", "digest"), F.lit(runs)).cast("int").alias("run"))
+        return self._write(dealt.groupBy("run", "digest").agg(self._best("id").alias("keep_id"), F.count("*").alias("n")), 0, runs)
+
+    def filters(self, entries: DataFrame, runs: int) -> DataFrame:
+        """(merge, piece, maps): for each merge of runs and piece of the filters, the bitmaps of its runs."""
+        rows = entries.select("run", *self._place(runs))
+        pieces = rows.groupBy("merge", "piece", "run").agg(F.bitmap_construct_agg("bit").alias("map"))
+        # at most fanout small bitmaps each
+        return pieces.groupBy("merge", "piece").agg(F.collect_list(F.struct("run", "map")).alias("maps"))
+
+    def _place(self, runs: int) -> list[Column]:
+        """merge, piece and bit of an entry in the filters of its level."""
+        pieces = max(1, -(-self._rows_of_run * FILTER_BITS // _PIECE))
+        at = F.pmod(F.xxhash64(F.lit("filter"), "digest"), F.lit(pieces * _PIECE))
+        return [F.floor(F.col("run") / self.fanout).cast("int").alias("merge"), F.floor(at / _PIECE).cast("int").alias("piece"), F.pmod(at, F.lit(_PIECE)).alias("bit")]
 
     def compact(self) -> DataFrame:
-        """Merge all runs: digest, keep_id, group_size."""
-        rows = self.spark.read.parquet(*self.runs)
-        best = F.min("id") if self.keep == "smallest" else F.max("id")
-        return rows.groupBy("digest").agg(best.alias("keep_id"), F.count("*").alias("group_size"))
+        """Merge all runs, level by level: digest, keep_id, group_size."""
+        level, folder, runs = max(self.levels)
+        entries = self.spark.read.parquet(folder)
+        for other, path, more in sorted(self.levels)[:-1]:
+            entries = entries.unionByName(self.spark.read.parquet(path).withColumn("run", F.col("run") + runs))
+            runs += more
+        self._rows_of_run = self.memtable_rows
+        while runs > 1:
+            placed = entries.select("*", *self._place(runs))
+            filters = self.filters(entries, runs)
+            probed = placed.join(small(materialize(filters, "digest-filters")), ["merge", "piece"])
+            # bits count from the low end of each byte
+            byte = F.floor(F.col("bit") / 8).cast("int") + 1
+            held = lambda f: F.getbit(F.conv(F.hex(F.substring(f["map"], byte, F.lit(1))), 16, 10).cast("int"), F.pmod(F.col("bit"), F.lit(8)).cast("int")) == 1
+            probed = probed.select("merge", "digest", "keep_id", "n", F.exists("maps", lambda f: (f["run"] != F.col("run")) & held(f)).alias("maybe"))
+            probed = materialize(probed, "digest-probed")
+            merged = probed.where("maybe").groupBy("merge", "digest").agg(self._best("keep_id").alias("keep_id"), F.sum("n").alias("n"))
+            runs = -(-runs // self.fanout)
+            level, self._rows_of_run = level + 1, self._rows_of_run * self.fanout
+            new = probed.where("not maybe").select("merge", "digest", "keep_id", "n").unionByName(merged).withColumnRenamed("merge", "run")
+            self.levels = []
+            entries = self._write(new, level, runs)
+        return entries.select("digest", "keep_id", F.col("n").alias("group_size"))
 
 
 def _same(a: Column, b: Column) -> Column:
@@ -68,16 +113,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base = docs.select(F.col(id_col).alias("id"), text.alias("body"))
     made = F.sha2(F.col("body"), 256) if digest is None else digest
     index = DigestIndex(docs.sparkSession, keep=keep)
-    run = index.flush(base.select(made.alias("digest"), "id"))
-    index_rows = materialize(index.compact(), "digest-index")
-    found = run.join(index_rows, "digest")
-    alone = found.where("group_size = 1").select("id", "digest", "keep_id", "group_size")
+    run = materialize(base.select(made.alias("digest"), "id"), "digests")
+    index.flush(run)
+    index_rows = index.compact()
+    alone = index_rows.where("group_size = 1").select(F.col("keep_id").alias("id"), "digest", "keep_id", "group_size")
 
     # hits: the texts of groups of two and more meet the text that stays; large groups are salted
-    hits = index_rows.where("group_size > 1").withColumn("salts", F.ceil(F.col("group_size") / HITS_PER_SALT).cast("int"))
-    hit_ids = run.join(hits, "digest").select("id", "digest", "keep_id", "group_size", "salts").dropDuplicates(["id", "digest"])
+    hits = materialize(index_rows.where("group_size > 1").withColumn("salts", F.ceil(F.col("group_size") / HITS_PER_SALT).cast("int")), "digest-hits")
+    hit_ids = materialize(run.join(small(hits), "digest").select("id", "digest", "keep_id", "group_size", "salts").distinct(), "hit-ids")
     hit_ids = hit_ids.withColumnsRenamed({"id": "hit_id", "digest": "hit_digest"})
-    texts = base.withColumn("digest", made).join(small(hit_ids), F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("digest") == F.col("hit_digest"))).drop("hit_id", "hit_digest")
+    if fits(hit_ids):
+        hit_ids = F.broadcast(hit_ids)
+    texts = base.withColumn("digest", made).join(hit_ids, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("digest") == F.col("hit_digest"))).drop("hit_id", "hit_digest")
     texts = materialize(texts, "hits")
     keepers = (
         texts.where(F.col("id").eqNullSafe(F.col("keep_id")))
@@ -101,6 +148,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """exact_dedup of documents; of equal texts the largest doc_id stays."""
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 

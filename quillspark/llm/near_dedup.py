@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import textvec
-from quillspark.llm.common import materialize, narrowed, small, table
+from quillspark.llm.common import discard, materialize, narrowed, small, table
 from quillspark.llm.components import connected_components
 
 SKETCH = 224
@@ -41,7 +41,10 @@ def _sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
 
 
 def shingle_sketches(docs: DataFrame, width: int = 5, k: int = SKETCH) -> DataFrame:
-    """(doc_id, text) to (doc_id, n_shingles, set_a, set_b, sketch): two sums identify the full set."""
+    """(doc_id, text) to (doc_id, n_shingles, set_a, set_b, sketch): two 64-bit sums and the size identify the full set.
+
+    Null, empty and blank texts have no shingles and an empty sketch; no rows give none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,7 +133,7 @@ def _verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, width: int
     rest = rows.where("not whole").select("a", "b", "n_a", "n_b")
     if rest.isEmpty():
         return sure
-    wanted = rest.select(F.col("a").alias("rep")).unionByName(rest.select(F.col("b").alias("rep"))).distinct()
+    wanted = materialize(rest.select(F.col("a").alias("rep")).unionByName(rest.select(F.col("b").alias("rep"))).distinct(), "wanted")
     texts = docs.join(small(wanted), docs["doc_id"] == wanted["rep"], "left_semi")
     sets = materialize(full_sets(texts, width), "sets")
     rows = rest.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("t_b")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("t_a")), "a")
@@ -151,12 +154,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketches = materialize(shingle_sketches(base, width, k), "sketches")
-    classes = sketches.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("rep"))
-    members = materialize(sketches.drop("sketch").join(classes, ["n_shingles", "set_a", "set_b"], "left").select("doc_id", "n_shingles", "set_a", "set_b", "rep"), "members")
-    firsts = members.where("doc_id = rep").select("rep", F.col("n_shingles").alias("n"), "set_a", "set_b").distinct()
-    keyed = sketches.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "set_a", "set_b", "sketch").dropDuplicates(["rep", "n", "set_a", "set_b"])
-    # one row per class; two classes can have one representative only where identifiers repeat
-    reps = materialize(keyed.join(firsts, ["rep", "n", "set_a", "set_b"], "left_semi").drop("set_a", "set_b"), "reps")
+    key = ["n_shingles", "set_a", "set_b"]
+    # sets that occur twice: only their rows meet, by a written table, so that a large group need not meet in one task
+    classes = sketches.where("n_shingles > 0 and doc_id is not null").groupBy(key).agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")).where("rows > 1")
+    classes = materialize(classes.select(*key, "first"), "classes")
+    own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("first", "doc_id"))
+    placed = sketches.join(small(classes), key, "left").withColumn("rep", own)
+    members = materialize(placed.select("doc_id", "n_shingles", "rep"), "members")
+    firsts = placed.where("doc_id = rep").select("rep", F.col("n_shingles").alias("n"), "first", "set_a", "set_b", "sketch")
+    # rows that repeat an identifier and its text are one; two sets can have one representative only where identifiers repeat
+    single, twice = firsts.where("first is null"), firsts.where("first is not null").dropDuplicates(["rep", "n", "set_a", "set_b"])
+    reps = materialize(single.unionByName(twice).select("rep", "n", "sketch"), "reps")
+    discard(sketches, classes)
     ranked = materialize(_ranked(reps), "ranked")
     lists = materialize(_postings(ranked, k, similarity), "postings")
 
@@ -204,4 +213,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_duplicates of documents."""
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -111,6 +111,47 @@ def test_mixing_reaches_targets(spark):
     assert mixing.mix_sources(docs_of(spark, [])).collect() == []
 
 
+def test_mixing_ranks_by_odds(spark):
+    rng = random.Random(6)
+    rows = [(i, "w " * rng.choice([1, 5, 30, 200, 2000]), "ab"[i % 2]) for i in range(400)]
+    by = defaultdict(list)
+    for r in mixing.mix_sources(docs_of(spark, rows), weights=(3, 1), share=0.7).collect():
+        by[r.source].append(r)
+    unequal = 0
+    for own in by.values():
+        certain = int(own[0].target // own[0].source_size)
+        left = own[0].target - certain * own[0].source_size
+        if left == 0:
+            continue
+        # inclusion probabilities proportional to words, 1 at most, and right in the sum
+        assert abs(sum(r.p * r.size for r in own) - left) < 1e-6 * left
+        scale = max(r.p / r.size for r in own)
+        assert all(abs(r.p - min(1.0, scale * r.size)) < 1e-9 for r in own)
+        unequal += len({round(r.p, 9) for r in own}) > 1
+        # the lowest ranks have one more copy
+        more = [r.odds for r in own if r.copies == certain + 1]
+        rest = [r.odds for r in own if r.copies == certain]
+        assert not more or not rest or max(more) <= min(rest)
+        assert len(more) + len(rest) == len(own)
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 1000
+    assert unequal
+
+
+def test_repeated_rows_share_their_copies(spark):
+    rows = [(1, "a b c", "s"), (1, "a b c", "s"), (1, "a", "s"), (2, "d e", "s"), (None, "f g", "s"), (None, "h", "t"), (3, None, None)]
+    docs = docs_of(spark, rows)
+    mixed = mixing.mix_sources(docs)
+    out = mixing.repeat_rows(docs, mixed)
+    assert out.columns == docs.columns
+    want = defaultdict(int)
+    for r in mixed.collect():
+        want[str(r.doc_id), r.size] += r.copies
+    got = defaultdict(int)
+    for r in out.collect():
+        got[str(r.doc_id), len((r.text or "").split())] += 1
+    assert {k: v for k, v in want.items() if v} == dict(got)
+
+
 def brute_lines(rows):
     """First occurrence of each group of equal normalised lines (no fuzzy pairs in the input)."""
     seen, lost = {}, defaultdict(set)
@@ -213,3 +254,32 @@ def test_line_dedup_lists_that_stay_apart(spark):
     rows += [(i + 1, changed(text, "word", rng), "s") for i, text, _ in rows]
     lost = {r.doc_id for r in line_dedup.duplicate_lines(docs_of(spark, rows)).collect()}
     assert lost == {i for i, *_ in rows if i % 2}
+
+
+def test_digest_runs_filters_and_levels(spark):
+    rows = [(f"{i * 7919 % 400:03d}" if i % 3 else f"u{i}", i) for i in range(900)]
+    digests = spark.createDataFrame(rows, "digest string, id long")
+    for fanout, levels in ((2, 4), (8, 2)):
+        index = exact_dedup.DigestIndex(spark, memtable_rows=64, fanout=fanout)
+        flushed = index.flush(digests)
+        assert flushed.select("run").distinct().count() == 15
+        for part in spark.read.parquet(index.levels[0][1]).select("run", "digest", "n", F.input_file_name().alias("f")).groupBy("f").agg(F.collect_list(F.struct("run", "digest")).alias("xs")).collect():
+            assert part.xs == sorted(part.xs)  # sorted runs
+        got = {r.digest: (r.keep_id, r.group_size) for r in index.compact().collect()}
+        groups = defaultdict(list)
+        for d, i in rows:
+            groups[d].append(i)
+        assert got == {d: (min(x), len(x)) for d, x in groups.items()}
+        assert index.levels[0][0] == levels and index.levels[0][2] == 1
+
+
+def test_digest_filters_hold_what_their_runs_hold(spark):
+    digests = spark.createDataFrame([(str(i % 50), i) for i in range(200)], "digest string, id long")
+    index = exact_dedup.DigestIndex(spark, memtable_rows=50)
+    entries = index.flush(digests)
+    index._rows_of_run = 50
+    maps = {(r.merge, r.piece, m.run): bytes(m.map) for r in index.filters(entries, 4).collect() for m in r.maps}
+    for r in entries.select("run", "digest", *index._place(4)).collect():
+        assert maps[r.merge, r.piece, r.run][r.bit // 8] >> (r.bit % 8) & 1
+    ones = sum(bin(b).count("1") for m in maps.values() for b in m)
+    assert ones <= entries.count()
