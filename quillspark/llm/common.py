@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
 #: Bytes of column values up to which a measured table may be broadcast; the session setting of that name overrides it.
-BROADCAST_BYTES = 16_000_000
+BROADCAST_BYTES = 32_000_000
 BROADCAST_SETTING = "quillspark.broadcast.bytes"
 
 _own_dirs: dict[str, str] = {}
