@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, html_text, media, pipeline, quality, token_store, toxicity
+from quillspark.llm import bpe, html_text, media, quality, token_store, toxicity
 
 SPECIAL = [(8, "a<|startoftext|>b <|endoftext|> <|ENDOFTEXT|>c <|endof text|>"), (9, "<|endoftext|>"), (10, "plain <|endoftext|")]
 TEXTS = [(1, "The cat's 12 dogs,  ran!\n\n"), (2, None), (3, ""), (4, "日本語 😀 ́é \x1c x"), (5, "a" * 5000), (6, " \n \t"), (7, "THE cat"), (7, "THE cat"), (None, "the")]
@@ -333,11 +333,3 @@ def test_media_sniffing_and_storage(spark):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
 
 
-def test_pipeline_stages_chain(spark):
-    sf_dir = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    assert [n for n, _ in pipeline.STAGES] == ["quality", "line_dedup", "near_dedup", "mix", "byte_bpe"]
-    kept = pipeline.keep_quality(spark, docs, sf_dir)
-    assert kept.columns == docs.columns and 0 < kept.count() <= docs.count()
-    mixed = pipeline.mix(spark, docs, sf_dir)
-    assert mixed.columns == docs.columns
