@@ -107,6 +107,14 @@ def title_terms(col: Column, separator: str = r"\s*(?:vs|VS|Vs|和|与|、|/)\s*
     return F.array_distinct(F.filter(F.transform(terms, compact_whitespace), lambda t: t != ""))
 
 
+def term_type(layer: Column, title: Column, kinds: dict[str, str], combined: tuple[str, str, str] | None = None, default: str = "undecided") -> Column:
+    """The kind of term that a layer holds; combined (layer, pattern of titles, kind) names the titles of one layer that are of another kind."""
+    out = F.lit(default)
+    for name, kind in kinds.items():
+        out = F.when(layer == name, F.lit(kind)).otherwise(out)
+    return F.when((layer == combined[0]) & title.rlike(combined[1]), F.lit(combined[2])).otherwise(out) if combined else out
+
+
 def lines_array(col: Column) -> Column:
     """Lines of a text; a final line break opens no line."""
     lines = F.split(col, LINE_BREAK, -1)
@@ -167,13 +175,13 @@ def unwrap_fence(col: Column) -> Column:
 
 
 def bigrams(col: Column) -> Column:
-    """Distinct character pairs without white space; a single character is its own gram."""
+    """Distinct character pairs without white space, their case kept; a single character is its own gram."""
     def pairs(text: Column) -> Column:
         found = F.when(F.length(text) > 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.substr(text, i, F.lit(2)))))
         return found.when(F.length(text) == 1, F.array(text)).otherwise(F.array().cast("array<string>"))
 
     # bound as a variable, the text is cleaned once and not again for each pair; a null text has no grams
-    cleaned = F.coalesce(F.regexp_replace(F.lower(col), r"(?U)\s+", ""), F.lit(""))
+    cleaned = F.coalesce(F.regexp_replace(col, r"(?U)\s+", ""), F.lit(""))
     return F.get(F.transform(F.array(cleaned), pairs), F.lit(0))
 
 
@@ -193,6 +201,17 @@ def ratio_may_reach(a: Column, b: Column, least: float) -> Column:
     return F.when((n_a > 0) & (n_b > 0) & near, 2.0 * common >= least * (n_a + n_b) - 1e-9).otherwise(False)
 
 
+def text_similarity(df: DataFrame, a: str, b: str, name: str, least: float) -> DataFrame:
+    """df with a column name, the larger of Dice and sequence ratio of two stripped text columns (0 if one is blank), and only its rows of at least that similarity.
+
+    Exact: the ratio is reckoned where its bounds by length and common characters reach least.
+    """
+    x, y = strip(F.coalesce(F.col(a), F.lit(""))), strip(F.coalesce(F.col(b), F.lit("")))
+    rows = df.select("*", x.alias("_x"), y.alias("_y"), F.when((x != "") & (y != ""), dice(bigrams(x), bigrams(y))).otherwise(0.0).alias("_d"))
+    rows = rows.where((F.col("_d") >= least) | ratio_may_reach(F.col("_x"), F.col("_y"), least))
+    return rows.withColumn(name, F.greatest("_d", sequence_ratio("_x", "_y"))).where(F.col(name) >= least).drop("_x", "_y", "_d")
+
+
 @F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratio of matching blocks; meant for pairs that ratio_may_reach left over."""

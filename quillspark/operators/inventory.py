@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from quillspark.functions import text as T
 
 #: Dictionary rows up to which a containment join broadcasts the dictionary as one array.
 SMALL_DICTIONARY = 2000
-#: Characters of a term that key the join of a larger dictionary.
+#: Characters of all terms up to which a larger dictionary goes to every Python worker as one automaton (some 50 MB there).
+AUTOMATON_CHARS = 1_000_000
+#: Characters of a term that key the join of a still larger dictionary.
 KEY_CHARS = 8
 
 
@@ -48,18 +54,51 @@ def all_terms(*sources: DataFrame) -> DataFrame:
     return union.groupBy("term").agg(F.min("at").alias("at")).select("term", F.col("at.src").alias("src"), F.col("at.ord").alias("ord"))
 
 
-def containment(texts: DataFrame, terms: DataFrame, small_rows: int = SMALL_DICTIONARY) -> DataFrame:
+def _containment_by_automaton(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """containment() for a dictionary of bounded size."""
+    import ahocorasick
+
+    named: dict[str, list[str]] = {}
+    for row in wanted.collect():
+        named.setdefault(row["low"], []).append(row["term"])
+    shared = texts.sparkSession.sparkContext.broadcast(named)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = ahocorasick.Automaton()
+        for low, terms in shared.value.items():
+            machine.add_word(low, terms)
+        if shared.value:
+            machine.make_automaton()
+        for batch in batches if shared.value else []:
+            at, found = [], []
+            for i, text in enumerate(batch.column(1)):
+                hits = {id(terms): terms for _, terms in machine.iter(text.as_py() or "")}
+                for terms in hits.values():
+                    at.extend([i] * len(terms))
+                    found.extend(terms)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(found, pa.string())], ["id", "term"])
+
+    rows = texts.select("id", F.lower("text").alias("body"))
+    schema = StructType([rows.schema["id"], StructField("term", StringType())])
+    return rows.mapInArrow(run, schema)
+
+
+def containment(texts: DataFrame, terms: DataFrame, small_rows: int = SMALL_DICTIONARY, automaton_chars: int = AUTOMATON_CHARS) -> DataFrame:
     """Distinct (id, term) with the term inside the text, whatever the case.
 
-    A small dictionary (counted) goes to every task as one array. A larger one meets the texts in a
-    hash join: a text emits its distinct windows of the lengths that term keys have, at most
-    KEY_CHARS; the whole term is then looked for in the text.
+    A small dictionary (counted) goes to every task as one array; one whose terms have up to
+    automaton_chars characters as an Aho-Corasick automaton that reads each text once; both bounds are
+    measured first. A larger one meets the texts in a hash join: a text emits its distinct windows of
+    the lengths that term keys have, at most KEY_CHARS; the whole term is then looked for in the text.
+    Empty terms and null texts give nothing.
     """
     wanted = terms.select("term", F.lower("term").alias("low")).where("low != ''").distinct()
     if wanted.limit(small_rows + 1).count() <= small_rows:
         dictionary = wanted.agg(F.collect_list(F.struct("term", "low")).alias("dictionary"))
         rows = texts.select("id", F.lower("text").alias("body")).join(F.broadcast(dictionary))
         return rows.select("id", F.explode(F.filter("dictionary", lambda t: F.contains(F.col("body"), t["low"]))).alias("t")).select("id", "t.term")
+    if (wanted.agg(F.sum(F.length("low"))).first()[0] or 0) <= automaton_chars:
+        return _containment_by_automaton(texts, wanted)
     keyed = wanted.withColumn("window", F.substring("low", 1, KEY_CHARS))
     # at most KEY_CHARS different lengths
     lengths = sorted(r[0] for r in keyed.select(F.length("window")).distinct().collect())

@@ -15,6 +15,8 @@ from quillspark.operators.inventory import containment, ordered
 SURE, HIGH, CLOSE, SECOND = 0.65, 0.9, 0.15, 0.5
 SAME_QUESTION, LIKE_QUESTION, RELEVANT = 0.97, 0.86, 0.18
 VOTE, VOTE_SCORE = 0.74, 3.0
+#: Labelled examples that all questions meet at once.
+EXAMPLE_BLOCK = 500
 
 
 def rewrite_aliases(text: Column, aliases: list[tuple[str, str]]) -> Column:
@@ -81,11 +83,20 @@ def score_intents(questions: DataFrame, rules: list[IntentRule]) -> DataFrame:
 
 
 def example_similarity(questions: DataFrame, examples: DataFrame, least: float = RELEVANT) -> DataFrame:
-    """(qid, eid, similarity): bigram Dice by a postings join; a pair without a common bigram has 0."""
-    q = questions.select("qid", T.bigrams(F.col("text")).alias("g")).select("qid", F.size("g").alias("n_q"), F.explode("g").alias("gram"))
-    e = examples.select("eid", T.bigrams(F.col("text")).alias("g")).select("eid", F.size("g").alias("n_e"), F.explode("g").alias("gram"))
-    common = q.join(e, "gram").groupBy("qid", "eid", "n_q", "n_e").agg(F.count("*").alias("n"))
-    return common.select("qid", "eid", (2.0 * F.col("n") / (F.col("n_q") + F.col("n_e"))).alias("similarity")).where(F.col("similarity") >= least)
+    """(qid, eid, similarity) from least on: the larger of bigram Dice and sequence ratio, exactly.
+
+    The labelled examples are a stated set; all questions meet it in blocks of EXAMPLE_BLOCK rows. The
+    ratio is reckoned only where its bounds by length and by common characters reach least.
+    """
+    numbered = examples.select("eid", "text").where("text is not null")
+    blocks = max(1, -(-numbered.count() // EXAMPLE_BLOCK))
+    found = None
+    for i in range(blocks):
+        block = numbered.where(F.pmod(F.xxhash64("eid"), F.lit(blocks)) == i).agg(F.collect_list(F.struct("eid", F.col("text").alias("example"))).alias("examples"))
+        pairs = questions.select("qid", "text").join(F.broadcast(block)).select("qid", "text", F.explode("examples").alias("e")).select("qid", "text", "e.eid", "e.example")
+        near = T.text_similarity(pairs, "text", "example", "similarity", least).select("qid", "eid", "similarity")
+        found = near if found is None else found.unionByName(near)
+    return found
 
 
 def score_by_examples(similar: DataFrame, examples: DataFrame) -> DataFrame:
@@ -131,6 +142,25 @@ def ambiguous_options(questions: DataFrame, candidates: DataFrame, labels: DataF
     return rows.select("qid", F.col("n").alias("ord"), F.coalesce("label", "intent").alias("label"), F.concat(F.lit("[intent:"), "intent", F.lit("]"), "text").alias("value"))
 
 
+def clarification_question(questions: DataFrame, candidates: DataFrame, labels: DataFrame, missing_texts: dict[str, str], general: str, several: str, repeat_note: str, k: int = 3) -> DataFrame:
+    """(qid, question) to ask back, for (qid, missing, asked): what is missing for the first candidate's intent, else the first k readings, else a general text.
+
+    several holds {options}; each option is its label with the reason. From the second repeat on
+    (asked counts earlier questions) the note comes first.
+    """
+    ranked = ordered(candidates, ["qid"], F.desc("score"), F.col("ord"), name="n").where(F.col("n") <= k).join(F.broadcast(labels), "intent", "left")
+    option = F.concat(F.coalesce("label", "intent"), F.lit("("), "reason", F.lit(")"))
+    lists = ranked.groupBy("qid").agg(F.min(F.struct("n", "intent")).alias("top"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", option.alias("o")))), lambda x: x["o"]), ", ").alias("options"))
+    rows = questions.select("qid", "missing", "asked").join(lists, "qid", "left")
+    special = F.lit(None).cast("string")
+    for intent, text in missing_texts.items():
+        special = F.when(F.col("missing") & (F.col("top.intent") == intent), F.lit(text)).otherwise(special)
+    before, after = several.split("{options}")
+    listed = F.concat(F.lit(before), "options", F.lit(after))
+    note = F.when(F.col("asked") >= 2, F.lit(repeat_note)).otherwise(F.lit(""))
+    return rows.select("qid", F.concat(note, F.coalesce(special, listed, F.lit(general))).alias("question"))
+
+
 def detect_layers(questions: DataFrame, hits: DataFrame, intent_layers: dict[str, str], keywords: list[tuple[str, str]], k: int = 8) -> DataFrame:
     """(qid, layers): known layers of the hits in order, then the intent's, then those that keywords imply."""
     known = hits.where((F.col("rank") <= k) & (F.col("layer") != "unknown")).groupBy("qid").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "layer"))), lambda x: x["layer"]).alias("seen"))
@@ -197,6 +227,31 @@ def merge_candidates(rules: DataFrame, external: DataFrame, valid: list[str], k:
     return ordered(best, ["qid"], F.col("src"), F.desc("score"), F.col("intent"), name="rank").where(F.col("rank") <= k).select("qid", "intent", "score", "rank")
 
 
+def coerce_bool(value: Column, default: Column) -> Column:
+    """true, 1, yes, y and false, 0, no, n whatever the case and blanks around; null gives the default, other texts are true if they are not empty."""
+    low = F.lower(F.trim(value))
+    return F.when(value.isNull(), default).when(low.isin("true", "1", "yes", "y"), True).when(low.isin("false", "0", "no", "n"), False).otherwise(value != "")
+
+
+def resolve_external(external: DataFrame, valid: list[str]) -> DataFrame:
+    """(qid, intent, confidence, needs_clarification) of a model's answers (qid, intent, score, needs): an unknown intent is null and asks back, a score that is no number is 0, others lie within [0, 1]."""
+    intent = F.when(F.col("intent").isin(*valid), F.col("intent"))
+    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.col("score").try_cast("double"), F.lit(0.0))))
+    rows = external.select("qid", intent.alias("intent"), score.alias("confidence"), F.col("needs").cast("string").alias("needs"))
+    needs = F.col("intent").isNull() | coerce_bool(F.col("needs"), (F.col("confidence") < SURE) | F.col("intent").isNull())
+    return rows.select("qid", "intent", "confidence", needs.alias("needs_clarification"))
+
+
+def parse_questions(questions: DataFrame, resolved: DataFrame, found: DataFrame, focus: list[tuple[str, list[str]]], default_focus: list[str], separators: list[str]) -> DataFrame:
+    """(qid, structure): intent, confidence, needs_clarification, terms in order, focus, targets of comparisons, and where the frame comes from."""
+    none = F.array().cast("array<string>")
+    terms = found.groupBy("qid").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "term"))), lambda x: x["term"]).alias("terms"))
+    rows = questions.join(resolved, "qid").join(terms, "qid", "left").withColumn("terms", F.coalesce("terms", none))
+    targets = F.when(F.col("intent") == "compare", compare_targets(F.col("text"), F.col("terms"), separators)).otherwise(none)
+    source = F.when(F.coalesce("intent", F.lit("open")) == "open", "cot").otherwise("static")
+    return rows.select("qid", F.struct("intent", "confidence", "needs_clarification", "terms", detect_focus(F.col("text"), focus, default_focus).alias("focus"), targets.alias("targets"), source.alias("frame_source")).alias("structure"))
+
+
 def select_frame(questions: DataFrame, static: DataFrame, proposed: DataFrame, mode: str = "auto", fallback: list[str] | None = None) -> DataFrame:
     """(qid, frame, source): a proposed frame of 3 to 8 items for open questions, always, or below 0.8 confidence; else the intent's own."""
     ok = proposed.select("qid", F.filter("items", lambda i: F.trim(i) != "").alias("proposed")).where(F.size("proposed").between(3, 8))

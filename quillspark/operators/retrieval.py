@@ -12,6 +12,7 @@ from quillspark.operators.inventory import containment, ordered
 TERM_IN_TITLE, TERM_IN_TEXT, TOKEN_IN_TITLE, TOKEN_IN_BODY = 12.0, 5.0, 2.0, 0.25
 JACCARD, LAYER_BONUS, ITEM_TERM, ITEM_RELATED, ITEM_TYPE = 8.0, 0.3, 8.0, 3.0, 1.5
 BODY_CHARS = 2500
+TOKEN_OF_MEDIA = 1.0
 #: Query vectors that one row of the index meets at once.
 QUERY_BLOCK = 2000
 
@@ -81,7 +82,7 @@ def hybrid_search(questions: DataFrame, sections: DataFrame, k: int, prefer: Dat
     key = F.struct("layer", T.strip_heading_prefix(F.col("title")).alias("title"))
     slim = sections.select("id", "ord", "layer", key.alias("key"))
     pool = slim.where(F.col("layer") == bonus_layer)
-    pool = ordered(pool.groupBy("key").agg(F.min(F.struct("ord", "id")).alias("m")), [], F.col("m.ord"), name="n").where(F.col("n") <= 2 * k).select(F.col("m.id").alias("id"))
+    pool = pool.groupBy("key").agg(F.min(F.struct("ord", "id")).alias("m")).orderBy("m").limit(2 * k).select(F.col("m.id").alias("id"))
     # at most 2k sections pad each question
     padding = questions.select("qid").join(F.broadcast(pool.groupBy().agg(F.collect_list("id").alias("ids")))).select("qid", F.explode("ids").alias("id"), F.lit(0.0).alias("points"))
     totals = totals.unionByName(padding).groupBy("qid", "id").agg(F.max("points").alias("points"))
@@ -107,26 +108,34 @@ def jaccard_join(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
 def media_search(questions: DataFrame, media: DataFrame, k: int = 3) -> DataFrame:
     """(qid, rank, id, score) from (qid, terms, section_terms, titles) and (id, heading, caption, terms).
 
-    A query term scores 5 as a tag, 3 in heading or caption; a section term 3 as a tag, 2 in the
-    heading; each section title that contains the heading, or is contained in it, 4: an empty heading
+    A query term scores 5 as a tag, 3 in heading or caption, 1 as a token of these (which is lower-case);
+    a section term 3 as a tag, 2 in the heading; letters keep their case. Each section title that contains the heading, or is contained in it, 4: an empty heading
     is contained in every title.
     """
-    places = media.select("id", F.lower(F.concat_ws(" ", F.coalesce("heading", F.lit("")), F.coalesce("caption", F.lit("")))).alias("text"))
-    heads = media.select("id", F.lower(F.coalesce("heading", F.lit(""))).alias("text"))
+    heading, caption = F.coalesce("heading", F.lit("")), F.coalesce("caption", F.lit(""))
+    # a line feed keeps terms from running over from the heading into the caption
+    places = media.select("id", F.concat_ws("\n", heading, caption).alias("text"))
+    heads = media.select("id", heading.alias("text"))
+    tokens = media.select("id", F.explode(T.token_set(F.concat_ws(" ", heading, caption))).alias("term")).withColumn("s", F.lit(TOKEN_OF_MEDIA))
     tags = media.select("id", F.explode("terms").alias("term")).distinct()
     query = questions.select("qid", F.explode("terms").alias("term")).distinct()
     own = questions.select("qid", F.explode("section_terms").alias("term")).distinct()
 
-    def score(asked: DataFrame, body: DataFrame, tag: float, inside: float) -> DataFrame:
-        where = tags.withColumn("s", F.lit(tag)).unionByName(containment(body, asked.select("term").distinct()).withColumn("s", F.lit(inside)))
+    def inside_of(body: DataFrame, terms: DataFrame) -> DataFrame:
+        """(id, term) with the term inside the text as it is written."""
+        return containment(body, terms).join(body, "id").where(F.contains("text", "term")).select("id", "term")
+
+    def score(asked: DataFrame, body: DataFrame, tag: float, inside: float, other: DataFrame | None = None) -> DataFrame:
+        where = tags.withColumn("s", F.lit(tag)).unionByName(inside_of(body, asked.select("term").distinct()).withColumn("s", F.lit(inside)))
+        where = where if other is None else where.unionByName(other)
         return asked.join(where.groupBy("id", "term").agg(F.max("s").alias("s")), "term").select("qid", "id", "s")
 
     titles = questions.select("qid", F.explode("titles").alias("title")).distinct()
-    by_title = containment(heads, titles.select(F.col("title").alias("term")).distinct())
-    back = containment(titles.select(F.col("title").alias("id"), F.col("title").alias("text")).distinct(), heads.where("text != ''").select(F.col("text").alias("term")).distinct())
+    by_title = inside_of(heads, titles.select(F.col("title").alias("term")).distinct())
+    back = inside_of(titles.select(F.col("title").alias("id"), F.col("title").alias("text")).distinct(), heads.where("text != ''").select(F.col("text").alias("term")).distinct())
     back = back.select(F.col("id").alias("term"), F.col("term").alias("head")).join(heads.select("id", F.col("text").alias("head")), "head").select("id", "term")
     related = by_title.unionByName(back).distinct().join(titles.withColumnRenamed("title", "term"), "term").select("qid", "id", F.lit(4.0).alias("s"))
-    points = score(query, places, 5.0, 3.0).unionByName(score(own, heads, 3.0, 2.0)).unionByName(related).groupBy("qid", "id").agg(F.sum("s").alias("s"))
+    points = score(query, places, 5.0, 3.0, tokens).unionByName(score(own, heads, 3.0, 2.0)).unionByName(related).groupBy("qid", "id").agg(F.sum("s").alias("s"))
     # media without a heading earn the same for every title: only the first k of them can rank without other points
     bare = heads.where("text = ''").select(F.col("id").alias("bare_id"))
     counts = questions.select("qid", (4.0 * F.size(F.array_distinct("titles"))).alias("each"))
@@ -153,13 +162,16 @@ def vector_top_k(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
     The query table is a stated set; it is cut into blocks of bounded size, each index row meets the
     blocks as arrays, and the ranking keeps k rows per query and task before anything is shuffled.
     """
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    batch = queries.groupBy(F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list(F.struct("qid", F.col("embedding").alias("q"))).alias("batch"))
-    batch = F.broadcast(batch) if blocks == 1 else batch
-    rows = index.select("id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    pairs = rows.join(batch, "block").select("id", "embedding", F.explode("batch").alias("b"))
-    scored = pairs.select(F.col("b.qid").alias("qid"), "id", dot(F.col("b.q"), F.col("embedding")).alias("score"))
-    return ordered(scored, ["qid"], F.desc("score"), F.col("id"), name="rank").where(F.col("rank") <= k).select("qid", "rank", "id", "score")
+    blocks, best = max(1, -(-queries.count() // QUERY_BLOCK)), None
+    for i in range(blocks):
+        mine = queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i)
+        # about QUERY_BLOCK vectors: a bounded broadcast
+        batch = mine.agg(F.collect_list(F.struct("qid", F.col("embedding").alias("q"))).alias("batch"))
+        pairs = index.select("id", "embedding").join(F.broadcast(batch)).select("id", "embedding", F.explode("batch").alias("b"))
+        scored = pairs.select(F.col("b.qid").alias("qid"), "id", dot(F.col("b.q"), F.col("embedding")).alias("score"))
+        ranked = ordered(scored, ["qid"], F.desc("score"), F.col("id"), name="rank").where(F.col("rank") <= k).select("qid", "rank", "id", "score")
+        best = ranked if best is None else best.unionByName(ranked)
+    return best
 
 
 def lookup_hits(hits: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -169,9 +181,14 @@ def lookup_hits(hits: DataFrame, corpus: DataFrame) -> DataFrame:
 
 def rank_terms_for_context(inventory: DataFrame, layers: DataFrame, hits: DataFrame, most: int = 80) -> DataFrame:
     """(qid, bucket, terms): matched terms first, then longest; most per bucket and how many more."""
-    rows = layers.join(inventory, "bucket").join(hits.withColumn("hit", F.lit(0)), ["qid", "term"], "left")
-    ranked = ordered(rows, ["qid", "bucket"], F.coalesce("hit", F.lit(1)), -F.length("term"), F.col("term"), name="n")
-    kept = ranked.withColumn("total", F.count("*").over(Window.partitionBy("qid", "bucket"))).where(F.col("n") <= most)
+    order = [-F.length("term"), F.col("term")]
+    # a question shows at most the first terms of a bucket and those that it names: nothing else is joined with it
+    first = ordered(inventory.select("bucket", "term").distinct(), ["bucket"], *order, name="n").where(F.col("n") <= most).drop("n")
+    totals = inventory.groupBy("bucket").agg(F.count_distinct("term").alias("total"))
+    named = hits.select("qid", "term").distinct().join(inventory.select("bucket", "term").distinct(), "term").join(layers.select("qid", "bucket").distinct(), ["qid", "bucket"]).select("qid", "bucket", "term", F.lit(0).alias("hit"))
+    plain = layers.select("qid", "bucket").distinct().join(first, "bucket").select("qid", "bucket", "term", F.lit(1).alias("hit"))
+    rows = named.unionByName(plain).groupBy("qid", "bucket", "term").agg(F.min("hit").alias("hit"))
+    kept = ordered(rows, ["qid", "bucket"], F.col("hit"), *order, name="n").where(F.col("n") <= most).join(totals, "bucket")
     lists = kept.groupBy("qid", "bucket", "total").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "term"))), lambda x: x["term"]), ", ").alias("terms"))
     return lists.select("qid", "bucket", F.concat("terms", F.when(F.col("total") > most, F.concat(F.lit(" and "), F.col("total") - most, F.lit(" more"))).otherwise("")).alias("terms"))
 
@@ -188,6 +205,23 @@ def build_context(questions: DataFrame, hits: DataFrame, limit: int = 3600, empt
     return questions.select("qid").join(made, "qid", "left").select("qid", F.coalesce("context", F.lit(empty)).alias("context"))
 
 
+def paper_context(questions: DataFrame, hits: DataFrame, empty: str = "(no papers retrieved)") -> DataFrame:
+    """(qid, context): numbered papers of (qid, rank, title, authors, year, venue, citations, abstract), the first four authors by name."""
+    authors = F.concat(F.array_join(F.slice("authors", 1, 4), ", "), F.when(F.size("authors") > 4, F.lit(" et al.")).otherwise(F.lit("")))
+    text = lambda c, d: F.coalesce(F.col(c).cast("string"), F.lit(d))
+    head = F.concat(F.lit("["), F.col("rank"), F.lit("] "), "title", F.lit(" \u2014 "), authors, F.lit(" ("), text("year", "None"), F.lit(", "), text("venue", ""), F.lit(") ["), text("citations", "0"), F.lit(" citations]"))
+    block = F.concat(head, F.lit("\n"), F.coalesce(F.nullif(F.col("abstract"), F.lit("")), F.lit("(no abstract available)")))
+    made = joined_in_order(hits, "qid", "rank", block, "\n\n", "context")
+    return questions.select("qid").join(made, "qid", "left").select("qid", F.coalesce("context", F.lit(empty)).alias("context"))
+
+
+def result_rows(hits: DataFrame, papers: DataFrame) -> DataFrame:
+    """Hits (qid, rank, id, score) as rows to hand out: the paper's columns, the score to four places, the citation."""
+    score = F.bround("score", 4).alias("score")
+    cited = T.paper_citation(F.col("authors"), F.col("year"), F.col("title"), F.col("venue")).alias("citation")
+    return hits.join(papers, "id").select("qid", "rank", "id", "title", "authors", "year", "venue", "abstract", "doi", "url", "citations", score, cited)
+
+
 def references(hits: DataFrame) -> DataFrame:
     """(qid, refs): numbered references of (qid, rank, citation, url, doi); a url else the doi's link."""
     link = F.coalesce(F.nullif(F.col("url"), F.lit("")), F.when(F.coalesce("doi", F.lit("")) != "", F.concat(F.lit("https://doi.org/"), "doi")))

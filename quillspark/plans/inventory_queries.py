@@ -102,7 +102,7 @@ def k11_reconcile_labels(spark, sf_dir):
     labels = table(spark, sf_dir, "labels")
     sheet = labels.select(F.col("doc_id").alias("seq"), F.expr("CASE WHEN doc_id % 11 > 0 THEN 'q' || doc_id END").alias("question"), F.expr("'quality' || quality").alias("original"), F.expr("CASE doc_id % 4 WHEN 0 THEN 'toxic' || toxic WHEN 1 THEN 'quality1 (sure)' WHEN 2 THEN 'nonsense' END").alias("corrected"))
     valid = spark.createDataFrame([("quality0",), ("quality1",), ("toxic0",), ("toxic1",)], "label string")
-    overrides = labels.where("doc_id % 10 = 3 AND doc_id < 1000").select(F.col("doc_id").alias("seq"), F.lit("toxic1").alias("label"))
+    overrides = labels.where("doc_id % 10 = 3").select(F.col("doc_id").alias("seq"), F.lit("toxic1").alias("label"))
     return K.reconcile_labels(sheet, valid, overrides)
 
 
@@ -169,7 +169,7 @@ ORACLES = {
     "k10_regroup_leaves": """WITH g AS (SELECT s_nationkey AS parent, CASE WHEN s_suppkey % 3 <> 0 THEN n_name || '-' || (s_suppkey % 3) END AS subgroup, s_name AS leaf, s_suppkey, CASE WHEN s_suppkey % 3 <> 0 THEN 10 - s_suppkey % 3 ELSE 2147483647 END AS o FROM supplier JOIN nation ON s_nationkey = n_nationkey)
         SELECT parent, subgroup, leaf, row_number() OVER (PARTITION BY parent ORDER BY o, s_suppkey, leaf)::INT AS ord FROM g""",
     "k11_reconcile_labels": """WITH s AS (SELECT doc_id AS seq, 'quality' || quality AS original, CASE doc_id % 4 WHEN 0 THEN 'toxic' || toxic WHEN 1 THEN 'quality1 (sure)' WHEN 2 THEN 'nonsense' END AS corrected FROM labels WHERE doc_id % 11 > 0),
-        l AS (SELECT *, CASE WHEN seq % 10 = 3 AND seq < 1000 THEN 'toxic1' WHEN seq % 4 = 0 THEN corrected WHEN seq % 4 = 1 THEN 'quality1' ELSE original END AS label FROM s)
+        l AS (SELECT *, CASE WHEN seq % 10 = 3 THEN 'toxic1' WHEN seq % 4 = 0 THEN corrected WHEN seq % 4 = 1 THEN 'quality1' ELSE original END AS label FROM s)
         SELECT seq, label, label IS DISTINCT FROM original AS changed, coalesce(nullif(corrected, ''), original) AS note FROM l""",
     "k12_labelling_sheet": """WITH e AS (SELECT doc_id AS id, 'quality' || quality || 'toxic' || toxic AS label FROM labels)
         SELECT row_number() OVER (ORDER BY label, id) AS seq, id, label, CASE label WHEN 'quality1toxic0' THEN 'fine' WHEN 'quality0toxic0' THEN 'poor' ELSE '' END AS meaning FROM e""",

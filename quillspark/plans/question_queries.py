@@ -59,13 +59,13 @@ def examples(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("eid"), "text", F.element_at(F.array(*map(F.lit, VALID)), (F.col("item_id") % 6 + 1).cast("int")).alias("intent"))
 
 
-def similar(spark, sf_dir):
+def similar(spark, sf_dir, least=Q.RELEVANT):
     near = examples(spark, sf_dir).select(F.col("eid").alias("qid"), F.when(F.col("eid") % 3 > 0, F.concat("text", F.lit(" more"))).otherwise(F.col("text")).alias("text"))
-    return Q.example_similarity(asked(spark, sf_dir).select((F.col("qid") + 1000).alias("qid"), "text").unionByName(near), examples(spark, sf_dir))
+    return Q.example_similarity(asked(spark, sf_dir).select((F.col("qid") + 1000).alias("qid"), "text").unionByName(near), examples(spark, sf_dir), least)
 
 
 def q5_score_by_examples(spark, sf_dir):
-    return Q.score_by_examples(similar(spark, sf_dir), examples(spark, sf_dir))
+    return Q.score_by_examples(similar(spark, sf_dir, Q.LIKE_QUESTION), examples(spark, sf_dir))
 
 
 def q6_relevant_examples(spark, sf_dir):
@@ -121,7 +121,7 @@ def q13_compare_targets(spark, sf_dir):
 
 def q14_blocking_missing(spark, sf_dir):
     rows = asked(spark, sf_dir).join(resolved(spark, sf_dir).select("qid", "intent"), "qid")
-    missing = Q.blocking_missing(F.col("intent"), F.substring("text", 1, 10), F.col("images"), F.col("qid") % 4, F.length("text") < 200)
+    missing = Q.blocking_missing(F.col("intent"), F.col("text"), F.col("images"), F.col("qid") % 4, F.length("text") < 200)
     return rows.select("qid", F.array_join(missing, ",").alias("missing"))
 
 
@@ -149,13 +149,21 @@ def q17_clarify_subtype(spark, sf_dir):
 
 def q18_parse_questions(spark, sf_dir):
     """The whole structure of each question as one row."""
-    terms = found(spark, sf_dir).groupBy("qid").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "term"))), lambda x: x["term"]).alias("terms"))
-    rows = asked(spark, sf_dir).join(resolved(spark, sf_dir), "qid").join(terms, "qid", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))
-    focus = Q.detect_focus(F.col("text"), FOCUS, ["definition", "relation", "limits"])
-    targets = F.when(F.col("intent") == "compare", Q.compare_targets(F.col("text"), F.col("terms"), [" and ", ", "])).otherwise(F.array().cast("array<string>"))
-    source = F.when(F.coalesce("intent", F.lit("open")) == "open", "cot").otherwise("static")
-    structure = F.struct("intent", "confidence", "needs_clarification", "terms", focus.alias("focus"), targets.alias("targets"), source.alias("frame_source"))
-    return rows.select("qid", F.to_json(structure).alias("structure"))
+    done = Q.parse_questions(asked(spark, sf_dir), resolved(spark, sf_dir), found(spark, sf_dir), FOCUS, ["definition", "relation", "limits"], [" and ", ", "])
+    return done.select("qid", F.to_json("structure").alias("structure"))
+
+
+def q10_clarification_question(spark, sf_dir):
+    """What to ask back; conversations with an even number have been asked twice before."""
+    labels = spark.createDataFrame([("compare", "COMPARE"), ("case", "CASE")], "intent string, label string")
+    rows = asked(spark, sf_dir).select("qid", (F.length("text") < 200).alias("missing"), F.when(F.floor(F.col("qid") / 100) % 2 == 0, 2).otherwise(0).alias("asked"))
+    candidates = scored(spark, sf_dir).withColumn("ord", F.array_position(F.array(*map(F.lit, VALID)), F.col("intent")))
+    return Q.clarification_question(rows, candidates, labels, {"compare": "Compare what?", "evaluation": "Which design?"}, "What is it about?", "It may mean: {options}. Which?", "(again) ")
+
+
+def q19_resolve_external(spark, sf_dir):
+    external = asked(spark, sf_dir).select("qid", F.element_at(F.array(*map(F.lit, [*VALID, "bogus"])), (F.col("qid") % 7 + 1).cast("int")).alias("intent"), F.expr("CASE WHEN qid % 3 = 0 THEN '1.7' WHEN qid % 3 = 1 THEN 'x' ELSE '0.5' END").alias("score"), F.expr("CASE qid % 5 WHEN 0 THEN ' Yes' WHEN 1 THEN 'no' WHEN 2 THEN '' END").alias("needs"))
+    return Q.resolve_external(external, VALID)
 
 
 def q19_merge_candidates(spark, sf_dir):
@@ -171,7 +179,7 @@ def q20_select_frame(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    q1_rewrite_aliases, q2_find_terms, q3_expand_query, q4_score_intents, q5_score_by_examples, q6_relevant_examples, q7_score_by_retrieval, q8_mechanism_gate, q9_resolve_intent, q10_ambiguous_options,
+    q1_rewrite_aliases, q2_find_terms, q3_expand_query, q4_score_intents, q5_score_by_examples, q6_relevant_examples, q7_score_by_retrieval, q8_mechanism_gate, q9_resolve_intent, q10_ambiguous_options, q10_clarification_question, q19_resolve_external,
     q11_detect_layers, q12_detect_focus, q13_compare_targets, q14_blocking_missing, q15_extract_facets, q16_missing_and_risks, q17_clarify_subtype, q18_parse_questions, q19_merge_candidates, q20_select_frame,
 )}
 
@@ -189,10 +197,6 @@ cand AS (SELECT *, list_position({VALID}, intent) AS ord FROM scored), ranked AS
 tops AS (SELECT qid, max(CASE WHEN n = 1 THEN intent END) AS intent, max(score) AS confidence, max(CASE WHEN n = 2 THEN score END) AS second, count(*) AS n_candidates FROM ranked GROUP BY qid),
 resolved AS (SELECT a.qid, a.text, a.images, t.intent, coalesce(confidence, 0) AS confidence, coalesce(n_candidates, 0) AS n_candidates,
   t.intent IS NULL OR confidence < 0.65 OR coalesce(confidence < 0.9 AND confidence - second < 0.15 - 1e-12, false) OR (t.intent = 'case' AND length(a.text) < 150) AS needs_clarification FROM asked a LEFT JOIN tops t ON t.qid = a.qid)"""
-_GRAMS = "(SELECT CASE WHEN length(s) > 1 THEN list_distinct(list_transform(range(1, length(s)), lambda i: substr(s, i, 2))) WHEN length(s) = 1 THEN [s] ELSE [] END FROM (SELECT regexp_replace(lower(text), '\\s+', '', 'g') AS s))"
-SIMILAR_SQL = f"""{ASKED_SQL}, e AS (SELECT item_id AS eid, text, {VALID}[item_id % 6 + 1] AS intent FROM benchmark), qs AS (SELECT qid + 1000 AS qid, text FROM asked UNION ALL SELECT eid, CASE WHEN eid % 3 > 0 THEN text || ' more' ELSE text END FROM e),
-qg AS (SELECT qid, {_GRAMS} AS g FROM qs), eg AS (SELECT eid, {_GRAMS} AS g FROM e),
-sim AS (SELECT qid, eid, 2.0::DOUBLE * count(*) / (len(any_value(q.g)) + len(any_value(x.g))) AS similarity FROM (SELECT qid, g, unnest(g) AS t FROM qg) q JOIN (SELECT eid, g, unnest(g) AS t FROM eg) x USING (t) GROUP BY 1, 2)"""
 _SEARCH8 = rq.SEARCH_SQL.replace("rank <= 6", "rank <= 8")
 _LOW = lambda w: f"contains(lower(text), '{w}')"
 
@@ -212,12 +216,14 @@ ORACLES = {
         ev AS (SELECT term, canonical, 0 AS src, n, term AS t2 FROM al UNION ALL SELECT i.term, coalesce(al.canonical, i.term), 1, -length(i.term), i.term FROM (SELECT DISTINCT term FROM inv) i LEFT JOIN al ON al.term = i.term),
         h AS (SELECT qid, canonical, min((src, n, t2)) AS a FROM r JOIN ev ON contains(r.t, lower(ev.term)) GROUP BY 1, 2) SELECT qid, canonical AS term, row_number() OVER (PARTITION BY qid ORDER BY a, canonical)::INT AS ord FROM h""",
     "q4_score_intents": f"WITH {SCORED_SQL} SELECT qid, intent, score, reason FROM scored",
-    "q5_score_by_examples": f"WITH {SIMILAR_SQL}, b AS (SELECT * FROM sim WHERE similarity >= 0.86 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, eid) = 1) SELECT qid, intent, CASE WHEN similarity >= 0.97 THEN 0.995 ELSE 0.95 END::DOUBLE AS score FROM b JOIN e USING (eid)",
-    "q6_relevant_examples": f"WITH {SIMILAR_SQL} SELECT qid, eid, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, eid)::INT AS rank, round(similarity, 6) AS similarity FROM sim WHERE similarity >= 0.18 QUALIFY rank <= 6",
     "q7_score_by_retrieval": f"WITH {_SEARCH8} SELECT DISTINCT qid, CASE layer WHEN 'mechanism' THEN 'compare' WHEN 'form' THEN 'case' ELSE 'evaluation' END AS intent, 0.74::DOUBLE AS score FROM hits WHERE rank <= 5 AND score >= 3 AND layer <> 'unknown'",
     "q8_mechanism_gate": f"WITH {_SEARCH8} SELECT DISTINCT qid FROM hits WHERE rank <= 3 AND score >= 3 AND layer = 'mechanism' AND qid IN (SELECT qid FROM prefer WHERE term IN (SELECT term FROM inv WHERE bucket IN ('mechanism', 'form')))",
     "q9_resolve_intent": f"WITH {SCORED_SQL} SELECT qid, intent, confidence, n_candidates, needs_clarification FROM resolved",
     "q10_ambiguous_options": f"WITH {SCORED_SQL} SELECT r.qid, r.n::INT AS ord, CASE WHEN r.intent IN ('compare', 'case', 'evaluation') THEN upper(r.intent) ELSE r.intent END AS label, md5('[intent:' || r.intent || ']' || a.text) AS digest FROM ranked r JOIN tops t USING (qid) JOIN asked a USING (qid) WHERE confidence < 0.9 AND confidence - second < 0.15 - 1e-12 AND second >= 0.5",
+    "q10_clarification_question": f"""WITH {SCORED_SQL}, o AS (SELECT qid, arg_min(intent, n) AS top, string_agg(CASE WHEN intent IN ('compare', 'case') THEN upper(intent) ELSE intent END || '(' || reason || ')', ', ' ORDER BY n) AS options FROM ranked WHERE n <= 3 GROUP BY qid)
+        SELECT a.qid, CASE WHEN (a.qid // 100) % 2 = 0 THEN '(again) ' ELSE '' END || CASE WHEN length(text) < 200 AND top = 'compare' THEN 'Compare what?' WHEN length(text) < 200 AND top = 'evaluation' THEN 'Which design?' WHEN options IS NOT NULL THEN 'It may mean: ' || options || '. Which?' ELSE 'What is it about?' END AS question FROM asked a LEFT JOIN o ON o.qid = a.qid""",
+    "q19_resolve_external": f"""WITH {ASKED_SQL}, x AS (SELECT qid, CASE WHEN qid % 7 < 6 THEN {VALID}[qid % 7 + 1] END AS intent, CASE qid % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.0 ELSE 0.5 END::DOUBLE AS confidence, qid % 5 AS f FROM asked)
+        SELECT qid, intent, confidence, intent IS NULL OR CASE f WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN false ELSE confidence < 0.65 END AS needs_clarification FROM x""",
     "q11_detect_layers": f"""WITH {_SEARCH8}, l AS (SELECT qid, list(layer ORDER BY rank) AS s FROM hits WHERE layer <> 'unknown' GROUP BY qid),
         a AS (SELECT q.qid, list_filter(list_concat(coalesce(s, []), [CASE {VALID}[q.qid % 6 + 1] WHEN 'compare' THEN 'mechanism' WHEN 'case' THEN 'form' WHEN 'evaluation' THEN 'property' WHEN 'property' THEN 'property' END, CASE WHEN regexp_matches(text, '(?i)tion') THEN 'property' END, CASE WHEN regexp_matches(text, '(?i)ment') THEN 'form' END]), lambda x: x IS NOT NULL) AS a FROM q LEFT JOIN l ON l.qid = q.qid)
         SELECT qid, CASE WHEN len(a) = 0 THEN 'unknown' ELSE array_to_string(list_filter(a, lambda x, i: list_position(a, x) = i), ',') END AS layers FROM a""",
@@ -225,7 +231,7 @@ ORACLES = {
     "q13_compare_targets": f"""WITH {ASKED_SQL}, p AS (SELECT qid, text, list_concat(CASE WHEN contains(text, ' and ') THEN string_split(text, ' and ') ELSE [] END, CASE WHEN contains(text, ', ') THEN string_split(text, ', ') ELSE [] END) AS p FROM asked),
         s AS (SELECT qid, list_filter(list_transform(p, lambda x: regexp_replace(x, '^[ ?？。.]+|[ ?？。.]+$', '', 'g')), lambda x: length(x) BETWEEN 2 AND 16) AS s FROM p)
         SELECT qid, CASE WHEN qid % 2 = 0 THEN 'a|b' ELSE array_to_string(list_concat(s, CASE WHEN list_contains(s, 'c') THEN [] ELSE ['c'] END)[1:4], '|') END AS targets FROM s""",
-    "q14_blocking_missing": f"WITH {SCORED_SQL} SELECT qid, CASE WHEN intent = 'case' AND images = 0 THEN 'short case' WHEN intent = 'compare' AND qid % 4 < 2 THEN 'two targets' WHEN intent = 'evaluation' AND length(text) < 200 THEN 'design facets' ELSE '' END AS missing FROM resolved",
+    "q14_blocking_missing": f"WITH {SCORED_SQL} SELECT qid, CASE WHEN intent = 'case' AND images = 0 AND length(text) < 30 THEN 'short case' WHEN intent = 'compare' AND qid % 4 < 2 THEN 'two targets' WHEN intent = 'evaluation' AND length(text) < 200 THEN 'design facets' ELSE '' END AS missing FROM resolved",
     "q15_extract_facets": f"WITH {ASKED_SQL}, {_FACET_ROWS} SELECT * EXCLUDE (text) FROM f",
     "q16_missing_and_risks": f"""WITH {ASKED_SQL}, {_FACET_ROWS}, m AS (SELECT qid, text, {_JOIN(["CASE WHEN length(text) < 300 THEN 'short description' END", "CASE WHEN context = '' THEN 'no context' END", "CASE WHEN goal = '' THEN 'no goal' END", *[f"CASE WHEN {n} = '' THEN 'no {n}' END" for n in VOCABULARIES]])} AS missing FROM f)
         SELECT qid, missing, {_JOIN(["CASE WHEN contains(text, 'the') AND contains(text, 'and') THEN 'both' END", "CASE WHEN contains(text, 'que') AND contains(text, 'de') THEN 'pair' END", "CASE WHEN missing <> '' THEN 'incomplete' END"])} AS risks FROM m""",

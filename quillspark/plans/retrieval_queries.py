@@ -141,7 +141,7 @@ def d2_merge_harvest(spark, sf_dir):
 
 
 def _corpus(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("doc_id % 7 != 0").select(F.col("doc_id").alias("id"), "text")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
 
 
 def d3_rows_to_embed(spark, sf_dir):
@@ -157,7 +157,31 @@ def d5_embed_batches(spark, sf_dir):
     return D.embed_batches(_corpus(spark, sf_dir), D.hashed_embedding).select("id", F.size("embedding").alias("dim"), F.bround(R.dot(F.col("embedding"), F.col("embedding")), 4).alias("norm"))
 
 
+def _paper_hits(spark, sf_dir):
+    """(qid, rank, id, score) and papers: the orders of each customer."""
+    rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    names = F.transform(F.sequence(F.lit(0), (F.col("o_orderkey") % 6).cast("int")), lambda i: F.concat("c_name", F.lit("-"), i))
+    papers = rows.select(
+        F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("title"), names.alias("authors"), F.when(F.col("o_orderkey") % 5 > 0, F.year("o_orderdate")).alias("year"), F.col("c_mktsegment").alias("venue"),
+        F.when(F.col("o_orderkey") % 7 > 0, F.col("o_orderstatus")).otherwise("").alias("abstract"), F.lit("").alias("doi"), F.lit("").alias("url"), (F.col("o_orderkey") % 100).cast("int").alias("citations"), "o_custkey",
+    )
+    hits = K.ordered(papers.select(F.col("o_custkey").alias("qid"), "id", (F.col("citations") / 7.0).alias("score")), ["qid"], F.col("id"), name="rank")
+    return hits, papers.drop("o_custkey")
+
+
+def r9_paper_context(spark, sf_dir):
+    hits, papers = _paper_hits(spark, sf_dir)
+    asked = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("qid"))
+    return R.paper_context(asked, hits.join(papers, "id")).select("qid", F.md5("context").alias("digest"))
+
+
+def r10_result_rows(spark, sf_dir):
+    hits, papers = _paper_hits(spark, sf_dir)
+    return R.result_rows(hits, papers).select("qid", "rank", "id", "citations", "score", "citation", F.array_join("authors", "|").alias("authors"))
+
+
 QUERIES = {f.__name__: f for f in (
+    r9_paper_context, r10_result_rows,
     r0_item_for_section, r1_hybrid_search, r1_structured_search, r2_dedupe_ranked, r3_jaccard_join, r4_media_search, r5_l2_normalize, r6_vector_top_k, r7_retrieve, r8_rank_terms_for_context,
     r9_build_context, r10_references, r11_retrieval_answer, r12_cited_sources, r13_resolve_media_refs, d1_dedupe_papers, d2_merge_harvest, d3_rows_to_embed, d4_update_index, d5_embed_batches,
 )}
@@ -191,7 +215,14 @@ _TRUNC = """CASE WHEN length(text) <= 300 THEN text
   WHEN instr(reverse(left(text, 300)), ' ,') > 0 AND 299 - instr(reverse(left(text, 300)), ' ,') >= 150 THEN rtrim(left(text, 301 - instr(reverse(left(text, 300)), ' ,')), ' ') ELSE left(text, 300) END"""
 _CITE = "doc_id || ':' || start_line || '-' || end_line"
 
+PAPERS_SQL = """h AS (SELECT o_custkey AS qid, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rank, o_orderpriority AS title, list_transform(range(0, (o_orderkey % 6)::INT + 1), lambda i: c_name || '-' || i) AS authors,
+    CASE WHEN o_orderkey % 5 > 0 THEN year(o_orderdate) END AS year, c_mktsegment AS venue, CASE WHEN o_orderkey % 7 > 0 THEN o_orderstatus ELSE '' END AS abstract, (o_orderkey % 100)::INT AS citations FROM orders JOIN customer ON o_custkey = c_custkey)"""
+
 ORACLES = {
+    "r9_paper_context": f"""WITH {PAPERS_SQL}, b AS (SELECT qid, '[' || rank || '] ' || title || ' \u2014 ' || array_to_string(authors[1:4], ', ') || CASE WHEN len(authors) > 4 THEN ' et al.' ELSE '' END || ' (' || coalesce(year::VARCHAR, 'None') || ', ' || venue || ') [' || citations || ' citations]' || chr(10) || CASE WHEN abstract = '' THEN '(no abstract available)' ELSE abstract END AS block, rank FROM h)
+        SELECT c_custkey AS qid, md5(coalesce(string_agg(block, chr(10) || chr(10) ORDER BY rank), '(no papers retrieved)')) AS digest FROM customer LEFT JOIN b ON qid = c_custkey GROUP BY c_custkey""",
+    "r10_result_rows": f"""WITH {PAPERS_SQL} SELECT qid, rank::INT AS rank, id, citations, round_even(citations / 7.0::DOUBLE, 4) AS score, array_to_string(authors, '|') AS authors,
+        CASE WHEN len(authors) = 1 THEN authors[1] ELSE authors[1] || ' et al.' END || ' (' || coalesce(year::VARCHAR, 'n.d.') || '). ' || title || '.' || CASE WHEN venue <> '' THEN ' ' || venue || '.' ELSE '' END AS citation FROM h""",
     "r0_item_for_section": f"""WITH {iq.INVENTORY_SQL}, k AS (SELECT id, doc_id * 100000 + sec AS ord, {sql_strip_heading('title')} AS bare, term FROM termed), i AS (SELECT * FROM k WHERE term <> '')
         SELECT k.id, min(i.ord) AS item_ord FROM k JOIN i ON i.id = k.id OR i.term = k.bare GROUP BY k.id""",
     "r1_hybrid_search": f"WITH {SEARCH_SQL} SELECT qid, rank, id, score FROM hits",
@@ -214,6 +245,6 @@ ORACLES = {
     "r13_resolve_media_refs": f"WITH {_ANS} SELECT qid, md5(replace(answer, '](image:' || (conv_id % 40) || ')', '](/media/dir%20a/%C3%A9%20' || (conv_id % 40) || '.png)')) AS digest FROM a",
     "d1_dedupe_papers": f"WITH {_PAPERS} SELECT key, min(ord) AS ord FROM papers GROUP BY key",
     "d2_merge_harvest": f"WITH {_PAPERS}, r AS (SELECT key, ord, ord % 2 AS src FROM papers WHERE ord % 2 = 0 OR abstract IS NOT NULL) SELECT key, arg_min(ord, src * 1000000000 + ord) AS ord, arg_min(src, src * 1000000000 + ord) = 1 AS new FROM r GROUP BY key",
-    "d3_rows_to_embed": "SELECT doc_id AS id FROM documents WHERE doc_id % 7 <> 0 AND doc_id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id % 4 > 0)",
-    "d4_update_index": "SELECT doc_id AS id, coalesce(len(embedding), 1)::INT AS dim, 'm1' AS model FROM documents LEFT JOIN embeddings ON vec_id = doc_id AND vec_id % 4 > 0 WHERE doc_id % 7 <> 0",
+    "d3_rows_to_embed": "SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id % 4 > 0)",
+    "d4_update_index": "SELECT doc_id AS id, coalesce(len(embedding), 1)::INT AS dim, 'm1' AS model FROM documents LEFT JOIN embeddings ON vec_id = doc_id AND vec_id % 4 > 0",
 }

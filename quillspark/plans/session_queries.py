@@ -22,7 +22,7 @@ RULES = C.SessionRules(
 
 def turns(spark, sf_dir):
     """User turns with terms and an intent, as if every turn completed."""
-    rows = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.substring("text", 1, 120).alias("text"))
+    rows = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", "text")
     hits = F.array_compact(F.array(*[F.when(F.lower("text").contains(t), F.lit(t)) for t in TERMS]))
     return rows.withColumn("terms", hits).withColumn("intent", F.when(F.col("text").contains("of"), "evaluation").otherwise("case"))
 
@@ -55,7 +55,7 @@ def c6_contextualize_query(spark, sf_dir):
 
 def _session_turns(rows):
     control = F.when((F.col("conv_id") % 10 == 3) & (F.col("turn") % 5 == 4), "/reset").when((F.col("conv_id") % 10 == 7) & (F.col("turn") % 6 == 5), "/drop")
-    return rows.where("role = 'user'").select(F.col("conv_id").alias("session"), "turn", F.coalesce(control, F.substring("text", 1, 120)).alias("text"))
+    return rows.where("role = 'user'").select(F.col("conv_id").alias("session"), "turn", F.coalesce(control, F.col("text")).alias("text"))
 
 
 def c7_session_machine(spark, sf_dir):
@@ -100,9 +100,13 @@ def c8_control_events(spark, sf_dir):
 
 def c9_answer_pipeline(spark, sf_dir):
     frames = spark.createDataFrame([("case", "summary")], "intent string, section string")
-    answers = table(spark, sf_dir, "conversations").where("role = 'assistant'").select(F.concat_ws(":", "conv_id", F.col("turn") - 1).alias("qid"), F.lit("case").alias("intent"), F.col("text").alias("answer"))
-    sections = iq.knowledge(spark, sf_dir).where("layer != 'unknown'")
-    return A.run_stream(_stream(spark, sf_dir), RULES, lambda batch: A.answer_batch(batch, sections, answers, frames))
+    unsupported = spark.createDataFrame([("the", "and", 0), ("that", "with", 1)], "term string, mechanism string, ord int")
+    answers = table(spark, sf_dir, "conversations").where("role = 'assistant'").select(F.concat_ws(":", "conv_id", F.col("turn") - 1).alias("qid"), F.lit("case").alias("intent"), F.concat("text", F.lit(" ![x](image:"), F.concat_ws(":", F.col("conv_id") % 50, F.lit(1)), F.lit(")")).alias("answer"))
+    media = sq.media(spark, sf_dir).withColumn("name", F.concat("id", F.lit(".png")))
+    terms = io.written(iq.inventory(spark, sf_dir).select("term").distinct(), "terms")
+    knowledge = A.Knowledge(io.written(iq.knowledge(spark, sf_dir), "knowledge"), frames, terms, io.written(media, "media"), unsupported, io.scratch(spark, "question-log"), "aeiou")
+    done = A.run_stream(_stream(spark, sf_dir), RULES, lambda batch: A.answer_batch(batch, knowledge, answers))
+    return done.select("session", "turn", "status", "corrected", F.md5("terms").alias("terms"), "hits", "media", "audit", F.md5("answer").alias("answer"))
 
 
 def _papers(spark, sf_dir):
@@ -149,6 +153,22 @@ def s6_flatten_inventory_tree(spark, sf_dir):
     return io.flatten_inventory_tree(nodes)
 
 
+def s6_tree_inventory(spark, sf_dir):
+    """Leaves by layer and type, subgroups and aliases of the tree of regions, nations and suppliers; layers are the regions' names, and own."""
+    region, nation, supplier = (table(spark, sf_dir, t) for t in ("region", "nation", "supplier"))
+    none, no_alias = F.lit(None).cast("string"), F.array().cast("array<string>")
+    nodes = region.select(F.concat(F.lit("r"), "r_regionkey").alias("id"), none.alias("parent"), F.col("r_name").alias("label"), F.lit("place").alias("layer"), F.lit("root").alias("type"), no_alias.alias("aliases"))
+    nodes = nodes.unionByName(nation.select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.concat(F.lit("r"), "n_regionkey").alias("parent"), F.col("n_name").alias("label"), F.when(F.col("n_nationkey") % 4 == 0, F.lit("own")).alias("layer"), none.alias("type"), F.array(F.lower("n_name"), F.lit(" ")).alias("aliases")))
+    nodes = nodes.unionByName(supplier.select(F.concat(F.lit("s"), "s_suppkey").alias("id"), F.concat(F.lit("n"), "s_nationkey").alias("parent"), F.col("s_name").alias("label"), none.alias("layer"), F.when(F.col("s_suppkey") % 3 == 0, F.lit("third")).alias("type"), no_alias.alias("aliases")))
+    over = nation.where("n_nationkey % 5 = 0").select(F.lower("n_name").alias("alias"), F.concat(F.lit("N"), "n_nationkey").alias("canonical"))
+    return io.tree_inventory(nodes, over, ["place", "own"])
+
+
+def s14_in_years(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").where(io.in_years(F.year("o_orderdate"), 1994, 1996))
+    return orders.groupBy("o_orderstatus").agg(F.count("*").alias("n")).withColumn("years", F.lit(io.year_range(1994, 1996)))
+
+
 def s7_read_structured_items(spark, sf_dir):
     items = iq.items(spark, sf_dir).select(F.pmod(F.crc32("id"), F.lit(20)).alias("doc"), "term", "layer", "ord")
     lists = items.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("ord", "term", "layer"))).alias("xs")).select("doc", F.transform("xs", lambda x: F.struct(x["term"].alias("term"), x["layer"].alias("layer"))).alias("items"))
@@ -224,12 +244,12 @@ def s15_question_log(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     c1_memory_summary, c2_shares_recent_topic, c3_carried_intent, c4_classify_turns, c5_topic_switches, c6_contextualize_query, c7_session_machine, c7_session_stream, c8_control_events, c9_answer_pipeline,
-    s2_read_corpus, s3_write_corpus, s4_index_files, s5_read_inventory_flat, s6_flatten_inventory_tree, s7_read_structured_items, s8_export_structured_items, s9_read_examples, s10_read_frames, s10_frame_coverage,
+    s2_read_corpus, s3_write_corpus, s4_index_files, s5_read_inventory_flat, s6_flatten_inventory_tree, s6_tree_inventory, s14_in_years, s7_read_structured_items, s8_export_structured_items, s9_read_examples, s10_read_frames, s10_frame_coverage,
     s11_read_media_index, s12_read_config, s13_map_harvest_records, s14_expand_venues, s15_question_log,
 )}
 
 _HITS = ", ".join(f"CASE WHEN contains(lower(t), '{x}') THEN '{x}' END" for x in TERMS)
-TURNS_SQL = f"""turns AS (SELECT conv_id, turn, t AS text, list_filter([{_HITS}], lambda x: x IS NOT NULL) AS terms, CASE WHEN contains(t, 'of') THEN 'evaluation' ELSE 'case' END AS intent FROM (SELECT conv_id, turn, left(text, 120) AS t FROM conversations WHERE role = 'user')),
+TURNS_SQL = f"""turns AS (SELECT conv_id, turn, t AS text, list_filter([{_HITS}], lambda x: x IS NOT NULL) AS terms, CASE WHEN contains(t, 'of') THEN 'evaluation' ELSE 'case' END AS intent FROM (SELECT conv_id, turn, text AS t FROM conversations WHERE role = 'user')),
 topics AS (SELECT *, coalesce(list_has_any(terms, flatten(list(terms) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING))), false) AS shares_topic,
   CASE WHEN lag(intent) OVER (PARTITION BY conv_id ORDER BY turn) = 'evaluation' AND regexp_matches(text, '(?i)\\bis\\b') THEN 'evaluation' END AS carried, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS nth FROM turns),
 base AS (SELECT *, CASE WHEN regexp_matches(text, '(?i)\\bthis\\b') THEN CASE WHEN len(terms) > 0 AND nth > 1 AND NOT shares_topic THEN 0.6 ELSE 0.95 END WHEN carried IS NOT NULL THEN 0.9 WHEN regexp_matches(text, '(?i)\\bwith\\b|\\bque\\b') AND shares_topic THEN 0.8 ELSE 0.5 END::DOUBLE AS c0,
@@ -248,6 +268,13 @@ ORACLES = {
     "s4_index_files": "SELECT 'm1' AS model, count(*) AS n, max(len(embedding)) AS dim FROM embeddings",
     "s5_read_inventory_flat": """WITH r AS (SELECT s_nationkey AS doc, n_name, s_name, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_name)::INT - 1 AS ord FROM supplier JOIN nation ON s_nationkey = n_nationkey), n AS (SELECT DISTINCT doc, n_name FROM r)
         SELECT doc, 'by_layer' AS kind, 'layer1' AS bucket, ord, s_name AS term FROM r UNION ALL SELECT doc, 'by_type', n_name, ord, s_name FROM r UNION ALL SELECT doc, 'by_layer', 'layer2', 0, n_name FROM n UNION ALL SELECT doc, 'structural', '', 0, n_name FROM n UNION ALL SELECT doc, 'alias', n_name, 0, 'x' FROM n""",
+    "s14_in_years": "SELECT o_orderstatus, count(*) AS n, '1994-1996' AS years FROM orders WHERE year(o_orderdate) BETWEEN 1994 AND 1996 GROUP BY 1",
+    "s6_tree_inventory": """WITH n AS (SELECT *, n_nationkey IN (SELECT s_nationkey FROM supplier) AS inner_node, CASE WHEN n_nationkey % 4 = 0 THEN 'own' ELSE 'place' END AS layer FROM nation JOIN region ON r_regionkey = n_regionkey)
+        SELECT DISTINCT 'by_layer' AS kind, layer AS bucket, s_name AS term FROM supplier JOIN n ON n_nationkey = s_nationkey UNION SELECT 'by_layer', layer, n_name FROM n WHERE NOT inner_node
+        UNION SELECT 'by_layer', 'place', r_name FROM region WHERE r_regionkey NOT IN (SELECT n_regionkey FROM nation)
+        UNION SELECT 'by_type', CASE WHEN s_suppkey % 3 = 0 THEN 'third' ELSE 'root' END, s_name FROM supplier JOIN n ON n_nationkey = s_nationkey UNION SELECT 'by_type', 'root', n_name FROM n WHERE NOT inner_node
+        UNION SELECT 'by_type', 'root', r_name FROM region WHERE r_regionkey NOT IN (SELECT n_regionkey FROM nation)
+        UNION SELECT 'subgroup', 'root', n_name FROM n WHERE inner_node UNION SELECT 'alias', lower(n_name), CASE WHEN n_nationkey % 5 = 0 THEN 'N' || n_nationkey ELSE n_name END FROM nation""",
     "s6_flatten_inventory_tree": """SELECT 'r' || r_regionkey AS id, r_name AS label, r_name AS layer, NULL AS type, 0 AS depth, false AS is_leaf FROM region
         UNION ALL SELECT 'n' || n_nationkey, n_name, CASE WHEN n_nationkey % 4 = 0 THEN 'own' ELSE r_name END, n_name, 1, n_nationkey NOT IN (SELECT s_nationkey FROM supplier) FROM nation JOIN region ON n_regionkey = r_regionkey
         UNION ALL SELECT 's' || s_suppkey, s_name, CASE WHEN n_nationkey % 4 = 0 THEN 'own' ELSE r_name END, n_name, 2, true FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",

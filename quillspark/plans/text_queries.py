@@ -66,10 +66,8 @@ def p9_window_at_keyword(spark, sf_dir):
 
 def p10_term_type(spark, sf_dir):
     docs = _titles(spark, sf_dir).withColumn("layer", F.element_at(F.array(*map(F.lit, ("property", "form", "mechanism", "other"))), (F.pmod("doc_id", F.lit(4)) + 1).cast("int")))
-    kinds = spark.createDataFrame([("property", "basic property"), ("form", "control form"), ("mechanism", "basic mechanism")], "of_layer string, kind string")
-    combined = (F.col("layer") == "mechanism") & F.col("title").rlike("(?i)^[te]")
-    typed = docs.join(F.broadcast(kinds), F.col("layer") == F.col("of_layer"), "left")
-    return typed.select("doc_id", F.when(combined, "combined mechanism").otherwise(F.coalesce("kind", F.lit("undecided"))).alias("term_type"))
+    kinds = {"property": "basic property", "form": "control form", "mechanism": "basic mechanism"}
+    return docs.select("doc_id", T.term_type(F.col("layer"), F.col("title"), kinds, ("mechanism", "(?i)^[te]", "combined mechanism")).alias("term_type"))
 
 
 def p11_truncate_at_boundary(spark, sf_dir):
@@ -98,21 +96,18 @@ def p13_unwrap_fence(spark, sf_dir):
 
 def p14_bigram_dice(spark, sf_dir):
     """Neighbours of one conversation: each user turn against the next."""
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.substring("text", 1, 300).alias("text"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next_text"))
     pairs = turns.join(after, ["conv_id", "turn"])
     return pairs.select("conv_id", "turn", F.bround(T.dice(T.bigrams(F.col("text")), T.bigrams(F.col("next_text"))), 6).alias("dice"))
 
 
 def p15_sequence_ratio(spark, sf_dir):
-    """Neighbours of one conversation that are alike: all from LIKE_QUESTION on, and those with a Dice value of 0.6 on."""
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", T.strip(F.col("text")).alias("text"), T.bigrams(F.col("text")).alias("grams"))
-    after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next_text"), F.col("grams").alias("next_grams"))
-    pairs = turns.join(after, ["conv_id", "turn"]).withColumn("d", T.dice(F.col("grams"), F.col("next_grams")))
-    # most pairs end here, before any Python
-    pairs = pairs.where((F.col("d") >= 0.6) | T.ratio_may_reach(F.col("text"), F.col("next_text"), LIKE_QUESTION))
-    return pairs.select("conv_id", "turn", F.greatest("d", T.sequence_ratio("text", "next_text")).alias("similarity"))
-
+    """Neighbours of one conversation that are alike, from LIKE_QUESTION on."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next_text"))
+    pairs = turns.join(after, ["conv_id", "turn"])
+    return T.text_similarity(pairs, "text", "next_text", "similarity", LIKE_QUESTION).select("conv_id", "turn", "similarity")
 
 
 QUERIES = {f.__name__: f for f in (
@@ -141,7 +136,7 @@ _BREAK = "".join(
     f"WHEN instr(reverse(left(text, 400)), {m}) > 0 AND 401 - instr(reverse(left(text, 400)), {m}) - {n} >= 200 THEN rtrim(left(text, 401 - instr(reverse(left(text, 400)), {m})), ' ') "
     for m, n in (("chr(10) || chr(10)", 2), ("chr(10)", 1))
 )
-_BIGRAMS = lambda x: f"(SELECT CASE WHEN length(s) > 1 THEN list_distinct(list_transform(range(1, length(s)), lambda i: substr(s, i, 2))) WHEN length(s) = 1 THEN [s] ELSE [] END FROM (SELECT regexp_replace(lower({x}), '\\s+', '', 'g') AS s))"
+_BIGRAMS = lambda x: f"(SELECT CASE WHEN length(s) > 1 THEN list_distinct(list_transform(range(1, length(s)), lambda i: substr(s, i, 2))) WHEN length(s) = 1 THEN [s] ELSE [] END FROM (SELECT regexp_replace({x}, '\\s+', '', 'g') AS s))"
 
 ORACLES = {
     "p1_clean_text": f"WITH d AS (SELECT doc_id, {sql_clean('chr(7) || chr(12288) || text')} AS t FROM documents) SELECT doc_id, length(t) AS n, md5(t) AS digest FROM d",
@@ -164,7 +159,7 @@ ORACLES = {
     "p12_citations": """SELECT o_orderkey, c_name || CASE WHEN o_orderkey % 3 = 0 THEN ' et al.' ELSE '' END || ' (' || CASE WHEN o_orderkey % 5 > 0 THEN year(o_orderdate)::VARCHAR ELSE 'n.d.' END || '). ' || o_orderpriority || '. ' || c_mktsegment || '.' AS paper,
         c_name || ':' || o_custkey || '-' || o_orderkey AS section, c_name || chr(10) || chr(10) || o_orderstatus AS embed_text FROM orders JOIN customer ON o_custkey = c_custkey""",
     "p13_unwrap_fence": f"WITH a AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN text ELSE {_FENCED} END AS a FROM conversations) SELECT conv_id, turn, md5(a) AS digest, length(a) AS n FROM a",
-    "p14_bigram_dice": f"""WITH p AS (SELECT a.conv_id, a.turn, left(a.text, 300) AS x, left(b.text, 300) AS y FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
+    "p14_bigram_dice": f"""WITH p AS (SELECT a.conv_id, a.turn, a.text AS x, b.text AS y FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
         g AS (SELECT conv_id, turn, {_BIGRAMS('x')} AS gx, {_BIGRAMS('y')} AS gy FROM p)
-        SELECT conv_id, turn, CASE WHEN len(gx) + len(gy) > 0 THEN round(2.0::DOUBLE * len(list_intersect(gx, gy)) / (len(gx) + len(gy)), 6) ELSE 0 END AS dice FROM g""",
+        SELECT conv_id, turn, CASE WHEN len(gx) + len(gy) > 0 THEN round_even(2.0::DOUBLE * len(list_intersect(gx, gy)) / (len(gx) + len(gy)), 6) ELSE 0 END AS dice FROM g""",
 }

@@ -109,7 +109,7 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 WORDS_SQL = f"{qq.ASKED_SQL}, words AS (SELECT DISTINCT qid, unnest(regexp_extract_all(lower(text), '[\\p{{L}}]{{3,}}')) AS term FROM asked), vocab AS (SELECT term FROM words GROUP BY term HAVING count(*) >= 3)"
-_MASK = "lower(text)"
+_MASK = "text"
 for _k in sorted(KNOWN, key=lambda k: (-len(k), k)):
     _MASK = f"replace({_MASK}, '{_k}', chr(1))"
 SEGMENTS_SQL = f"segs AS (SELECT qid, list_filter(string_split_regex({_MASK}, '\\x01+'), lambda s: trim(s, ' ') <> '') AS s FROM asked)"
@@ -120,7 +120,7 @@ _FORMAT = "form AS (SELECT qid, 'fenced' AS issue_type, 'error' AS severity FROM
 ORACLES = {
     "v1_unknown_terms": f"WITH {WORDS_SQL} SELECT qid, term FROM words WHERE term NOT IN (SELECT term FROM vocab UNION SELECT lower(r_name) FROM region)",
     "v2_mask_known_spans": f"WITH {qq.ASKED_SQL}, {SEGMENTS_SQL} SELECT qid, array_to_string(s, '|') AS segments FROM segs",
-    "v3_typo_candidates": f"""WITH {WORDS_SQL}, {SEGMENTS_SQL}, b AS (SELECT qid, regexp_replace(unnest(s), '[\\p{{P}}\\p{{S}}\\s]+', '', 'g') AS b FROM segs),
+    "v3_typo_candidates": f"""WITH {WORDS_SQL}, {SEGMENTS_SQL}, b AS (SELECT qid, regexp_replace(lower(unnest(s)), '[\\p{{P}}\\p{{S}}\\s]+', '', 'g') AS b FROM segs),
         w AS (SELECT DISTINCT qid, unnest(flatten(list_transform([3, 4, 5, 6], lambda n: CASE WHEN length(b) >= n THEN list_transform(range(1, length(b) - n + 2), lambda i: substr(b, i, n)) ELSE [] END))) AS original FROM b),
         t AS (SELECT term FROM vocab WHERE length(term) BETWEEN 3 AND 6),
         p AS (SELECT qid, original, term, list_filter(range(1, length(original) + 1), lambda i: substr(original, i, 1) <> substr(term, i, 1)) AS d FROM w JOIN t ON length(original) = length(term) WHERE original NOT IN (SELECT term FROM t))

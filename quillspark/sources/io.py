@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.operators.corpus import dedupe_papers
@@ -17,14 +18,28 @@ _own: dict[str, str] = {}
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the session's shared folder; in a folder of our own where none is set."""
+    """A new path in the session's shared folder; in a folder of our own where none is set and the master is local."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    root = root or _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="quillspark-"))
+    if not root:
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[|$)", master):
+            raise ValueError(f"spark.checkpoint.dir must name a shared folder where the master is {master!r}")
+        root = _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="quillspark-"))
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def write_corpus(papers: DataFrame, path: str, mode: str = "overwrite") -> None:
-    papers.write.mode(mode).json(path)
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df, written to a new path and read again: what several plans read is made once."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def write_corpus(papers: DataFrame, path: str, mode: str = "overwrite") -> int:
+    """Write JSON lines and return how many rows were written, counted in the same pass."""
+    seen = Observation()
+    papers.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode(mode).json(path)
+    return seen.get["rows"]
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
@@ -63,20 +78,53 @@ def read_inventory_flat(docs: DataFrame, layers: list[str]) -> DataFrame:
 
 
 def flatten_inventory_tree(nodes: DataFrame) -> DataFrame:
-    """(id, label, layer, type, depth, is_leaf) of (id, parent, label, layer, type): layer and type come from the nearest ancestor that has them."""
+    """(id, label, layer, type, depth, is_leaf) of (id, parent, label, layer, type): layer and type come from the nearest ancestor that has them.
+
+    Level by level, each written before the next: a tree may be as deep and as wide as it is. Nodes
+    that no root reaches give no rows.
+    """
     spark = nodes.sparkSession
-    name = f"nodes_{uuid.uuid4().hex}"
-    nodes.createOrReplaceTempView(name)
-    tree = spark.sql(f"""
-        WITH RECURSIVE tree AS (
-          SELECT id, label, layer, type, 0 AS depth FROM {name} WHERE parent IS NULL
-          UNION ALL
-          SELECT c.id, c.label, coalesce(c.layer, p.layer), coalesce(c.type, p.type), p.depth + 1 FROM {name} c JOIN tree p ON c.parent = p.id)
-        SELECT * FROM tree""")
+    path, depth = scratch(spark, "tree"), 0
+    level = nodes.where("parent is null").select("id", "label", "layer", "type", F.lit(0).alias("depth"))
+    schema = level.schema
+    while True:
+        level.write.parquet(f"{path}/{depth:06d}")
+        level = spark.read.schema(schema).parquet(f"{path}/{depth:06d}")
+        if level.isEmpty():
+            break
+        depth += 1
+        above = level.select(F.col("id").alias("above"), F.col("layer").alias("above_layer"), F.col("type").alias("above_type"))
+        below = nodes.join(above, F.col("parent") == F.col("above"))
+        level = below.select("id", "label", F.coalesce("layer", "above_layer").alias("layer"), F.coalesce("type", "above_type").alias("type"), F.lit(depth).alias("depth"))
+    tree = spark.read.schema(schema).parquet(*[f"{path}/{d:06d}" for d in range(depth + 1)])
     inner = nodes.where("parent IS NOT NULL").select(F.col("parent").alias("inner_id")).distinct()
     return tree.join(inner, tree["id"] == inner["inner_id"], "left").select("id", "label", "layer", "type", "depth", F.col("inner_id").isNull().alias("is_leaf"))
 
 
+def tree_inventory(nodes: DataFrame, root_aliases: DataFrame, layers: list[str]) -> DataFrame:
+    """(kind, bucket, term) of a tree of (id, parent, label, layer, type, aliases): leaves by layer and by type, subgroups, aliases.
+
+    Labels of inner nodes below the root that have a type are subgroups of it, unless they spell the
+    root's label. A node's aliases name its label (of two nodes with one alias the larger id counts);
+    root_aliases (alias, canonical) override them. Blank labels and aliases give nothing, a layer that
+    is not among layers fails.
+    """
+    tree = flatten_inventory_tree(nodes).withColumn("label", F.trim("label")).where("label != ''")
+    unknown = F.col("layer").isNotNull() & ~F.col("layer").isin(*layers)
+    tree = tree.withColumn("layer", F.when(unknown, F.raise_error(F.concat(F.lit("unknown layer "), "layer"))).otherwise(F.col("layer")))
+    kind = F.trim(F.coalesce("type", F.lit("")))
+    by_layer = tree.where("is_leaf and layer is not null").select(F.lit("by_layer").alias("kind"), F.col("layer").alias("bucket"), F.col("label").alias("term"))
+    by_type = tree.where(F.col("is_leaf") & (kind != "")).select(F.lit("by_type").alias("kind"), kind.alias("bucket"), F.col("label").alias("term"))
+    roots = tree.where("depth = 0").select(F.col("label").alias("root")).distinct()
+    inner = tree.where(~F.col("is_leaf") & (F.col("depth") > 0) & (kind != "")).join(roots, F.col("label") == F.col("root"), "left_anti")
+    groups = inner.select(F.lit("subgroup").alias("kind"), kind.alias("bucket"), F.col("label").alias("term"))
+    own = nodes.select("id", F.trim("label").alias("label"), F.explode("aliases").alias("alias")).select(F.trim("alias").alias("alias"), F.struct(F.lit(0).alias("level"), "id", "label").alias("of"))
+    over = root_aliases.select(F.trim("alias").alias("alias"), F.struct(F.lit(1).alias("level"), F.lit("").alias("id"), F.trim("canonical").alias("label")).alias("of"))
+    named = own.unionByName(over).where("alias != '' and of.label != ''").groupBy("alias").agg(F.max("of").alias("of"))
+    aliases = named.select(F.lit("alias").alias("kind"), F.col("alias").alias("bucket"), F.col("of.label").alias("term"))
+    return by_layer.unionByName(by_type).unionByName(groups).distinct().unionByName(aliases)
+
+
 def read_structured_items(docs: DataFrame, layers: list[str]) -> DataFrame:
     """Items from a JSON column that holds an array or {"items": [...]}; the id defaults to the term; a missing term or bad layer fails."""
     array = F.when(F.ltrim("json").startswith("["), F.from_json("json", f"array<struct<{_struct(ITEM)}>>")).otherwise(F.from_json("json", f"items array<struct<{_struct(ITEM)}>>")["items"])
@@ -143,6 +191,21 @@ def expand_venues(keys: DataFrame, venues: DataFrame) -> DataFrame:
     return keys.join(venues, "key", "left").select("key", F.coalesce("venue", "key").alias("venue"))
 
 
+def year_range(first: int | None, last: int | None) -> str:
+    """The years of a harvest as its sources spell them: one year plainly, two with a hyphen, open ends left out."""
+    if first is not None and first == last:
+        return str(first)
+    return "-".join("" if y is None else str(y) for y in (first, last)) if first is not None or last is not None else ""
+
+
+def in_years(year: Column, first: int | None, last: int | None) -> Column:
+    """Whether a year lies in the inclusive range; an open end does not bound it, a null year is never inside."""
+    inside = year.isNotNull()
+    if first is not None:
+        inside = inside & (year >= first)
+    return inside if last is None else inside & (year <= last)
+
+
 def append_question_log(questions: DataFrame, path: str, checkpoint: str):
     """Start a stream that appends one JSON record per question."""
     return questions.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()

@@ -80,7 +80,11 @@ def test_external_issues_in_free_text(spark):
 
 def test_media_without_heading_earns_each_title(spark):
     media = spark.createDataFrame([("m1", "", "a cat", ["cat"]), ("m2", "Dogs", None, ["dog"])], "id string, heading string, caption string, terms array<string>")
-    asked = spark.createDataFrame([(1, ["dog"], ["dog"], ["about dogs", "more"])], "qid int, terms array<string>, section_terms array<string>, titles array<string>")
+    asked = spark.createDataFrame([(1, ["dog"], ["dog"], ["about Dogs", "more"])], "qid int, terms array<string>, section_terms array<string>, titles array<string>")
     got = {r.id: r.score for r in R.media_search(asked, media).collect()}
     assert got == {"m2": 5.0 + 3.0 + 4.0, "m1": 8.0}
+    # without its tag, dog is inside "Hot dogs" as written; dogs is only a token of "Dogs"
+    media = spark.createDataFrame([("m1", "Hot dogs", None, []), ("m2", "Dogs", None, [])], "id string, heading string, caption string, terms array<string>")
+    asked = spark.createDataFrame([(1, ["dogs"], [], [])], "qid int, terms array<string>, section_terms array<string>, titles array<string>")
+    assert {r.id: r.score for r in R.media_search(asked, media).collect()} == {"m1": 3.0, "m2": 1.0}
     assert F.col("x") is not None
