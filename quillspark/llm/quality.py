@@ -186,7 +186,7 @@ def quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Data
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the rows that the classifier rejects, all columns kept."""
+    """docs without the rows that the classifier rejects, all columns kept, whatever their names; null and empty texts count by their score."""
     shared = docs.sparkSession.sparkContext.broadcast(fit_quality(docs, labels, rows))
     at = docs.columns.index("text")
 
@@ -196,7 +196,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, thres
             margins = np.array([model.margin(x) for x in feature_rows(batch.column(at), len(model.weights) - RUNS)])
             yield batch.filter(pa.array(model.score(margins) >= threshold, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    # neutral names on the way: mapInArrow cannot read a column that has a dot in its name
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
