@@ -2,37 +2,15 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.operators.corpus import dedupe_papers
+from quillspark.sources.scratch import scratch, written  # noqa: F401
 
 PAPER = "id string, title string, authors array<string>, year int, venue string, abstract string, doi string, url string, citations int, concepts array<string>"
 ITEM = "id string, term string, term_type string, layer string, definition string, aliases array<string>, properties array<string>, mechanisms array<string>, forms array<string>, response string, related array<string>"
 LOG = "timestamp timestamp, session_id string, endpoint string, question string, image_count int, style string, intent string, background boolean"
-_own: dict[str, str] = {}
-
-
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the session's shared folder; in a folder of our own where none is set and the master is local."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        master = spark.sparkContext.master
-        if not re.match(r"local(\[|$)", master):
-            raise ValueError(f"spark.checkpoint.dir must name a shared folder where the master is {master!r}")
-        root = _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="quillspark-"))
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df, written to a new path and read again: what several plans read is made once."""
-    path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def write_corpus(papers: DataFrame, path: str, mode: str = "overwrite") -> int:
