@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.llm import bpe, exact_dedup, html_text, line_dedup, media, mixing, near_dedup, quality, token_store, toxicity
+from quillspark.llm import bpe, context_tree, exact_dedup, html_text, line_dedup, media, merkle, mixing, near_dedup, quality, spelling, token_store, toxicity
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
@@ -15,9 +15,15 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_media": media.op10_media,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
+    "op12_lm_scoring": context_tree.op12_lm_scoring,
+    "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 
 ORACLES = {
     "op2_mix_sources": mixing.OP2_SQL,
     "op5_exact_dedup": exact_dedup.OP5_SQL,
+    "op11_spelling_variants": spelling.OP11_SQL,
+    "op12_lm_scoring": context_tree.op12_lm_scoring,
+    "op13_merkle_manifest": merkle.OP13_SQL,
 }
