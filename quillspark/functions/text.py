@@ -87,11 +87,14 @@ def strip_heading_prefix(col: Column, prefixes: tuple[str, ...] = HEADING_PREFIX
 
 def canonical_term(col: Column, code: str | None = CODE_TERM, most: int = 32) -> Column:
     """The term as it enters a dictionary, or the empty string if it cannot."""
-    term = F.regexp_replace(compact_whitespace(col), r"^[* ]+|[* ]+$", "")
-    bad = (term == "") | (F.length(term) > most) | term.rlike(r"^\d") | term.rlike(r"(?i)^[a-z]\s+") | F.lower(term).contains("vs")
-    if code:
-        bad = bad | term.rlike(f"^(?:{code})$")
-    return F.when(bad, "").otherwise(term)
+    def checked(term: Column) -> Column:
+        bad = (term == "") | (F.length(term) > most) | term.rlike(r"^\d") | term.rlike(r"(?i)^[a-z]\s+") | F.lower(term).contains("vs")
+        if code:
+            bad = bad | term.rlike(f"^(?:{code})$")
+        return F.when(bad, "").otherwise(term)
+
+    # as a variable of a lambda the cleaned term is made once, not once for each check
+    return F.get(F.transform(F.array(F.regexp_replace(compact_whitespace(col), r"^[* ]+|[* ]+$", "")), checked), F.lit(0))
 
 
 def title_terms(col: Column, separator: str = r"\s*(?:vs|VS|Vs|和|与|、|/)\s*", code: str = CODE_TERM) -> Column:

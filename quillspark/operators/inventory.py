@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from quillspark.functions import text as T
+from quillspark.operators.ordinals import ordinals
+from quillspark.sources.scratch import small, written
 
 #: Dictionary rows up to which a containment join broadcasts the dictionary as one array.
-SMALL_DICTIONARY = 2000
-#: Characters of all terms up to which a larger dictionary goes to every Python worker as one automaton (some 50 MB there).
+SMALL_DICTIONARY = 50
+#: Characters of the terms that go to every Python worker as one automaton (some 50 MB there).
 AUTOMATON_CHARS = 1_000_000
-#: Characters of a term that key the join of a still larger dictionary.
-KEY_CHARS = 8
 
 
 def ordered(df: DataFrame, partition: list[str], *order: Column, name: str = "ord") -> DataFrame:
@@ -26,7 +29,7 @@ def ordered(df: DataFrame, partition: list[str], *order: Column, name: str = "or
 def build_inventory(sections: DataFrame, code: str | None = T.CODE_TERM) -> DataFrame:
     """(layer, terms) rows to (bucket, term, ord): canonical terms of each layer, longest first."""
     terms = sections.select(F.col("layer").alias("bucket"), F.explode("terms").alias("term")).withColumn("term", T.canonical_term(F.col("term"), code))
-    return ordered(terms.where("term != ''").distinct(), ["bucket"], -F.length("term"), F.col("term"))
+    return ordinals(terms.where("term != ''").distinct(), ["bucket"], [F.desc(F.length("term")), F.col("term")]).withColumn("ord", F.col("ord").cast("int"))
 
 
 def merge_inventory(generated: DataFrame, custom: DataFrame, mode: str = "merge") -> DataFrame:
@@ -37,7 +40,7 @@ def merge_inventory(generated: DataFrame, custom: DataFrame, mode: str = "merge"
     if mode == "merge":
         rows = rows.unionByName(generated.select("bucket", "term", "ord", F.lit(1).alias("src")))
     first = rows.groupBy("bucket", "term").agg(F.min(F.struct("src", "ord")).alias("at"))
-    return ordered(first, ["bucket"], F.col("at"), F.col("term")).select("bucket", "term", "ord")
+    return ordinals(first, ["bucket"], [F.col("at"), F.col("term")]).select("bucket", "term", F.col("ord").cast("int").alias("ord"))
 
 
 def merge_aliases(generated: DataFrame, custom: DataFrame) -> DataFrame:
@@ -54,23 +57,32 @@ def all_terms(*sources: DataFrame) -> DataFrame:
     return union.groupBy("term").agg(F.min("at").alias("at")).select("term", F.col("at.src").alias("src"), F.col("at.ord").alias("ord"))
 
 
-def _containment_by_automaton(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """containment() for a dictionary of bounded size."""
-    import ahocorasick
+#: Automata of this Python worker by dictionary part: a worker builds each once, not once a task.
+_machines: dict[str, ahocorasick.Automaton] = {}
 
+
+def _machine(key: str, named: dict[str, list[str]]) -> ahocorasick.Automaton:
+    if key not in _machines:
+        _machines.clear()
+        machine = ahocorasick.Automaton()
+        for low, terms in named.items():
+            machine.add_word(low, terms)
+        machine.make_automaton()
+        _machines[key] = machine
+    return _machines[key]
+
+
+def _by_automaton(rows: DataFrame, part: DataFrame) -> DataFrame:
+    """(id, term) of (id, body) for a part of the dictionary of bounded size, which every task gets."""
     named: dict[str, list[str]] = {}
-    for row in wanted.collect():
+    for row in part.collect():
         named.setdefault(row["low"], []).append(row["term"])
-    shared = texts.sparkSession.sparkContext.broadcast(named)
+    shared = rows.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, named))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = ahocorasick.Automaton()
-        for low, terms in shared.value.items():
-            machine.add_word(low, terms)
-        if shared.value:
-            machine.make_automaton()
-        for batch in batches if shared.value else []:
-            at, found = [], []
+        key, named = shared.value
+        for batch in batches if named else []:
+            machine, at, found = _machine(key, named), [], []
             for i, text in enumerate(batch.column(1)):
                 hits = {id(terms): terms for _, terms in machine.iter(text.as_py() or "")}
                 for terms in hits.values():
@@ -78,7 +90,6 @@ def _containment_by_automaton(texts: DataFrame, wanted: DataFrame) -> DataFrame:
                     found.extend(terms)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(found, pa.string())], ["id", "term"])
 
-    rows = texts.select("id", F.lower("text").alias("body"))
     schema = StructType([rows.schema["id"], StructField("term", StringType())])
     return rows.mapInArrow(run, schema)
 
@@ -86,33 +97,25 @@ def _containment_by_automaton(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 def containment(texts: DataFrame, terms: DataFrame, small_rows: int = SMALL_DICTIONARY, automaton_chars: int = AUTOMATON_CHARS) -> DataFrame:
     """Distinct (id, term) with the term inside the text, whatever the case.
 
-    A small dictionary (counted) goes to every task as one array; one whose terms have up to
-    automaton_chars characters as an Aho-Corasick automaton that reads each text once; both bounds are
-    measured first. A larger one meets the texts in a hash join: a text emits its distinct windows of
-    the lengths that term keys have, at most KEY_CHARS; the whole term is then looked for in the text.
-    Empty terms and null texts give nothing.
+    A few terms (counted) go to every task as one array. Larger dictionaries are cut by hash into parts of
+    about automaton_chars characters; each part goes to every task as an Aho-Corasick automaton that reads
+    each text once. Neither texts nor their windows are shuffled, whatever the dictionary's size: it
+    only sets the number of passes. Empty terms and null texts give nothing. The dictionary should be a
+    written table: it is measured first and read once for each part.
     """
     wanted = terms.select("term", F.lower("term").alias("low")).where("low != ''").distinct()
-    if wanted.limit(small_rows + 1).count() <= small_rows:
+    n, chars = wanted.agg(F.count(F.lit(1)), F.sum(F.length("low"))).first()
+    rows = texts.select("id", F.lower("text").alias("body"))
+    if n <= small_rows:
         dictionary = wanted.agg(F.collect_list(F.struct("term", "low")).alias("dictionary"))
-        rows = texts.select("id", F.lower("text").alias("body")).join(F.broadcast(dictionary))
+        rows = rows.join(F.broadcast(dictionary))
         return rows.select("id", F.explode(F.filter("dictionary", lambda t: F.contains(F.col("body"), t["low"]))).alias("t")).select("id", "t.term")
-    if (wanted.agg(F.sum(F.length("low"))).first()[0] or 0) <= automaton_chars:
-        return _containment_by_automaton(texts, wanted)
-    keyed = wanted.withColumn("window", F.substring("low", 1, KEY_CHARS))
-    # at most KEY_CHARS different lengths
-    lengths = sorted(r[0] for r in keyed.select(F.length("window")).distinct().collect())
-    body = texts.select("id", F.lower("text").alias("body"))
-
-    def windows_of(n: int) -> Column:
-        every = F.transform(F.sequence(F.lit(1), F.length("body") - n + 1), lambda i: F.substr("body", i, F.lit(n)))
-        return F.when(F.length("body") >= n, every).otherwise(F.array().cast("array<string>"))
-
-    windows = F.array_distinct(F.flatten(F.array(*[windows_of(n) for n in lengths])))
-    hits = body.select("id", F.explode(windows).alias("window")).join(keyed, "window")
-    long = hits.where(F.length("low") > KEY_CHARS).select("id", "term", "low")
-    checked = long.join(body, "id").where(F.contains("body", "low")).select("id", "term")
-    return hits.where(F.length("low") <= KEY_CHARS).select("id", "term").unionByName(checked)
+    parts = max(1, -(-(chars or 0) // automaton_chars))
+    if parts > 1:
+        wanted = written(wanted, "dictionary")
+    # terms that are one text in lower case share a part, as they share a word of the automaton
+    found = [_by_automaton(rows, wanted.where(F.pmod(F.xxhash64("low"), F.lit(parts)) == i)) for i in range(parts)]
+    return reduce(DataFrame.unionByName, found)
 
 
 def terms_in_text(sections: DataFrame, inventory: DataFrame, most: int = 12) -> DataFrame:
@@ -126,7 +129,7 @@ def build_items(sections: DataFrame, inventory: DataFrame, kinds: dict[str, str]
     """One item per section with a canonical term; kinds names the list column of each layer."""
     base = T.canonical_term(T.strip_heading_prefix(F.col("title")), code)
     first = T.canonical_term(F.coalesce(F.get("terms", F.lit(0)), F.lit("")), code)
-    rows = sections.withColumn("term", F.when(base != "", base).otherwise(first)).where("term != ''")
+    rows = sections.withColumn("term", F.get(F.filter(F.array(base, first), lambda t: t != ""), F.lit(0))).where("term IS NOT NULL")
     lists = terms_in_text(rows, inventory).where(F.col("bucket").isin(*kinds)).groupBy("id").pivot("bucket", list(kinds)).agg(F.first("terms"))
     lists = lists.select("id", *[F.col(layer).alias(name) for layer, name in kinds.items()])
     items = rows.select(
@@ -181,16 +184,16 @@ def regroup_leaves(leaves: DataFrame, groups: DataFrame) -> DataFrame:
     """(parent, subgroup, leaf, ord): leaves under an extra level; groups in order, unassigned leaves after them."""
     rows = leaves.join(groups, ["parent", "leaf"], "left")
     order = [F.coalesce("group_ord", F.lit(2**31 - 1)), F.col("leaf_ord"), F.col("leaf")]
-    return ordered(rows, ["parent"], *order).select("parent", "subgroup", "leaf", "ord")
+    return ordinals(rows, ["parent"], order).select("parent", "subgroup", "leaf", F.col("ord").cast("int").alias("ord"))
 
 
 def reconcile_labels(sheet: DataFrame, valid: DataFrame, overrides: DataFrame) -> DataFrame:
     """(seq, label, changed, note): override, else valid corrected label, else its leading word, else valid original; null questions are skipped."""
-    ok = valid.select("label").distinct()
-    rows = sheet.where(F.col("question").isNotNull()).join(F.broadcast(overrides.select("seq", F.col("label").alias("forced"))), "seq", "left")
+    ok = small(valid.select("label").distinct())
+    rows = sheet.where(F.col("question").isNotNull()).join(small(overrides.select("seq", F.col("label").alias("forced"))), "seq", "left")
     rows = rows.withColumn("lead", F.regexp_extract(F.coalesce("corrected", F.lit("")), r"^([A-Za-z0-9_]+)", 1))
     for name, source in (("ok_corrected", "corrected"), ("ok_lead", "lead"), ("ok_original", "original")):
-        rows = rows.join(F.broadcast(ok.select(F.col("label").alias(name))), F.col(source) == F.col(name), "left")
+        rows = rows.join(ok.select(F.col("label").alias(name)), F.col(source) == F.col(name), "left")
     label = F.coalesce("forced", "ok_corrected", "ok_lead", "ok_original")
     return rows.select("seq", label.alias("label"), (~label.eqNullSafe(F.col("original"))).alias("changed"), F.coalesce(F.nullif(F.col("corrected"), F.lit("")), F.col("original")).alias("note"))
 
@@ -198,11 +201,9 @@ def reconcile_labels(sheet: DataFrame, valid: DataFrame, overrides: DataFrame) -
 def labelling_sheet(examples: DataFrame, meanings: DataFrame) -> DataFrame:
     """Numbered review rows with the meaning of their label."""
     rows = examples.join(meanings, "label", "left")
-    # numbers run over the whole sheet: offsets per label, so that no task holds all rows
-    counts = examples.groupBy("label").agg(F.count("*").alias("n"))
-    before = counts.withColumn("before", F.sum("n").over(Window.orderBy("label")) - F.col("n")).select("label", "before")
-    numbered = ordered(rows, ["label"], F.col("id")).join(before, "label")
-    return numbered.select((F.col("before") + F.col("ord")).alias("seq"), "id", "label", F.coalesce("meaning", F.lit("")).alias("meaning"))
+    # numbers run over the whole sheet; rows without a label are not on it
+    numbered = ordinals(rows.where("label IS NOT NULL"), [], [F.col("label"), F.col("id")], "seq")
+    return numbered.select("seq", "id", "label", F.coalesce("meaning", F.lit("")).alias("meaning"))
 
 
 def frame_detail(frames: DataFrame) -> DataFrame:

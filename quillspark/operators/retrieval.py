@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.operators.inventory import containment, ordered
+from quillspark.sources.scratch import small, written
 
 # fixed values: weights of the hybrid score
 TERM_IN_TITLE, TERM_IN_TEXT, TOKEN_IN_TITLE, TOKEN_IN_BODY = 12.0, 5.0, 2.0, 0.25
 JACCARD, LAYER_BONUS, ITEM_TERM, ITEM_RELATED, ITEM_TYPE = 8.0, 0.3, 8.0, 3.0, 1.5
 BODY_CHARS = 2500
 TOKEN_OF_MEDIA = 1.0
+#: Sections up to which a token or term is kept as a list of them.
+LISTED = 300
 #: Query vectors that one row of the index meets at once.
 QUERY_BLOCK = 2000
 
@@ -33,60 +36,164 @@ def _item_text() -> Column:
     return F.coalesce(F.concat_ws(" ", F.col("item.term"), *lists, F.col("item.definition"), F.col("item.response")), F.lit(""))
 
 
-def postings(sections: DataFrame, run: str) -> tuple[DataFrame, DataFrame]:
-    """(token, id, in_title, in_body) and (id, body_size) of sections with title, text and item_text."""
-    rows = sections.select("id", T.token_set(F.col("title"), run).alias("title_tokens"), T.token_set(F.concat_ws("\n", "title", F.substring("text", 1, BODY_CHARS), "item_text"), run).alias("body_tokens"))
-    # every title token is a body token too
-    post = rows.select("id", "title_tokens", F.explode("body_tokens").alias("token")).select("token", "id", F.array_contains("title_tokens", F.col("token")).cast("int").alias("in_title"))
-    return post, rows.select("id", F.size("body_tokens").alias("body_size"))
+def question_features(questions: DataFrame, prefer: DataFrame | None, run: str) -> DataFrame:
+    """qid with its distinct tokens and preferred terms, one row each."""
+    rows = questions.select("qid", T.token_set(F.col("text"), run).alias("q_tokens"))
+    none = F.array().cast("array<string>")
+    if prefer is None:
+        return rows.withColumn("q_terms", none)
+    terms = prefer.groupBy("qid").agg(F.collect_set("term").alias("q_terms"))
+    return rows.join(terms, "qid", "left").withColumn("q_terms", F.coalesce("q_terms", none))
 
 
-def hybrid_search(questions: DataFrame, sections: DataFrame, k: int, prefer: DataFrame | None = None, items: DataFrame | None = None, run: str = T.CJK_RUN, bonus_layer: str = "mechanism") -> DataFrame:
-    """(qid, rank, id, score): the k best sections of each question.
-
-    questions: qid, text. sections: id, ord, title, text, layer (and terms, if items are given).
-    prefer: qid, term. Scores are sums of equi-joins on tokens and terms; ties keep section order;
-    of sections with one layer and stripped title the best stays. Sections of the bonus layer score
-    without any match, so the first 2k of them by order and distinct title pad the candidates.
-    """
+def section_features(sections: DataFrame, run: str, prefer: DataFrame | None = None, items: DataFrame | None = None) -> DataFrame:
+    """id, ord, layer, key and what can earn points: title and body tokens, wanted terms in title and in text only, the item's term, its other terms, tokens of its layer."""
+    none = F.array().cast("array<string>")
     rows = sections
     if items is not None:
         found = item_for_section(sections, items).join(items.select(F.col("ord").alias("item_ord"), F.struct("term", "layer", "properties", "mechanisms", "forms", "related", "definition", "response").alias("item")), "item_ord")
-        rows = sections.join(found, "id", "left").withColumn("item_text", _item_text())
+        lists = F.array_distinct(F.concat("item.properties", "item.mechanisms", "item.forms", "item.related"))
+        other = F.coalesce(F.filter(lists, lambda t: t != F.col("item.term")), none)
+        slim = sections.join(found, "id", "left").select("id", "ord", "layer", "title", "text", _item_text().alias("item_text"), F.col("item.term").alias("own"), other.alias("other"), F.col("item.layer").alias("kind"))
+        # written: its tokens would not fit one generated method together with what makes the items
+        rows = written(slim, "search-items")
+        own, other, kinds = F.col("own"), F.col("other"), F.when(F.col("kind").isNotNull(), T.token_set(F.col("kind"), run)).otherwise(none)
     else:
         rows = sections.withColumn("item_text", F.lit(""))
-    post, sizes = postings(rows, run)
-    tokens = questions.select("qid", F.explode(T.token_set(F.col("text"), run)).alias("token"))
-    q_size = tokens.groupBy("qid").agg(F.count("*").alias("q_size"))
-    lexical = tokens.join(post, "token").groupBy("qid", "id").agg(F.sum("in_title").alias("t"), F.count("*").alias("b"))
-    lexical = lexical.join(sizes, "id").join(q_size, "qid")
-    points = lexical.select("qid", "id", (TOKEN_IN_TITLE * F.col("t") + TOKEN_IN_BODY * F.col("b") + JACCARD * F.col("b") / (F.col("q_size") + F.col("body_size") - F.col("b"))).alias("points"))
-    if prefer is not None:
-        wanted = prefer.select("term").distinct()
-        in_title = containment(sections.select("id", F.col("title").alias("text")), wanted).withColumn("in_title", F.lit(1))
-        in_text = containment(sections.select("id", "text"), wanted).withColumn("in_title", F.lit(0))
-        where = in_title.unionByName(in_text).groupBy("id", "term").agg(F.max("in_title").alias("in_title"))
-        hits = prefer.distinct().join(where, "term").select("qid", "id", F.when(F.col("in_title") == 1, TERM_IN_TITLE).otherwise(TERM_IN_TEXT).alias("points"))
-        points = points.unionByName(hits)
-        if items is not None:
-            lists = F.array_distinct(F.concat("item.properties", "item.mechanisms", "item.forms", "item.related"))
-            with_item = rows.where(F.col("item").isNotNull())
-            exact = with_item.select("id", F.col("item.term").alias("term"), F.lit(ITEM_TERM).alias("points"))
-            related = with_item.select("id", F.explode(lists).alias("term"), F.lit(ITEM_RELATED).alias("points"), F.col("item.term").alias("own")).where("term != own").drop("own")
-            points = points.unionByName(prefer.distinct().join(exact.unionByName(related), "term").select("qid", "id", "points"))
-    if items is not None:
-        kinds = rows.where(F.col("item").isNotNull()).select("id", F.explode(T.token_set(F.col("item.layer"), run)).alias("token"))
-        typed = tokens.join(kinds, "token").select("qid", "id").distinct().withColumn("points", F.lit(ITEM_TYPE))
-        points = points.unionByName(typed)
-    totals = points.groupBy("qid", "id").agg(F.sum("points").alias("points"))
+        other, kinds, own = none, none, F.lit(None).cast("string")
+    body = T.token_set(F.concat_ws("\n", "title", F.substring("text", 1, BODY_CHARS), "item_text"), run)
     key = F.struct("layer", T.strip_heading_prefix(F.col("title")).alias("title"))
-    slim = sections.select("id", "ord", "layer", key.alias("key"))
-    pool = slim.where(F.col("layer") == bonus_layer)
-    pool = pool.groupBy("key").agg(F.min(F.struct("ord", "id")).alias("m")).orderBy("m").limit(2 * k).select(F.col("m.id").alias("id"))
+    out = rows.select("id", "ord", "layer", key.alias("key"), T.token_set(F.col("title"), run).alias("title_tokens"), body.alias("body_tokens"), own.alias("own"), other.alias("other"), kinds.alias("kinds"))
+    if prefer is None:
+        return out.withColumns({"in_title": none, "in_text": none})
+    # one pass over both: a title stands before its text, and a mark between them keeps terms from running over
+    wanted = prefer.select("term").distinct()
+    both = sections.select(F.struct("id", F.lit(True).alias("t")).alias("id"), F.col("title").alias("text")).unionByName(sections.select(F.struct("id", F.lit(False).alias("t")).alias("id"), "text"))
+    hits = containment(both, wanted).select("id.id", "id.t", "term").groupBy("id").agg(F.collect_set(F.when(F.col("t"), F.col("term"))).alias("in_title"), F.collect_set("term").alias("every"))
+    hits = hits.select("id", "in_title", F.array_except("every", "in_title").alias("in_text"))
+    return out.join(hits, "id", "left").withColumns({c: F.coalesce(c, none) for c in ("in_title", "in_text")})
+
+
+def numbered_features(asked: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Questions and sections with numbers for tokens and terms, sections with those only that some question has; q_size and n_body keep the sizes of the token sets."""
+    names = asked.select(F.explode(F.concat(F.transform("q_tokens", lambda x: F.struct(F.lit(False).alias("is_term"), x.alias("f"))), F.transform("q_terms", lambda x: F.struct(F.lit(True).alias("is_term"), x.alias("f"))))).alias("x"))
+    names = written(names.select("x.*").distinct().withColumn("n", F.monotonically_increasing_id()), "search-names")
+    pick = lambda cond: F.collect_list(F.when(cond, F.col("n")))
+    q = asked.select("qid", F.explode_outer(F.concat(F.transform("q_tokens", lambda x: F.struct(F.lit(False).alias("is_term"), x.alias("f"))), F.transform("q_terms", lambda x: F.struct(F.lit(True).alias("is_term"), x.alias("f"))))).alias("x"), F.size("q_tokens").alias("q_size"))
+    q = q.select("qid", "q_size", "x.*").join(small(names), ["is_term", "f"], "left").groupBy("qid", "q_size").agg(pick(~F.col("is_term")).alias("q_tokens"), pick(F.col("is_term")).alias("q_terms"))
+    posts = index.select("id", F.explode(_features()).alias("x")).select("id", "x.kind", "x.w", F.col("x.f").alias("f"), F.col("x.kind").isin(1, 2).alias("is_term")).join(small(names), ["is_term", "f"])
+    kind, w = F.col("kind"), F.col("w")
+    lists = posts.groupBy("id").agg(
+        pick((kind == 0) & (w > 0)).alias("title_tokens"), pick(kind == 0).alias("body_tokens"), pick((kind == 1) & (w > 0)).alias("in_title"), pick((kind == 1) & (w == 0)).alias("in_text"),
+        F.max(F.when((kind == 2) & (w == ITEM_TERM), F.col("n"))).alias("own"), pick((kind == 2) & (w == ITEM_RELATED)).alias("other"), pick(kind == 3).alias("kinds"),
+    )
+    none = F.array().cast("array<bigint>")
+    rows = index.select("id", "ord", "layer", "key", F.size("body_tokens").alias("n_body")).join(lists, "id", "left")
+    return written(q, "search-asked"), written(rows.withColumns({c: F.coalesce(c, none) for c in ("title_tokens", "body_tokens", "in_title", "in_text", "other", "kinds")}), "search-sections")
+
+
+def exact_points(pairs: DataFrame, asked: DataFrame, index: DataFrame) -> DataFrame:
+    """(qid, id, ...) to qid, id, ord, layer, key, points: each pair's whole score but the layer's bonus, of numbered features."""
+    rows = pairs.select("qid", "id").join(small(asked), "qid").join(index, "id")
+    many = lambda a, b: F.size(F.array_intersect(a, b))
+    rows = rows.select("*", many("q_tokens", "body_tokens").alias("shared"))
+    jaccard = F.when(F.col("shared") > 0, JACCARD * F.col("shared") / (F.col("q_size") + F.col("n_body") - F.col("shared"))).otherwise(0.0)
+    points = TOKEN_IN_TITLE * many("q_tokens", "title_tokens") + TOKEN_IN_BODY * F.col("shared") + jaccard + TERM_IN_TITLE * many("q_terms", "in_title") + TERM_IN_TEXT * many("q_terms", "in_text")
+    points = points + F.when(F.array_contains("q_terms", F.col("own")), ITEM_TERM).otherwise(0.0) + ITEM_RELATED * many("q_terms", "other") + F.when(F.arrays_overlap("q_tokens", "kinds"), ITEM_TYPE).otherwise(0.0)
+    return rows.select("qid", "id", "ord", "layer", "key", points.alias("points"))
+
+
+def _features() -> Column:
+    """A section's features as (kind, feature, weight): tokens (1 in the title), terms (1 in the title), item terms (their points), type tokens."""
+    every = lambda c, kind, w: F.transform(c, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("f"), F.lit(float(w)).alias("w")))
+    own = F.array_compact(F.array(F.col("own")))
+    return F.concat(
+        every("title_tokens", 0, 1), every(F.array_except("body_tokens", "title_tokens"), 0, 0), every("in_title", 1, 1), every("in_text", 1, 0),
+        every(own, 2, ITEM_TERM), every(F.array_except("other", own), 2, ITEM_RELATED), every("kinds", 3, 1),
+    )
+
+
+def asked_features(asked: DataFrame) -> DataFrame:
+    """(qid, kind, f): what each question can meet a section by."""
+    every = lambda c, kind: F.transform(c, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("f")))
+    return asked.select("qid", F.explode(F.concat(every("q_tokens", 0), every("q_terms", 1), every("q_terms", 2), every("q_tokens", 3))).alias("x")).select("qid", "x.kind", "x.f")
+
+
+def blocks_of(index: DataFrame, frequent: DataFrame, bonus_layer: str, sections_each: int) -> DataFrame:
+    """index with block: sections of like size, with as many frequent tokens and terms in title and text, stand together.
+
+    What a block's best section could earn from frequent features alone is then close to what its sections do earn.
+    """
+    none = F.array().cast("array<bigint>")
+    lists = frequent.groupBy().agg(*[F.coalesce(F.collect_list(F.when(F.col("kind") == k, F.col("f"))), none).alias(f"often_{k}") for k in (0, 1)])
+    # one row: no more features than were measured before they came here
+    rows = index.join(F.broadcast(lists))
+    many = lambda c, k: F.size(F.array_intersect(c, f"often_{k}"))
+    n = {"n_title": many("title_tokens", 0), "n_tokens": many("body_tokens", 0), "n_term_title": many("in_title", 1), "n_terms": many("in_title", 1) + many("in_text", 1), "bonus": F.col("layer") == bonus_layer}
+    rows = rows.withColumns(n)
+    size_class = F.floor(F.log2(F.col("n_body") + 1))
+    return rows.withColumn("block", F.xxhash64("n_title", F.floor(F.col("n_tokens") / 8), "n_term_title", "n_terms", size_class, "bonus", F.pmod(F.xxhash64("id"), F.lit(sections_each)))).drop("often_0", "often_1")
+
+
+def block_bounds(blocks: DataFrame, frequent: DataFrame, asked: DataFrame) -> DataFrame:
+    """(qid, block, bound): the most that a section of the block can earn from the question's frequent features, its layer's bonus included."""
+    seen = blocks.select("block", F.explode(_features()).alias("x")).select("block", "x.*").join(small(frequent), ["kind", "f"], "left_semi").groupBy("block", "kind", "f").agg(F.max("w").alias("w"))
+    most = blocks.groupBy("block").agg(*[F.max(c).alias(f"most_{c}") for c in ("n_title", "n_tokens", "n_term_title", "n_terms")], F.min("n_body").alias("least_body"), F.max(F.col("bonus").cast("int")).alias("bonus"))
+    count = lambda cond: F.sum(F.when(cond, 1).otherwise(0))
+    is_kind = lambda k: F.col("kind") == k
+    met = asked_features(asked).join(seen, ["kind", "f"]).groupBy("qid", "block").agg(
+        count(is_kind(0)).alias("n0"), count(is_kind(0) & (F.col("w") > 0)).alias("t0"), count(is_kind(1)).alias("n1"), count(is_kind(1) & (F.col("w") > 0)).alias("t1"),
+        F.sum(F.when(is_kind(2), F.col("w")).otherwise(0.0)).alias("p2"), F.max(is_kind(3).cast("int")).alias("n3"),
+    )
+    rows = met.join(most, "block").join(small(asked.select("qid", "q_size")), "qid")
+    shared, in_title = F.least("n0", "most_n_tokens"), F.least("t0", "most_n_title")
+    terms, term_title = F.least("n1", "most_n_terms"), F.least("t1", "most_n_term_title")
+    jaccard = F.when(shared > 0, JACCARD * shared / (F.col("q_size") + F.greatest("least_body", shared) - shared)).otherwise(0.0)
+    bound = TOKEN_IN_TITLE * in_title + TOKEN_IN_BODY * shared + jaccard + TERM_IN_TEXT * terms + (TERM_IN_TITLE - TERM_IN_TEXT) * term_title + F.col("p2") + ITEM_TYPE * F.col("n3") + LAYER_BONUS * F.col("bonus")
+    return rows.select("qid", "block", bound.alias("bound"))
+
+
+def _scored(points: DataFrame, bonus_layer: str) -> DataFrame:
+    return points.withColumn("score", F.round(F.col("points") + F.when(F.col("layer") == bonus_layer, LAYER_BONUS).otherwise(0.0), 3)).where("score > 0")
+
+
+def hybrid_search(questions: DataFrame, sections: DataFrame, k: int, prefer: DataFrame | None = None, items: DataFrame | None = None, run: str = T.CJK_RUN, bonus_layer: str = "mechanism", listed: int = LISTED) -> DataFrame:
+    """(qid, rank, id, score): the k best sections of each question.
+
+    questions: qid, text. sections: id, ord, title, text, layer (and terms, if items are given), best a
+    written table. prefer: qid, term. Ties keep section order; of sections with one layer and stripped
+    title the best stays. Sections of the bonus layer score without any match, so the first 2k of them
+    by order and distinct title pad the candidates.
+
+    Features (tokens, terms) of at most listed sections are inverted lists; sections found there are
+    scored whole, and the k-th score of a question is its threshold. Other sections have frequent features
+    only. They stand in blocks with the maxima of each frequent feature, and a question reads a block
+    only if the block's bound reaches the threshold. The result does not depend on listed.
+    """
+    asked, index = numbered_features(written(question_features(questions, prefer, run), "search-questions"), written(section_features(sections, run, prefer, items), "search-index"))
+    wanted = asked_features(asked)
+    counts = index.select(F.explode(_features()).alias("x")).select("x.kind", "x.f").groupBy("kind", "f").agg(F.count(F.lit(1)).alias("n"))
+    counts = written(counts, "search-counts")
+    rare, frequent = counts.where(F.col("n") <= listed).select("kind", "f"), counts.where(F.col("n") > listed).select("kind", "f")
+    posts = index.select("id", F.explode(_features()).alias("x")).select("id", "x.kind", "x.f")
+    found = posts.join(small(rare), ["kind", "f"], "left_semi").join(small(wanted), ["kind", "f"]).select("qid", "id")
+    pool = index.where(F.col("layer") == bonus_layer).groupBy("key").agg(F.min(F.struct("ord", "id")).alias("m")).orderBy("m").limit(2 * k).select(F.col("m.id").alias("id"))
     # at most 2k sections pad each question
-    padding = questions.select("qid").join(F.broadcast(pool.groupBy().agg(F.collect_list("id").alias("ids")))).select("qid", F.explode("ids").alias("id"), F.lit(0.0).alias("points"))
-    totals = totals.unionByName(padding).groupBy("qid", "id").agg(F.max("points").alias("points"))
-    scored = totals.join(slim, "id").withColumn("score", F.round(F.col("points") + F.when(F.col("layer") == bonus_layer, LAYER_BONUS).otherwise(0.0), 3)).where("score > 0")
+    padding = questions.select("qid").join(F.broadcast(pool.groupBy().agg(F.collect_list("id").alias("ids")))).select("qid", F.explode("ids").alias("id"))
+    # scores are written before they are compared, or each would be reckoned again for every comparison
+    first = _scored(written(exact_points(found.unionByName(padding).distinct(), asked, index), "search-first"), bonus_layer)
+    if frequent.isEmpty():
+        scored = first
+    else:
+        best = first.groupBy("qid", "key").agg(F.max("score").alias("score"))
+        least = ordered(best, ["qid"], F.desc("score"), name="n").where(F.col("n") == k).select("qid", F.col("score").alias("least"))
+        n = index.count()
+        blocks = written(blocks_of(index, frequent, bonus_layer, max(1, n >> 20)), "search-blocks")
+        bounds = block_bounds(blocks, frequent, asked).join(least, "qid", "left")
+        # rounding may lift a score by half a thousandth
+        open_blocks = bounds.where(F.col("bound") + 0.001 >= F.coalesce("least", F.lit(0.0))).select("qid", "block")
+        rest = open_blocks.join(blocks.select("block", "id"), "block").join(first.select("qid", "id"), ["qid", "id"], "left_anti")
+        scored = first.unionByName(_scored(written(exact_points(rest, asked, index), "search-rest"), bonus_layer))
     best = ordered(scored, ["qid", "key"], F.desc("score"), F.col("ord"), name="n").where("n = 1")
     return ordered(best, ["qid"], F.desc("score"), F.col("ord"), name="rank").where(F.col("rank") <= k).select("qid", "rank", "id", "score")
 

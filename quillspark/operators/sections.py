@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.operators.ordinals import ordinals
 
 FIRST, HERE, LAST = Window.unboundedPreceding, 0, Window.unboundedFollowing
 
@@ -92,7 +93,7 @@ def dedupe_by_content_hash(rows: DataFrame, content: str, order: list[str], grou
     """First row of each content digest, numbered inside its group."""
     hashed = rows.withColumn("digest", F.md5(content))
     first = hashed.groupBy("digest").agg(F.min(F.struct(*order, group)).alias("first")).select("digest", "first.*")
-    return first.withColumn("number", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    return ordinals(first, [group], [F.col(c) for c in (*order, "digest")], "number").withColumn("number", F.col("number").cast("int"))
 
 
 def keyword_terms(text: Column, heading: Column, vocabulary: list[str], most: int = 10) -> Column:

@@ -8,6 +8,7 @@ from quillspark.functions import text as T
 from quillspark.operators import inventory as K
 from quillspark.plans import section_queries as sq
 from quillspark.plans.fixtures import sql_compact, sql_strip_heading, table
+from quillspark.sources.scratch import written
 
 KINDS = {"property": "properties", "mechanism": "mechanisms", "form": "forms"}
 KEYS = ["the ", "que ", "der "]
@@ -20,7 +21,13 @@ def knowledge(spark, sf_dir):
 
 
 def inventory(spark, sf_dir):
-    return K.build_inventory(knowledge(spark, sf_dir), code=None)
+    return written(K.build_inventory(knowledge(spark, sf_dir), code=None), "inventory")
+
+
+def base(spark, sf_dir):
+    """Sections and dictionary, each made once."""
+    sections = written(knowledge(spark, sf_dir), "knowledge")
+    return sections, written(K.build_inventory(sections, code=None), "inventory")
 
 
 def k1_build_inventory(spark, sf_dir):
@@ -45,12 +52,12 @@ def k3_all_terms(spark, sf_dir):
 
 
 def k4_terms_in_text(spark, sf_dir):
-    found = K.terms_in_text(sq.sections(spark, sf_dir), inventory(spark, sf_dir))
+    found = K.terms_in_text(*base(spark, sf_dir))
     return found.select("id", "bucket", F.array_join("terms", "|").alias("terms"))
 
 
 def items(spark, sf_dir):
-    return K.build_items(knowledge(spark, sf_dir), inventory(spark, sf_dir), KINDS, KEYS, code=None)
+    return K.build_items(*base(spark, sf_dir), KINDS, KEYS, code=None)
 
 
 def k5_build_items(spark, sf_dir):
@@ -141,19 +148,20 @@ _GEN = "SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY term)::INT AS
 _CUS = "SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY term DESC)::INT AS ord FROM (SELECT DISTINCT p_brand AS bucket, CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE p_name END AS term FROM part WHERE p_size <= 10)"
 _UNB = lambda x: f"regexp_replace({sql_compact(x)}, '^[-* ]+|[-* ]+$', '', 'g')"
 _SECLINES = "string_split_regex(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]')"
+ITEMS_SQL = f"""{HITS_SQL}, t AS (SELECT *, {_SECLINES} AS l FROM termed WHERE term <> ''),
+u AS (SELECT *, list_transform(l, lambda x: {_UNB('x')}) AS rows FROM t),
+h AS (SELECT *, list_filter(range(1, len(rows) + 1), lambda i: contains(rows[i], 'the ') OR contains(rows[i], 'que ') OR contains(rows[i], 'der '))[1] AS i FROM u),
+items AS (SELECT h.id, term, layer, doc_id * 100000 + sec AS ord, title, left(coalesce(list_filter(rows[2:], lambda x: x <> '' AND NOT starts_with(x, '#'))[1], {sql_compact('text')}), 300) AS definition,
+  coalesce(p.terms, '') AS properties, coalesce(m.terms, '') AS mechanisms, coalesce(f.terms, '') AS forms, left(text, 800) AS evidence,
+  CASE WHEN i IS NULL THEN '' ELSE left(array_to_string(list_filter(rows[i:i + 2], lambda x: x <> ''), ' '), 300) END AS response
+  FROM h LEFT JOIN lists p ON p.id = h.id AND p.bucket = 'property' LEFT JOIN lists m ON m.id = h.id AND m.bucket = 'mechanism' LEFT JOIN lists f ON f.id = h.id AND f.bucket = 'form')"""
 
 ORACLES = {
     "k1_build_inventory": f"WITH {INVENTORY_SQL} SELECT bucket, term, ord FROM inv",
     "k2_merge_inventory": f"WITH r AS (SELECT *, 0 AS src FROM ({_CUS}) UNION ALL SELECT *, 1 FROM ({_GEN})), f AS (SELECT bucket, term, min(src * 1000000 + ord) AS a FROM r GROUP BY bucket, term) SELECT bucket, term, row_number() OVER (PARTITION BY bucket ORDER BY a, term)::INT AS ord FROM f",
     "k3_all_terms": f"SELECT term, min(src)::INT AS src FROM (SELECT n_name AS term, 0 AS src FROM nation UNION ALL SELECT term, 1 FROM ({_CUS}) UNION ALL SELECT term, 2 FROM ({_GEN})) GROUP BY term",
     "k4_terms_in_text": f"WITH {HITS_SQL} SELECT id, bucket, terms FROM lists",
-    "k5_build_items": f"""WITH {HITS_SQL}, t AS (SELECT *, {_SECLINES} AS l FROM termed WHERE term <> ''),
-        u AS (SELECT *, list_transform(l, lambda x: {_UNB('x')}) AS rows FROM t),
-        h AS (SELECT *, list_filter(range(1, len(rows) + 1), lambda i: contains(rows[i], 'the ') OR contains(rows[i], 'que ') OR contains(rows[i], 'der '))[1] AS i FROM u)
-        SELECT h.id, term, left(coalesce(list_filter(rows[2:], lambda x: x <> '' AND NOT starts_with(x, '#'))[1], {sql_compact('text')}), 300) AS definition,
-          coalesce(p.terms, '') AS properties, coalesce(m.terms, '') AS mechanisms, coalesce(f.terms, '') AS forms, md5(left(text, 800)) AS evidence,
-          md5(CASE WHEN i IS NULL THEN '' ELSE left(array_to_string(list_filter(rows[i:i + 2], lambda x: x <> ''), ' '), 300) END) AS response
-        FROM h LEFT JOIN lists p ON p.id = h.id AND p.bucket = 'property' LEFT JOIN lists m ON m.id = h.id AND m.bucket = 'mechanism' LEFT JOIN lists f ON f.id = h.id AND f.bucket = 'form'""",
+    "k5_build_items": f"WITH {ITEMS_SQL} SELECT id, term, definition, properties, mechanisms, forms, md5(evidence) AS evidence, md5(response) AS response FROM items",
     "k6_merge_items": """WITH g AS (SELECT p_type AS term, arg_max(p_name, p_partkey) AS definition, arg_max(p_brand, p_partkey) AS brand, max(p_partkey) AS ord FROM part GROUP BY p_type),
         c AS (SELECT CASE WHEN p_partkey % 3 = 0 THEN p_type ELSE p_name END AS term, min(p_partkey) AS ord, min(CASE WHEN p_partkey % 2 = 0 THEN '' ELSE p_brand END) AS definition, list_sort(list_distinct(list(p_brand))) AS aliases FROM part WHERE p_size = 1 GROUP BY 1)
         SELECT coalesce(c.term, g.term) AS term, coalesce(nullif(c.definition, ''), g.definition, '') AS definition,

@@ -11,6 +11,7 @@ from quillspark.operators import retrieval as R
 from quillspark.plans import inventory_queries as iq
 from quillspark.plans import section_queries as sq
 from quillspark.plans.fixtures import sql_strip, sql_strip_heading, table
+from quillspark.sources.scratch import written
 
 RUN = r"[à-ÿ]+"
 
@@ -24,8 +25,13 @@ def preferred(spark, sf_dir):
     return K.containment(questions(spark, sf_dir).select(F.col("qid").alias("id"), "text"), iq.inventory(spark, sf_dir)).select(F.col("id").alias("qid"), "term")
 
 
-def search(spark, sf_dir, k=6):
-    return R.hybrid_search(questions(spark, sf_dir), iq.knowledge(spark, sf_dir), k, prefer=preferred(spark, sf_dir), run=RUN)
+def search(spark, sf_dir, k=6, structured=False):
+    """The search over sections that are made and written once, as is the dictionary."""
+    sections, terms = iq.base(spark, sf_dir)
+    asked = questions(spark, sf_dir)
+    wanted = written(K.containment(asked.select(F.col("qid").alias("id"), "text"), terms).select(F.col("id").alias("qid"), "term"), "preferred")
+    items = written(K.build_items(sections, terms, iq.KINDS, iq.KEYS, code=None), "items") if structured else None
+    return R.hybrid_search(asked, sections, k, prefer=wanted, items=items, run=RUN)
 
 
 def r0_item_for_section(spark, sf_dir):
@@ -38,7 +44,7 @@ def r1_hybrid_search(spark, sf_dir):
 
 def r1_structured_search(spark, sf_dir):
     """The full score, with items."""
-    return R.hybrid_search(questions(spark, sf_dir), iq.knowledge(spark, sf_dir), 6, prefer=preferred(spark, sf_dir), items=iq.items(spark, sf_dir), run=RUN)
+    return search(spark, sf_dir, structured=True)
 
 
 def r2_dedupe_ranked(spark, sf_dir):
@@ -205,6 +211,22 @@ scored AS (SELECT q.qid, s.*, round((2.0::DOUBLE * coalesce(t.n, 0) + 0.25::DOUB
 best AS (SELECT *, row_number() OVER (PARTITION BY qid, layer, bare ORDER BY score DESC, ord) AS n FROM scored WHERE score > 0),
 hits AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, ord)::INT AS rank FROM best WHERE n = 1 QUALIFY rank <= 6)"""
 _HIT = "hits AS (SELECT 1)"
+STRUCTURED_SQL = f"""{iq.ITEMS_SQL},
+own AS (SELECT k.id, min(i.ord) AS item_ord FROM sections k JOIN items i ON i.id = k.id OR i.term = {sql_strip_heading('k.title')} GROUP BY k.id),
+withitem AS (SELECT s.id, doc_id * 100000 + sec AS ord, s.title, s.text, s.layer, {sql_strip_heading('s.title')} AS bare, i.term AS own, i.layer AS kind,
+  list_filter(list_concat(string_split(properties, '|'), string_split(mechanisms, '|'), string_split(forms, '|'), CASE WHEN {sql_strip_heading('i.title')} <> i.term THEN [{sql_strip_heading('i.title')}] ELSE [] END), lambda x: x <> '') AS others,
+  concat_ws(' ', i.term, replace(properties, '|', ' '), replace(mechanisms, '|', ' '), replace(forms, '|', ' '), CASE WHEN {sql_strip_heading('i.title')} <> i.term THEN {sql_strip_heading('i.title')} END, definition, response) AS item_text
+  FROM sections s LEFT JOIN own USING (id) LEFT JOIN items i ON i.ord = item_ord),
+s AS MATERIALIZED (SELECT *, {_tokens('title')} AS tt, {_tokens("title || chr(10) || left(text, 2500) || chr(10) || coalesce(item_text, '')")} AS bt, CASE WHEN kind IS NULL THEN [] ELSE {_tokens('kind')} END AS kt FROM withitem),
+q AS MATERIALIZED (SELECT item_id AS qid, text, {_tokens('text')} AS qt FROM benchmark),
+prefer AS MATERIALIZED (SELECT DISTINCT qid, term FROM q JOIN inv ON contains(lower(q.text), lower(inv.term))),
+asked AS (SELECT q.qid, qt, coalesce(list(term) FILTER (term IS NOT NULL), []) AS terms FROM q LEFT JOIN prefer p ON p.qid = q.qid GROUP BY q.qid, qt),
+points AS (SELECT qid, s.*, len(list_intersect(qt, bt)) AS b, 2.0::DOUBLE * len(list_intersect(qt, tt)) AS x, len(qt) AS nq,
+  coalesce(list_sum(list_transform(terms, lambda t: CASE WHEN contains(lower(title), lower(t)) THEN 12.0::DOUBLE WHEN contains(lower(text), lower(t)) THEN 5.0::DOUBLE ELSE 0.0::DOUBLE END)), 0) AS y,
+  CASE WHEN list_contains(terms, own) THEN 8.0::DOUBLE ELSE 0 END + 3.0::DOUBLE * len(list_filter(list_intersect(terms, others), lambda t: t <> own)) + CASE WHEN len(list_intersect(qt, kt)) > 0 THEN 1.5::DOUBLE ELSE 0 END AS z FROM asked, s),
+scored AS (SELECT *, round(x + 0.25::DOUBLE * b + 8.0::DOUBLE * b / (nq + len(bt) - b) + y + coalesce(z, 0) + CASE WHEN layer = 'mechanism' THEN 0.3::DOUBLE ELSE 0 END, 3) AS score FROM points),
+best AS (SELECT *, row_number() OVER (PARTITION BY qid, layer, bare ORDER BY score DESC, ord) AS n FROM scored WHERE score > 0)
+SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, ord)::INT AS rank, id, score FROM best WHERE n = 1 QUALIFY rank <= 6"""
 _VEC = "v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: (x * (vec_id % 3 + 1)::FLOAT)) AS e FROM embeddings), u AS (SELECT id, list_transform(e, lambda x: (x::DOUBLE / sqrt(list_dot_product(e::DOUBLE[], e::DOUBLE[])))::FLOAT) AS e FROM v), top AS (SELECT a.id AS qid, b.id, list_dot_product(a.e::DOUBLE[], b.e::DOUBLE[]) AS score, row_number() OVER (PARTITION BY a.id ORDER BY list_dot_product(a.e::DOUBLE[], b.e::DOUBLE[]) DESC, b.id)::INT AS rank FROM u a JOIN u b ON a.id % 100 = 0 QUALIFY rank <= 6)"
 _PAPERS = "papers AS (SELECT CASE WHEN doc_id % 3 = 0 THEN 'p' || (doc_id % 500) WHEN doc_id % 3 = 1 THEN '10.1/' || (doc_id % 400) ELSE lower(trim(left(text, 80), ' ')) END AS key, CASE WHEN doc_id % 5 > 0 THEN lang END AS abstract, doc_id AS ord FROM documents)"
 _ANS = "a AS (SELECT conv_id * 100 + turn AS qid, conv_id, turn, text || ' [' || (turn % 9) || '] [2] [12] ![a](image:' || (conv_id % 40) || ') ![b](image:x y/' || turn || ')' AS answer FROM conversations WHERE role = 'assistant')"
@@ -226,6 +248,7 @@ ORACLES = {
     "r0_item_for_section": f"""WITH {iq.INVENTORY_SQL}, k AS (SELECT id, doc_id * 100000 + sec AS ord, {sql_strip_heading('title')} AS bare, term FROM termed), i AS (SELECT * FROM k WHERE term <> '')
         SELECT k.id, min(i.ord) AS item_ord FROM k JOIN i ON i.id = k.id OR i.term = k.bare GROUP BY k.id""",
     "r1_hybrid_search": f"WITH {SEARCH_SQL} SELECT qid, rank, id, score FROM hits",
+    "r1_structured_search": f"WITH {STRUCTURED_SQL}",
     "r2_dedupe_ranked": "SELECT l_partkey, l_orderkey, l_extendedprice AS score, l_orderkey * 10 + l_linenumber AS ord FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_extendedprice DESC, l_orderkey * 10 + l_linenumber) = 1",
     "r3_jaccard_join": """WITH d AS (SELECT doc_id AS id, list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: length(w) > 5)) AS t FROM documents), b AS (SELECT item_id AS id, list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: length(w) > 5)) AS t FROM benchmark),
         h AS (SELECT x.id AS a, y.id AS b, len(x.t) AS na, len(y.t) AS nb, count(*) AS n FROM (SELECT *, unnest(t) AS token FROM b) x JOIN (SELECT *, unnest(t) AS token FROM d) y USING (token) GROUP BY 1, 2, 3, 4)

@@ -5,9 +5,16 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from functools import reduce
+from operator import add
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
+#: Bytes of column values up to which a measured table may be broadcast; the session setting of that name overrides it.
+BROADCAST_BYTES = 32_000_000
+BROADCAST_SETTING = "quillspark.broadcast.bytes"
 _own: dict[str, str] = {}
 
 
@@ -27,3 +34,25 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = scratch(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """Bytes of all values of df, which is read for it."""
+    def of(kind: DataType, value: Column) -> Column:
+        if isinstance(kind, (StringType, BinaryType)):
+            return F.coalesce(F.octet_length(value), F.lit(0)) + 8
+        if isinstance(kind, ArrayType):
+            each = F.aggregate(value, F.lit(0).cast("long"), lambda n, x: n + of(kind.elementType, x).cast("long"))
+            return F.coalesce(each, F.lit(0)) + 16
+        if isinstance(kind, StructType):
+            return reduce(add, [of(f.dataType, value[f.name]) for f in kind.fields], F.lit(8))
+        return F.lit(8)
+
+    row = reduce(add, [of(f.dataType, F.col(f"`{f.name}`")) for f in df.schema.fields], F.lit(16))
+    return df.agg(F.sum(row.cast("long"))).first()[0] or 0
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if its measured values are small enough; else as it is, for a shuffled join. df should be a written table: it is read twice."""
+    most = int(df.sparkSession.conf.get(BROADCAST_SETTING, str(BROADCAST_BYTES)))
+    return F.broadcast(df) if 0 < most and measured_bytes(df) <= most else df

@@ -10,6 +10,7 @@ from quillspark.operators import inventory as K
 from quillspark.operators import questions as Q
 from quillspark.operators import retrieval as R
 from quillspark.operators import verify as V
+from quillspark.operators.ordinals import ordinals
 from quillspark.sources import io
 
 
@@ -56,6 +57,8 @@ def test_containment_is_the_same_in_each_form(spark):
         got = K.containment(rows, dictionary, **bounds).collect()
         assert len(got) == len(want) and {(r.id, r.term) for r in got} == want
     assert K.containment(rows, dictionary.limit(0), small_rows=-1).collect() == []
+    plan = K.containment(rows, dictionary, small_rows=10, automaton_chars=200)._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and plan.count("MapInArrow") > 2
 
 
 def test_vectors_meet_queries_in_blocks(spark, monkeypatch):
@@ -94,3 +97,65 @@ def test_external_answers_are_coerced(spark):
 def test_masks_keep_case(spark):
     row = spark.createDataFrame([("The cat and the Cat",)], "t string").select(V.mask_known_spans(F.col("t"), ["the", "cat", "x"]).alias("s")).first()
     assert row.s == ["The ", " and ", " Cat"]
+
+
+def test_ordinals_over_hot_and_null_groups(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice(["a"] * 8 + ["b", None]), rng.randint(0, 50), i) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, v int, at long")
+    got = {r["at"]: (r.ord, r.n) for r in ordinals(df, ["g"], [F.desc("v"), F.col("at")], size="n", parts=7).collect()}
+    want = {}
+    for g in ("a", "b", None):
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2]))
+        want |= {r[2]: (i + 1, len(own)) for i, r in enumerate(own)}
+    assert got == want
+    whole = {r["at"]: r.number for r in ordinals(df, [], [F.col("at")], "number", parts=5).collect()}
+    assert whole == {i: i + 1 for i in range(400)}
+    assert ordinals(df.limit(0), ["g"], [F.col("v")]).collect() == []
+    spread = ordinals(df, ["g"], [F.desc("v"), F.col("at")], parts=7).select("g", F.spark_partition_id().alias("p")).distinct()
+    assert spread.where("g = 'a'").count() > 1  # a group of most rows is not in one task
+
+
+def plain_search(questions, sections, prefer, k):
+    """The score written out for every question and section."""
+    import re
+
+    tokens = lambda s: set(re.findall("[a-zA-Z][a-zA-Z0-9_-]+", s.strip().lower()))
+    out = {}
+    for qid, text in questions:
+        q, best = tokens(text), {}
+        for id_, at, title, body, layer in sections:
+            t, b = tokens(title), tokens(f"{title}\n{body[:2500]}\n")
+            n = len(q & b)
+            score = 2.0 * len(q & t) + 0.25 * n + (8.0 * n / (len(q) + len(b) - n) if n else 0.0) + (0.3 if layer == "mechanism" else 0.0)
+            score += sum(12.0 if p.lower() in title.lower() else 5.0 if p.lower() in body.lower() else 0.0 for p in prefer.get(qid, ()))
+            score = round(score, 3)
+            if score > 0:
+                best.setdefault((layer, title), []).append((-score, at, id_))
+        ranked = sorted(min(x) for x in best.values())[:k]
+        out[qid] = [(i + 1, id_, -s) for i, (s, _, id_) in enumerate(ranked)]
+    return out
+
+
+def test_search_with_pruned_blocks_equals_the_whole_product(spark, monkeypatch):
+    rng = random.Random(9)
+    stop, rare = ["the", "of", "and", "in", "to"], [f"word{i}" for i in range(120)]
+    sentence = lambda n, share: " ".join(rng.choice(stop) if rng.random() < share else rng.choice(rare) for _ in range(n))
+    sections = [(f"s{i}", i, sentence(rng.randint(1, 4), 0.7), sentence(rng.randint(0, 80), 0.8), rng.choice(["mechanism", "form", "unknown"])) for i in range(300)]
+    questions = [(i, sentence(rng.randint(1, 12), rng.choice([0.2, 0.8, 1.0]))) for i in range(25)] + [(90, ""), (91, "unseenword"), (92, "the of and in to")]
+    prefer = {i: {rng.choice(["the", "of the", "word7", "word11 ", "nothing"]) for _ in range(2)} for i, _ in questions if i % 3}
+    q = spark.createDataFrame(questions, "qid long, text string")
+    s = spark.createDataFrame(sections, "id string, ord long, title string, text string, layer string")
+    p = spark.createDataFrame([(i, t) for i, ts in prefer.items() for t in ts], "qid long, term string")
+    want = plain_search(questions, sections, prefer, 4)
+    met = []
+    exact = R.exact_points
+    monkeypatch.setattr(R, "exact_points", lambda pairs, *a: met.append(pairs.count()) or exact(pairs, *a))
+    for listed in (0, 20, 10_000):
+        met.clear()
+        got = {}
+        for r in R.hybrid_search(q, s, 4, prefer=p, listed=listed).collect():
+            got.setdefault(r.qid, []).append((r["rank"], r["id"], r.score))
+        assert {i: sorted(x) for i, x in got.items()} == {i: x for i, x in want.items() if x}
+        if listed == 20:
+            assert sum(met) < 0.5 * len(questions) * len(sections)  # most pairs are never scored
