@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.operators.inventory import containment, ordered
+from quillspark.operators.ordinals import ordinals
 from quillspark.sources.scratch import small, written
 
 # fixed values: weights of the hybrid score
@@ -203,13 +204,61 @@ def dedupe_ranked(rows: DataFrame, key: list[str], score: str, order: str) -> Da
     return ordered(rows, key, F.desc(score), F.col(order), name="n").where("n = 1").drop("n")
 
 
+def by_rarity(left: DataFrame, right: DataFrame) -> list[DataFrame]:
+    """Two (id, tokens) tables to (id, tokens, n): the tokens that both tables have, as numbers, the rarest first; n counts all distinct tokens.
+
+    Tokens of one table alone match nothing; they stand for the rarest, before the numbers, and are not
+    shuffled where the other table's tokens are few enough to be broadcast. Null and empty sets go.
+    """
+    def posts(side: DataFrame) -> DataFrame:
+        own = side.select("id", F.array_compact(F.array_distinct("tokens")).alias("t"))
+        return own.select("id", F.size("t").alias("n"), F.explode("t").alias("token"))
+
+    asked = small(written(posts(left).select("token").distinct(), "rarity-tokens"))
+    r_posts = written(posts(right).join(asked, "token", "left_semi"), "rarity-posts")
+    counts = written(r_posts.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "rarity-counts")
+    ranks = small(written(ordinals(counts, [], [F.col("df"), F.col("token")], "at").select("token", "at"), "rarity-ranks"))
+    sets = [p.join(ranks, "token").groupBy("id", "n").agg(F.sort_array(F.collect_list("at")).alias("tokens")) for p in (posts(left), r_posts)]
+    return [written(s, "rarity-sets") for s in sets]
+
+
+def prefix_candidates(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(a, b): pairs of sets of by_rarity() that may be as similar as least.
+
+    Two sets so similar share needed = least / (1 + least) * (n_a + n_b) tokens at least, so they meet in
+    the first n - needed + 1 of each, the rarest ones. The right side is listed by size class; a left set
+    asks each class with the prefix that the class's smallest set leaves it: the larger the partner,
+    the fewer tokens are asked for. Where a token stands in both sets bounds what can still be shared.
+    """
+    needed = lambda n_a, n_b: F.ceil(least / (1 + least) * (n_a + n_b) - 1e-9)
+    # the first k places of a set of n, of which the numbered tokens are the last
+    first = lambda k: F.greatest(k - F.col("n") + F.size("tokens"), F.lit(0)).cast("int")
+    prefix = lambda k: F.explode(F.slice(F.transform("tokens", lambda t, i: F.struct(t.alias("token"), (i + 1 + F.col("n") - F.size("tokens")).alias("at"))), F.lit(1), first(k)))
+    size_class = lambda n: F.floor(F.log2(n.cast("double")) * 4)
+    # no partner is smaller than least * n
+    listed = right.select(F.col("id").alias("b"), F.col("n").alias("n_b"), size_class(F.col("n")).alias("class"), prefix(F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1).alias("x")).select("b", "n_b", "class", "x.*")
+    listed = listed.withColumnRenamed("at", "at_b")
+    asked = left.select("id", "n", "tokens", F.explode(F.sequence(size_class(F.ceil(least * F.col("n") - 1e-9)), size_class(F.col("n") / least + 1e-9))).alias("class"))
+    smallest = F.greatest(F.ceil(F.pow(F.lit(2.0), F.col("class") / 4) - 1e-9), F.ceil(least * F.col("n") - 1e-9))
+    asked = asked.select(F.col("id").alias("a"), F.col("n").alias("n_a"), "class", prefix(F.col("n") - needed(F.col("n"), smallest) + 1).alias("x")).select("a", "n_a", "class", "x.*")
+    enough = needed(F.col("n_a"), F.col("n_b"))
+    in_reach = (F.col("n_a") >= least * F.col("n_b") - 1e-9) & (F.col("n_b") >= least * F.col("n_a") - 1e-9) & (1 + F.least(F.col("n_a") - F.col("at"), F.col("n_b") - F.col("at_b")) + F.least(F.col("at"), F.col("at_b")) - 1 >= enough)
+    return asked.join(listed, ["class", "token"]).where(in_reach).select("a", "b").distinct()
+
+
 def jaccard_join(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """(a, b, jaccard) of pairs of (id, tokens) whose sets are that similar, by a postings join."""
-    l_post = left.select(F.col("id").alias("a"), F.size("tokens").alias("n_a"), F.explode("tokens").alias("token"))
-    r_post = right.select(F.col("id").alias("b"), F.size("tokens").alias("n_b"), F.explode("tokens").alias("token"))
-    near = (F.col("n_a") >= least * F.col("n_b")) & (F.col("n_b") >= least * F.col("n_a"))
-    hits = l_post.join(r_post, "token").where(near).groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("n"))
-    return hits.withColumn("jaccard", F.col("n") / (F.col("n_a") + F.col("n_b") - F.col("n"))).where(F.col("jaccard") >= least).select("a", "b", "jaccard")
+    """(a, b, jaccard) of pairs of (id, tokens) whose sets are that similar; least is above 0.
+
+    Candidates meet by the rarest tokens of each set (prefix_candidates) and are verified on whole sets.
+    Repeated tokens count once; null and empty sets are like nothing; ids should be unique.
+    """
+    if not 0 < least <= 1:
+        raise ValueError(f"least must be above 0 and at most 1, not {least}")
+    l_sets, r_sets = by_rarity(left, right)
+    pairs = prefix_candidates(l_sets, r_sets, least)
+    rows = pairs.join(small(l_sets.select(F.col("id").alias("a"), F.col("tokens").alias("t_a"), F.col("n").alias("n_a"))), "a").join(r_sets.select(F.col("id").alias("b"), F.col("tokens").alias("t_b"), F.col("n").alias("n_b")), "b")
+    rows = rows.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("t_a", "t_b")).alias("n"))
+    return rows.select("a", "b", (F.col("n") / (F.col("n_a") + F.col("n_b") - F.col("n"))).alias("jaccard")).where(F.col("jaccard") >= least)
 
 
 def media_search(questions: DataFrame, media: DataFrame, k: int = 3) -> DataFrame:

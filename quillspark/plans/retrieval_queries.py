@@ -53,9 +53,9 @@ def r2_dedupe_ranked(spark, sf_dir):
 
 
 def r3_jaccard_join(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: F.length(w) > 5)).alias("tokens"))
-    bench = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: F.length(w) > 5)).alias("tokens"))
-    return R.jaccard_join(bench, docs, 0.05).withColumn("jaccard", F.bround("jaccard", 6))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: F.length(w) > 0)).alias("tokens"))
+    bench = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: F.length(w) > 0)).alias("tokens"))
+    return R.jaccard_join(bench, docs, 0.05).withColumn("jaccard", F.round("jaccard", 12))
 
 
 def r4_media_search(spark, sf_dir):
@@ -250,9 +250,9 @@ ORACLES = {
     "r1_hybrid_search": f"WITH {SEARCH_SQL} SELECT qid, rank, id, score FROM hits",
     "r1_structured_search": f"WITH {STRUCTURED_SQL}",
     "r2_dedupe_ranked": "SELECT l_partkey, l_orderkey, l_extendedprice AS score, l_orderkey * 10 + l_linenumber AS ord FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_extendedprice DESC, l_orderkey * 10 + l_linenumber) = 1",
-    "r3_jaccard_join": """WITH d AS (SELECT doc_id AS id, list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: length(w) > 5)) AS t FROM documents), b AS (SELECT item_id AS id, list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: length(w) > 5)) AS t FROM benchmark),
+    "r3_jaccard_join": """WITH d AS (SELECT doc_id AS id, list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: length(w) > 0)) AS t FROM documents), b AS (SELECT item_id AS id, list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: length(w) > 0)) AS t FROM benchmark),
         h AS (SELECT x.id AS a, y.id AS b, len(x.t) AS na, len(y.t) AS nb, count(*) AS n FROM (SELECT *, unnest(t) AS token FROM b) x JOIN (SELECT *, unnest(t) AS token FROM d) y USING (token) GROUP BY 1, 2, 3, 4)
-        SELECT a, b, round(n / (na + nb - n), 6) AS jaccard FROM h WHERE n / (na + nb - n) >= 0.05""",
+        SELECT a, b, round(n / (na + nb - n), 12) AS jaccard FROM h WHERE n / (na + nb - n) >= 0.05""",
     "r5_l2_normalize": f"WITH {_VEC} SELECT id, round(list_dot_product(e::DOUBLE[], e::DOUBLE[]), 4) AS norm, round(e[1]::DOUBLE, 4) AS first FROM u",
     "r6_vector_top_k": f"WITH {_VEC} SELECT qid, rank, id, round(score, 4) AS score FROM top",
     "r7_retrieve": f"WITH {_VEC} SELECT qid, rank, id, source, lang FROM top JOIN documents ON doc_id = id WHERE doc_id % 3 <> 1",

@@ -159,3 +159,31 @@ def test_search_with_pruned_blocks_equals_the_whole_product(spark, monkeypatch):
         assert {i: sorted(x) for i, x in got.items()} == {i: x for i, x in want.items() if x}
         if listed == 20:
             assert sum(met) < 0.5 * len(questions) * len(sections)  # most pairs are never scored
+
+
+def test_jaccard_join_equals_all_pairs(spark):
+    rng = random.Random(12)
+    words = ["the", "of", "and"] + [f"w{i}" for i in range(40)]
+    one = lambda: [rng.choice(words[:3]) if rng.random() < 0.4 else rng.choice(words) for _ in range(rng.choice([0, 1, 2, 5, 9, 30, 200]))]
+    left, right = [(i, one()) for i in range(60)], [(i, one()) for i in range(90)] + [(900, None), (901, [])]
+    right += [(200 + i, t) for i, t in left[:20]]
+    make = lambda rows: spark.createDataFrame(rows, "id long, tokens array<string>")
+    for least in (0.05, 0.3, 0.6, 0.75, 1.0):
+        got = {(r.a, r.b): round(r.jaccard, 12) for r in R.jaccard_join(make(left), make(right), least).collect()}
+        want = {}
+        for a, x in left:
+            for b, y in right:
+                x_, y_ = set(x), set(y or [])
+                if x_ and y_ and len(x_ & y_) / len(x_ | y_) >= least:
+                    want[a, b] = round(len(x_ & y_) / len(x_ | y_), 12)
+        assert got == want
+    assert R.jaccard_join(make(left).limit(0), make(right), 0.5).collect() == []
+
+
+def test_frequent_tokens_generate_no_candidates(spark):
+    """Every set holds the same ten frequent tokens; pairs that share those alone are never met."""
+    often = [f"stop{i}" for i in range(10)]
+    rows = spark.createDataFrame([(i, often + [f"own{i // 2}-{j}" for j in range(30)]) for i in range(80)], "id long, tokens array<string>")
+    a, b = R.by_rarity(rows, rows)
+    pairs = {(r.a, r.b) for r in R.prefix_candidates(a, b, 0.6).collect()}
+    assert pairs == {(i, j) for i in range(80) for j in range(80) if i // 2 == j // 2}
