@@ -242,14 +242,51 @@ def resolve_external(external: DataFrame, valid: list[str]) -> DataFrame:
     return rows.select("qid", "intent", "confidence", needs.alias("needs_clarification"))
 
 
-def parse_questions(questions: DataFrame, resolved: DataFrame, found: DataFrame, focus: list[tuple[str, list[str]]], default_focus: list[str], separators: list[str]) -> DataFrame:
-    """(qid, structure): intent, confidence, needs_clarification, terms in order, focus, targets of comparisons, and where the frame comes from."""
+@dataclass
+class Design:
+    """How questions about a design are read: facet columns by name, what is missing and risky, and the intent that they belong to."""
+
+    intent: str
+    facets: dict[str, Column]
+    missing: Column
+    risks: Column
+
+
+def parse_questions(questions: DataFrame, resolved: DataFrame, found: DataFrame, focus: list[tuple[str, list[str]]], default_focus: list[str], separators: list[str], compare: str = "compare", open_intent: str = "open",
+                    layers: DataFrame | None = None, frames: DataFrame | None = None, corrections: DataFrame | None = None, design: Design | None = None, missing: Column | None = None) -> DataFrame:
+    """(qid, structure): all that is known of each question before it is answered.
+
+    questions: qid, text, images and what the columns of design read. layers: qid, layers. frames: qid,
+    frame, source, as select_frame gives them. corrections: qid, original, canonical. missing may read
+    intent, text, images, terms and design_missing; open questions miss nothing, questions about a design
+    what their design misses. A question without an intent is open; without its layers it is unknown;
+    without a frame it has none, and its source is that of its intent.
+    """
     none = F.array().cast("array<string>")
-    terms = found.groupBy("qid").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "term"))), lambda x: x["term"]).alias("terms"))
-    rows = questions.join(resolved, "qid").join(terms, "qid", "left").withColumn("terms", F.coalesce("terms", none))
-    targets = F.when(F.col("intent") == "compare", compare_targets(F.col("text"), F.col("terms"), separators)).otherwise(none)
-    source = F.when(F.coalesce("intent", F.lit("open")) == "open", "cot").otherwise("static")
-    return rows.select("qid", F.struct("intent", "confidence", "needs_clarification", "terms", detect_focus(F.col("text"), focus, default_focus).alias("focus"), targets.alias("targets"), source.alias("frame_source")).alias("structure"))
+    terms = found.groupBy("qid").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "term"))), lambda x: x["term"]).alias("found_terms"))
+    rows = questions.join(resolved.select("qid", F.coalesce("intent", F.lit(open_intent)).alias("intent"), "confidence", "needs_clarification"), "qid").join(terms, "qid", "left").withColumn("found_terms", F.coalesce("found_terms", none))
+    is_design = F.col("intent") == design.intent if design else F.lit(False)
+    facets = F.struct(*[c.alias(n) for n, c in design.facets.items()], design.missing.alias("missing"), design.risks.alias("risks")) if design else F.lit(None).cast("struct<missing:array<string>,risks:array<string>>")
+    # facets may read the question's own terms; the answer's come after
+    rows = rows.withColumn("design", facets).drop("terms").withColumnRenamed("found_terms", "terms").withColumn("design_missing", F.coalesce("design.missing", none))
+    if layers is not None:
+        rows = rows.join(layers.select("qid", "layers"), "qid", "left")
+    if frames is not None:
+        rows = rows.join(frames.select("qid", "frame", F.col("source").alias("frame_source")), "qid", "left")
+    if corrections is not None:
+        fixed = corrections.groupBy("qid").agg(F.sort_array(F.collect_set(F.struct("original", "canonical"))).alias("corrections"))
+        rows = rows.join(fixed, "qid", "left")
+    has = lambda c, other: F.coalesce(c, other) if c in rows.columns else other
+    targets = F.when(F.col("intent") == compare, compare_targets(F.col("text"), F.col("terms"), separators)).otherwise(none)
+    seen = F.array_compact(F.array(F.when(F.col("images") > 0, F.lit("image")), F.when(F.trim("text") != "", F.lit("text"))))
+    gaps = F.when(F.col("intent") == open_intent, none).when(is_design, F.col("design_missing")).otherwise(none if missing is None else missing)
+    source = F.when(F.col("intent") == open_intent, "cot").otherwise("static")
+    return rows.select("qid", F.struct(
+        F.col("text").alias("raw_query"), "intent", "confidence", "needs_clarification", has("layers", F.array(F.lit("unknown"))).alias("layers"), "terms",
+        detect_focus(F.col("text"), focus, default_focus).alias("focus"), targets.alias("compare_targets"), F.when(F.size(seen) > 0, seen).otherwise(F.array(F.lit("text"))).alias("case_modality"),
+        gaps.alias("missing_info"), has("corrections", F.array().cast("array<struct<original:string,canonical:string>>")).alias("term_corrections"),
+        has("frame", none).alias("output_frame"), has("frame_source", source).alias("output_frame_source"), F.when(is_design, F.col("design")).alias("design_evaluation"),
+    ).alias("structure"))
 
 
 def select_frame(questions: DataFrame, static: DataFrame, proposed: DataFrame, mode: str = "auto", fallback: list[str] | None = None) -> DataFrame:

@@ -386,8 +386,8 @@ def references(hits: DataFrame) -> DataFrame:
 
 
 def retrieval_answer(questions: DataFrame, media: DataFrame, hits: DataFrame, empty: str = "Nothing found.") -> DataFrame:
-    """(qid, answer): media lines if any, else section texts between rules, else a fixed text."""
-    images = joined_in_order(media, "qid", "rank", F.concat(F.lit("!["), F.col("caption"), F.lit("](image:"), F.col("id"), F.lit(")")), "\n", "images")
+    """(qid, answer): media lines, each a paragraph, if any, else section texts between rules, else a fixed text."""
+    images = joined_in_order(media, "qid", "rank", F.concat(F.lit("!["), F.col("caption"), F.lit("](image:"), F.col("id"), F.lit(")")), "\n\n", "images")
     texts = joined_in_order(hits, "qid", "rank", F.col("text"), "\n\n---\n\n", "texts")
     return questions.select("qid").join(images, "qid", "left").join(texts, "qid", "left").select("qid", F.coalesce("images", "texts", F.lit(empty)).alias("answer"))
 

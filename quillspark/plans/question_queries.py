@@ -8,6 +8,7 @@ from quillspark.operators import questions as Q
 from quillspark.plans import inventory_queries as iq
 from quillspark.plans import retrieval_queries as rq
 from quillspark.plans.fixtures import sql_compact, table
+from quillspark.sources.scratch import written
 
 ALIASES = [("of the", "ofthe"), ("and", "und"), ("de la", "dela"), ("un", "eins")]
 RULES = [
@@ -148,9 +149,29 @@ def q17_clarify_subtype(spark, sf_dir):
 
 
 def q18_parse_questions(spark, sf_dir):
-    """The whole structure of each question as one row."""
-    done = Q.parse_questions(asked(spark, sf_dir), resolved(spark, sf_dir), found(spark, sf_dir), FOCUS, ["definition", "relation", "limits"], [" and ", ", "])
-    return done.select("qid", F.to_json("structure").alias("structure"))
+    """The whole structure of each question, a column for each part."""
+    rows = written(asked(spark, sf_dir), "asked")
+    turns = rows.select("qid", "text")
+    done = written(resolved(spark, sf_dir), "resolved")
+    own = _facets(spark, sf_dir)[1]
+    lists = {n: c for n, c in own.items() if n != "modality"}
+    missing, risks = Q.missing_and_risks(own, F.col("text"), [("the", "and", "both"), ("que", "de", "pair")], 300)
+    hits = written(rq.search(spark, sf_dir, 8, asked=turns), "hits").join(iq.knowledge(spark, sf_dir).select("id", "layer"), "id")
+    layers = Q.detect_layers(turns.join(done.select("qid", "intent"), "qid"), hits, INTENT_LAYERS, [("(?i)tion", "property"), ("(?i)ment", "form")])
+    frame = q20_select_frame(spark, sf_dir).select("qid", F.split("frame", ",").alias("frame"), "source")
+    aliases = spark.createDataFrame(ALIASES, "original string, canonical string")
+    fixed = turns.join(F.broadcast(aliases), F.contains(F.lower("text"), F.col("original"))).select("qid", "original", "canonical")
+    blocking = Q.blocking_missing(F.col("intent"), F.col("text"), F.col("images"), F.size("terms"), F.size("design_missing") > 0)
+    with_terms = rows.withColumn("terms", F.when(F.col("qid") % 3 == 0, F.array(F.lit("with"), F.lit("zzz"))).otherwise(F.array().cast("array<string>")))
+    made = Q.parse_questions(with_terms, done, found(spark, sf_dir), FOCUS, ["definition", "relation", "limits"], [" and ", ", "], layers=layers, frames=frame, corrections=fixed, design=Q.Design("evaluation", lists, missing, risks), missing=blocking)
+    s = made.select("qid", "structure.*")
+    joined = lambda c: F.array_join(c, ",")
+    design = F.concat_ws(";", *[(c if n in ("context", "goal") else joined(c)) for n, c in ((n, F.col(f"design_evaluation.{n}")) for n in (*lists, "missing", "risks"))])
+    return s.select(
+        "qid", F.md5("raw_query").alias("raw_query"), "intent", "confidence", "needs_clarification", joined("layers").alias("layers"), F.md5(joined("terms")).alias("terms"), joined("focus").alias("focus"), F.array_join("compare_targets", "|").alias("targets"),
+        joined("case_modality").alias("modality"), joined("missing_info").alias("missing"), joined(F.transform("term_corrections", lambda x: F.concat_ws(">", x["original"], x["canonical"]))).alias("corrections"),
+        joined("output_frame").alias("frame"), F.col("output_frame_source").alias("frame_source"), F.when(F.col("design_evaluation").isNotNull(), design).alias("design"),
+    )
 
 
 def q10_clarification_question(spark, sf_dir):
@@ -241,3 +262,18 @@ ORACLES = {
     "q20_select_frame": f"""WITH {SCORED_SQL}, r AS (SELECT qid, coalesce(intent, 'open') AS intent, confidence, CASE WHEN qid % 3 > 0 AND qid % 10 + 1 BETWEEN 3 AND 8 THEN qid % 10 + 1 END AS k FROM resolved), u AS (SELECT *, k IS NOT NULL AND (intent = 'open' OR confidence < 0.8) AS use FROM r)
         SELECT qid, CASE WHEN use THEN array_to_string(list_transform(range(1, k + 1), lambda i: 's' || i), ',') WHEN intent = 'open' THEN 'summary,evidence,limits,next steps' WHEN intent = 'compare' THEN 'a,b' WHEN intent = 'case' THEN 'c' ELSE '' END AS frame, CASE WHEN use OR intent = 'open' THEN 'cot' ELSE 'static' END AS source FROM u""",
 }
+
+_SEARCH_ASKED = _SEARCH8.replace("item_id AS qid", "conv_id * 100 + turn AS qid").replace("FROM benchmark)", "FROM conversations WHERE role = 'user')")
+ORACLES["q18_parse_questions"] = f"""WITH r AS ({ORACLES["q9_resolve_intent"]}), a AS (SELECT conv_id * 100 + turn AS qid, text, CASE WHEN conv_id % 7 = 0 THEN 1 ELSE 0 END AS images FROM conversations WHERE role = 'user'),
+t AS (SELECT qid, list(term ORDER BY ord) AS terms FROM ({ORACLES["q2_find_terms"]}) GROUP BY qid), focus AS ({ORACLES["q12_detect_focus"]}), frame AS ({ORACLES["q20_select_frame"]}), facets AS ({ORACLES["q15_extract_facets"]}), gaps AS ({ORACLES["q16_missing_and_risks"]}),
+h AS (WITH {_SEARCH_ASKED} SELECT qid, list(layer ORDER BY rank) AS s FROM hits WHERE layer <> 'unknown' GROUP BY qid),
+p AS (SELECT qid, list_filter(list_transform(list_concat(CASE WHEN contains(text, ' and ') THEN string_split(text, ' and ') ELSE [] END, CASE WHEN contains(text, ', ') THEN string_split(text, ', ') ELSE [] END), lambda x: regexp_replace(x, '^[ ?？。.]+|[ ?？。.]+$', '', 'g')), lambda x: length(x) BETWEEN 2 AND 16) AS parts FROM a),
+j AS (SELECT a.*, coalesce(r.intent, 'open') AS intent, confidence, needs_clarification, coalesce(terms, []) AS terms, parts, focus, frame, source, controls, mechanisms, properties, context, goal, gaps.missing AS gaps, risks,
+  list_filter(list_concat(coalesce(s, []), [CASE r.intent WHEN 'compare' THEN 'mechanism' WHEN 'case' THEN 'form' WHEN 'evaluation' THEN 'property' WHEN 'property' THEN 'property' END, CASE WHEN regexp_matches(text, '(?i)tion') THEN 'property' END, CASE WHEN regexp_matches(text, '(?i)ment') THEN 'form' END]), lambda x: x IS NOT NULL) AS ls
+  FROM a JOIN r USING (qid) LEFT JOIN t USING (qid) JOIN p USING (qid) JOIN focus USING (qid) JOIN frame USING (qid) JOIN facets USING (qid) JOIN gaps USING (qid) LEFT JOIN h USING (qid))
+SELECT qid, md5(text) AS raw_query, intent, confidence, needs_clarification, CASE WHEN len(ls) = 0 THEN 'unknown' ELSE array_to_string(list_filter(ls, lambda x, i: list_position(ls, x) = i), ',') END AS layers, md5(array_to_string(terms, ',')) AS terms, focus,
+  CASE WHEN intent <> 'compare' THEN '' WHEN len(terms) >= 2 THEN array_to_string(terms[1:4], '|') ELSE array_to_string(list_concat(parts, list_filter(terms, lambda x: NOT list_contains(parts, x)))[1:4], '|') END AS targets,
+  CASE WHEN images > 0 AND trim(text, ' ') <> '' THEN 'image,text' WHEN images > 0 THEN 'image' ELSE 'text' END AS modality,
+  CASE WHEN intent = 'evaluation' THEN gaps WHEN intent = 'case' AND images = 0 AND length(text) < 30 THEN 'short case' WHEN intent = 'compare' AND len(terms) < 2 THEN 'two targets' ELSE '' END AS missing,
+  array_to_string(list_filter([{", ".join(f"CASE WHEN contains(lower(text), '{a}') THEN '{a}>{c}' END" for a, c in sorted(ALIASES))}], lambda x: x IS NOT NULL), ',') AS corrections,
+  frame, source AS frame_source, CASE WHEN intent = 'evaluation' THEN concat_ws(';', controls, mechanisms, properties, context, goal, gaps, risks) END AS design FROM j"""

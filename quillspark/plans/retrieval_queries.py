@@ -25,10 +25,10 @@ def preferred(spark, sf_dir):
     return K.containment(questions(spark, sf_dir).select(F.col("qid").alias("id"), "text"), iq.inventory(spark, sf_dir)).select(F.col("id").alias("qid"), "term")
 
 
-def search(spark, sf_dir, k=6, structured=False):
+def search(spark, sf_dir, k=6, structured=False, asked=None):
     """The search over sections that are made and written once, as is the dictionary."""
     sections, terms = iq.base(spark, sf_dir)
-    asked = questions(spark, sf_dir)
+    asked = questions(spark, sf_dir) if asked is None else asked
     wanted = written(K.containment(asked.select(F.col("qid").alias("id"), "text"), terms).select(F.col("id").alias("qid"), "term"), "preferred")
     items = written(K.build_items(sections, terms, iq.KINDS, iq.KEYS, code=None), "items") if structured else None
     return R.hybrid_search(asked, sections, k, prefer=wanted, items=items, run=RUN)
@@ -262,7 +262,7 @@ ORACLES = {
     "r9_build_context": f"""WITH {SEARCH_SQL}, c AS (SELECT qid, string_agg('[' || rank || '] ' || title || chr(10) || 'source: ' || {_CITE} || chr(10) || 'layer: ' || layer || chr(10) || 'score: ' || printf('%.3f', score) || chr(10) || {_TRUNC}, chr(10) || chr(10) ORDER BY rank) AS c FROM hits GROUP BY qid)
         SELECT qid, length(c) AS n, md5(c) AS digest FROM (SELECT q.qid, coalesce(c, '(no material found)') AS c FROM q LEFT JOIN c ON c.qid = q.qid)""",
     "r10_references": f"WITH {SEARCH_SQL} SELECT qid, string_agg('[' || rank || '] ' || {_CITE} || coalesce(' ' || coalesce(CASE WHEN rank % 2 = 0 THEN id END, CASE WHEN rank % 3 <> 0 THEN 'https://doi.org/' || {_CITE} END), ''), chr(10) ORDER BY rank) AS refs FROM hits GROUP BY qid",
-    "r11_retrieval_answer": f"""WITH {SEARCH_SQL}, imgs AS (SELECT qid, string_agg('![' || title || '](image:' || id || ')', chr(10) ORDER BY rank) AS x FROM hits WHERE qid % 3 = 0 AND rank <= 2 GROUP BY qid), txts AS (SELECT qid, string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS x FROM hits WHERE qid % 3 = 1 AND rank <= 3 GROUP BY qid)
+    "r11_retrieval_answer": f"""WITH {SEARCH_SQL}, imgs AS (SELECT qid, string_agg('![' || title || '](image:' || id || ')', chr(10) || chr(10) ORDER BY rank) AS x FROM hits WHERE qid % 3 = 0 AND rank <= 2 GROUP BY qid), txts AS (SELECT qid, string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS x FROM hits WHERE qid % 3 = 1 AND rank <= 3 GROUP BY qid)
         SELECT q.qid, md5(coalesce(imgs.x, txts.x, 'Nothing found.')) AS digest FROM q LEFT JOIN imgs ON imgs.qid = q.qid LEFT JOIN txts ON txts.qid = q.qid""",
     "r12_cited_sources": f"WITH {_ANS}, m AS (SELECT DISTINCT qid, unnest(regexp_extract_all(answer, '\\[(\\d{{1,6}})\\]', 1))::INT AS rank FROM a) SELECT qid, rank, qid || '/' || rank AS id FROM m WHERE rank BETWEEN 1 AND 6",
     "r13_resolve_media_refs": f"WITH {_ANS} SELECT qid, md5(replace(answer, '](image:' || (conv_id % 40) || ')', '](/media/dir%20a/%C3%A9%20' || (conv_id % 40) || '.png)')) AS digest FROM a",

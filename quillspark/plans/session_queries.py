@@ -105,7 +105,7 @@ def c9_answer_pipeline(spark, sf_dir):
     media = sq.media(spark, sf_dir).withColumn("name", F.concat("id", F.lit(".png")))
     terms = io.written(iq.inventory(spark, sf_dir).select("term").distinct(), "terms")
     knowledge = A.Knowledge(io.written(iq.knowledge(spark, sf_dir), "knowledge"), frames, terms, io.written(media, "media"), unsupported, io.scratch(spark, "question-log"), "aeiou")
-    done = A.run_stream(_stream(spark, sf_dir), RULES, lambda batch: A.answer_batch(batch, knowledge, answers))
+    done = A.run_stream(_stream(spark, sf_dir), RULES, lambda batch: A.answer_batch(batch, knowledge, answers, retrieval_intent="property"))
     return done.select("session", "turn", "status", "corrected", F.md5("terms").alias("terms"), "hits", "media", "audit", F.md5("answer").alias("answer"))
 
 

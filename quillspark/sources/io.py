@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.operators.corpus import dedupe_papers
+from quillspark.operators.ordinals import ordinals
 from quillspark.sources.scratch import scratch, written  # noqa: F401
 
 PAPER = "id string, title string, authors array<string>, year int, venue string, abstract string, doi string, url string, citations int, concepts array<string>"
@@ -20,9 +21,30 @@ def write_corpus(papers: DataFrame, path: str, mode: str = "overwrite") -> int:
     return seen.get["rows"]
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether the file or folder is there, in whatever store Spark reads it from."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def read_markdown(spark: SparkSession, path: str, pattern: str = "*.md") -> DataFrame:
+    """(doc_id, name, text) of a folder's files of that pattern, whole, numbered from 1 in the order of their names; subfolders, hidden and empty files are not read.
+
+    A missing folder is an error, as nothing could be told from it; a folder without such files gives no rows.
+    """
+    if not exists(spark, path):
+        raise FileNotFoundError(path)
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    # listed and read by Spark, a file a row, so that any store will do; files of other names are not opened
+    files = spark.read.schema(schema).format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    rows = files.select(F.url_decode(F.replace(F.regexp_extract("path", r"([^/]*)$", 1), F.lit("+"), F.lit("%2B"))).alias("name"), F.decode("content", "UTF-8").alias("text"))
+    return ordinals(rows, [], [F.col("name")], "doc_id").select("doc_id", "name", "text")
+
+
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """Papers of JSON lines, defaults filled, first row of each key (in file order of ord)."""
-    rows = spark.read.schema(f"{PAPER}, ord long").json(path)
+    """Papers of JSON lines, defaults filled, first row of each key (in file order of ord). A corpus that is not there is empty."""
+    reader = spark.read.schema(f"{PAPER}, ord long")
+    rows = reader.json(path) if exists(spark, path) else spark.createDataFrame([], f"{PAPER}, ord long")
     none = F.array().cast("array<string>")
     rows = rows.withColumns({"authors": F.coalesce("authors", none), "concepts": F.coalesce("concepts", none), "citations": F.coalesce("citations", F.lit(0))})
     return dedupe_papers(rows)
@@ -55,28 +77,40 @@ def read_inventory_flat(docs: DataFrame, layers: list[str]) -> DataFrame:
     return rows.withColumn("bucket", F.when(bad, F.raise_error(F.concat(F.lit("unknown layer "), "bucket"))).otherwise(F.col("bucket")))
 
 
+def climbed(nodes: DataFrame) -> DataFrame:
+    """(id, at, layer, type, dist, orphan) of (id, parent, layer, type), by pointer doubling: at is null once the root is reached.
+
+    Each round joins every node with the node it points at and takes over its pointer, its distance and,
+    where still missing, its layer and type: n nodes in a chain take log2(n) rounds. What points on after
+    that is on a cycle or below one; orphan marks a way that ends at a parent that is not there.
+    """
+    n = nodes.count()
+    start = nodes.select("id", F.col("parent").alias("at"), "layer", "type", F.col("parent").isNotNull().cast("long").alias("dist"), F.lit(False).alias("orphan"))
+    rows = written(start, "tree")
+    for _ in range(max(1, n).bit_length() + 1):
+        if rows.where("at IS NOT NULL").isEmpty():
+            break
+        ahead = rows.select(F.col("id").alias("next"), F.col("at").alias("n_at"), F.col("layer").alias("n_layer"), F.col("type").alias("n_type"), F.col("dist").alias("n_dist"), F.col("orphan").alias("n_orphan"))
+        met = rows.join(ahead, F.col("at") == F.col("next"), "left")
+        lost = F.col("at").isNotNull() & F.col("next").isNull()
+        rows = written(met.select("id", F.col("n_at").alias("at"), F.coalesce("layer", "n_layer").alias("layer"), F.coalesce("type", "n_type").alias("type"), (F.col("dist") + F.coalesce("n_dist", F.lit(0))).alias("dist"), (F.col("orphan") | lost | F.coalesce("n_orphan", F.lit(False))).alias("orphan")), "tree")
+    return rows
+
+
+def unreached_nodes(nodes: DataFrame) -> DataFrame:
+    """(id, reason) of nodes that no root reaches: 'cycle' on a cycle or below one, 'orphan' below a parent that is not there."""
+    return climbed(nodes).where("at IS NOT NULL OR orphan").select("id", F.when(F.col("orphan"), "orphan").otherwise("cycle").alias("reason"))
+
+
 def flatten_inventory_tree(nodes: DataFrame) -> DataFrame:
     """(id, label, layer, type, depth, is_leaf) of (id, parent, label, layer, type): layer and type come from the nearest ancestor that has them.
 
-    Level by level, each written before the next: a tree may be as deep and as wide as it is. Nodes
-    that no root reaches give no rows.
+    Nodes that no root reaches give no rows (unreached_nodes names them); ids are unique.
     """
-    spark = nodes.sparkSession
-    path, depth = scratch(spark, "tree"), 0
-    level = nodes.where("parent is null").select("id", "label", "layer", "type", F.lit(0).alias("depth"))
-    schema = level.schema
-    while True:
-        level.write.parquet(f"{path}/{depth:06d}")
-        level = spark.read.schema(schema).parquet(f"{path}/{depth:06d}")
-        if level.isEmpty():
-            break
-        depth += 1
-        above = level.select(F.col("id").alias("above"), F.col("layer").alias("above_layer"), F.col("type").alias("above_type"))
-        below = nodes.join(above, F.col("parent") == F.col("above"))
-        level = below.select("id", "label", F.coalesce("layer", "above_layer").alias("layer"), F.coalesce("type", "above_type").alias("type"), F.lit(depth).alias("depth"))
-    tree = spark.read.schema(schema).parquet(*[f"{path}/{d:06d}" for d in range(depth + 1)])
+    tree = climbed(nodes).where("at IS NULL AND NOT orphan").select("id", "layer", "type", F.col("dist").cast("int").alias("depth"))
     inner = nodes.where("parent IS NOT NULL").select(F.col("parent").alias("inner_id")).distinct()
-    return tree.join(inner, tree["id"] == inner["inner_id"], "left").select("id", "label", "layer", "type", "depth", F.col("inner_id").isNull().alias("is_leaf"))
+    rows = tree.join(nodes.select("id", "label"), "id")
+    return rows.join(inner, rows["id"] == inner["inner_id"], "left").select("id", "label", "layer", "type", "depth", F.col("inner_id").isNull().alias("is_leaf"))
 
 
 def tree_inventory(nodes: DataFrame, root_aliases: DataFrame, layers: list[str]) -> DataFrame:
