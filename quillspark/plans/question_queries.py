@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quillspark.operators import questions as Q
 from quillspark.plans import inventory_queries as iq
 from quillspark.plans import retrieval_queries as rq
-from quillspark.plans.fixtures import sql_compact, table
+from quillspark.plans.fixtures import sql_compact, sql_strip_heading, table
 from quillspark.sources.scratch import written
 
 ALIASES = [("of the", "ofthe"), ("and", "und"), ("de la", "dela"), ("un", "eins")]
@@ -277,3 +277,11 @@ SELECT qid, md5(text) AS raw_query, intent, confidence, needs_clarification, CAS
   CASE WHEN intent = 'evaluation' THEN gaps WHEN intent = 'case' AND images = 0 AND length(text) < 30 THEN 'short case' WHEN intent = 'compare' AND len(terms) < 2 THEN 'two targets' ELSE '' END AS missing,
   array_to_string(list_filter([{", ".join(f"CASE WHEN contains(lower(text), '{a}') THEN '{a}>{c}' END" for a, c in sorted(ALIASES))}], lambda x: x IS NOT NULL), ',') AS corrections,
   frame, source AS frame_source, CASE WHEN intent = 'evaluation' THEN concat_ws(';', controls, mechanisms, properties, context, goal, gaps, risks) END AS design FROM j"""
+
+_LIST = lambda c: f"list_filter(string_split({c}, '|'), lambda x: x <> '')"
+_RELATED = f"CASE WHEN {sql_strip_heading('i.title')} <> i.term THEN [{sql_strip_heading('i.title')}] ELSE [] END"
+ORACLES["q3_expand_query"] = f"""WITH found AS ({ORACLES["q2_find_terms"]}), i AS MATERIALIZED (SELECT ord, term, layer, response, p, m, f, related FROM (WITH {iq.ITEMS_SQL} SELECT i.ord, i.term, i.layer, i.response, {_LIST('properties')} AS p, {_LIST('mechanisms')} AS m, {_LIST('forms')} AS f, {_RELATED} AS related FROM items i)), {ASKED_SQL},
+own AS (SELECT qid, i.* FROM found JOIN i USING (term)), rel AS (SELECT DISTINCT qid, unnest(related) AS term FROM own), hop AS (SELECT rel.qid, i.* FROM rel JOIN i USING (term) WHERE NOT EXISTS (SELECT 1 FROM found WHERE found.qid = rel.qid AND found.term = rel.term)),
+w AS (SELECT qid, 0 AS level, ord, list_concat([term, layer], p, m, f, related, CASE WHEN response <> '' THEN [response] ELSE [] END) AS words FROM own UNION ALL SELECT qid, 1, ord, list_concat([term], p, m) FROM hop),
+x AS (SELECT qid, list_filter(flatten(list(words ORDER BY level, ord)), lambda v: v <> '') AS xs FROM w GROUP BY qid), y AS (SELECT a.qid, concat_ws(' ', text, array_to_string(list_filter(xs, lambda v, n: list_position(xs, v) = n), ' ')) AS text FROM asked a LEFT JOIN x ON x.qid = a.qid),
+z AS (SELECT qid, {sql_compact('text')} AS text FROM y) SELECT qid, length(text)::INT AS n, md5(text) AS digest FROM z"""

@@ -170,7 +170,7 @@ def s14_in_years(spark, sf_dir):
 
 
 def s7_read_structured_items(spark, sf_dir):
-    items = iq.items(spark, sf_dir).select(F.pmod(F.crc32("id"), F.lit(20)).alias("doc"), "term", "layer", "ord")
+    items = iq.items(spark, sf_dir).select((F.floor(F.col("ord") / 100000) % 20).alias("doc"), "term", "layer", "ord")
     lists = items.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("ord", "term", "layer"))).alias("xs")).select("doc", F.transform("xs", lambda x: F.struct(x["term"].alias("term"), x["layer"].alias("layer"))).alias("items"))
     docs = lists.select("doc", F.when(F.col("doc") % 2 == 0, F.to_json("items")).otherwise(F.to_json(F.struct("items"))).alias("json"))
     return io.read_structured_items(docs, ["mechanism", "property", "form", "unknown"]).select("doc", "pos", "id", "term", "term_type", "layer")
@@ -289,3 +289,5 @@ ORACLES = {
         SELECT k.key, coalesce(v.venue, k.key) AS venue, count(*) AS n FROM k LEFT JOIN v ON v.key = k.key GROUP BY 1, 2""",
     "s15_question_log": "SELECT conv_id::VARCHAR AS session_id, count(*) AS n, sum(length(text))::BIGINT AS n_chars FROM conversations WHERE role = 'user' GROUP BY conv_id",
 }
+
+ORACLES["s7_read_structured_items"] = f"""WITH {iq.ITEMS_SQL} SELECT doc, (row_number() OVER (PARTITION BY doc ORDER BY ord) - 1)::INT AS pos, 'structured:' || term AS id, term, layer AS term_type, layer FROM (SELECT *, ord // 100000 % 20 AS doc FROM items)"""

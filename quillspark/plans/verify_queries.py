@@ -137,3 +137,7 @@ ORACLES = {
         SELECT qid, CASE WHEN bool_or(severity = 'error') THEN 'fail' ELSE 'warn' END AS status, bool_or(severity = 'error') AS should_retry, coalesce(string_agg(CASE WHEN severity = 'error' THEN n || '. ' || d END, chr(10) ORDER BY n), '') AS hints FROM n GROUP BY qid""",
     "v11_parse_external_issues": "SELECT conv_id * 100 + turn AS qid, 0 AS pos, 'typo' AS issue_type, 'a' || turn AS original, '' AS description, 'warning' AS severity FROM conversations WHERE conv_id % 4 = 0 UNION ALL SELECT conv_id * 100 + turn, 1, 'other', '', 'd', 'error' FROM conversations WHERE conv_id % 4 = 0",
 }
+
+ORACLES["v12_verification_excerpts"] = f"""WITH found AS ({qq.ORACLES["q2_find_terms"]}), base AS (WITH {iq.INVENTORY_SQL} SELECT bucket, term, ord FROM inv WHERE bucket IN ('form', 'mechanism')), {qq.ASKED_SQL},
+shown AS (SELECT term, row_number() OVER (ORDER BY CASE bucket WHEN 'form' THEN 0 ELSE 1 END, ord, term) AS n FROM base QUALIFY n <= 6), t AS (SELECT string_agg(term, ', ' ORDER BY n) AS terms FROM shown),
+m AS (SELECT qid, string_agg(term || ': ' || upper(term), chr(10) ORDER BY ord) AS items FROM found WHERE ord <= 2 GROUP BY qid) SELECT asked.qid, md5(t.terms) AS terms, coalesce(items, '') AS items FROM asked CROSS JOIN t LEFT JOIN m ON m.qid = asked.qid"""

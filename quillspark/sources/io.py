@@ -37,7 +37,7 @@ def read_markdown(spark: SparkSession, path: str, pattern: str = "*.md") -> Data
     schema = "path string, modificationTime timestamp, length long, content binary"
     # listed and read by Spark, a file a row, so that any store will do; files of other names are not opened
     files = spark.read.schema(schema).format("binaryFile").option("pathGlobFilter", pattern).load(path)
-    rows = files.select(F.url_decode(F.replace(F.regexp_extract("path", r"([^/]*)$", 1), F.lit("+"), F.lit("%2B"))).alias("name"), F.decode("content", "UTF-8").alias("text"))
+    rows = files.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), F.decode("content", "UTF-8").alias("text"))
     return ordinals(rows, [], [F.col("name")], "doc_id").select("doc_id", "name", "text")
 
 
