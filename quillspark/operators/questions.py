@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.operators.inventory import containment, ordered
+from quillspark.operators.retrieval import by_rarity, prefix_candidates
+from quillspark.sources.scratch import small, written
 
 # fixed values: thresholds of intent resolution
 SURE, HIGH, CLOSE, SECOND = 0.65, 0.9, 0.15, 0.5
@@ -17,6 +20,8 @@ SAME_QUESTION, LIKE_QUESTION, RELEVANT = 0.97, 0.86, 0.18
 VOTE, VOTE_SCORE = 0.74, 3.0
 #: Labelled examples that all questions meet at once.
 EXAMPLE_BLOCK = 500
+#: Similarity from which pairs are taken from an index; below it nearly all pairs are results.
+INDEXED = 0.6
 
 
 def rewrite_aliases(text: Column, aliases: list[tuple[str, str]]) -> Column:
@@ -82,23 +87,79 @@ def score_intents(questions: DataFrame, rules: list[IntentRule]) -> DataFrame:
     return best.select("qid", "intent", F.col("b.score").alias("score"), F.col("b.reason").alias("reason"))
 
 
+def _texts(rows: DataFrame, key: str) -> DataFrame:
+    return rows.select(F.col(key).alias("id"), T.strip(F.col("text")).alias("text")).where("text != ''")
+
+
+def _grams(rows: DataFrame) -> DataFrame:
+    return rows.select("id", T.bigrams(F.col("text")).alias("tokens"))
+
+
+def _characters(rows: DataFrame) -> DataFrame:
+    """(id, tokens): each character as often as it occurs, with the number of its occurrence: what two texts have in common is what their sets share."""
+    each = rows.select("id", F.explode(F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0))).alias("c")).groupBy("id", "c").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    return each.groupBy("id").agg(F.flatten(F.collect_list(F.transform(F.sequence(F.lit(1), F.col("n")), lambda k: F.concat(F.col("c"), k.cast("string"))))).alias("tokens"))
+
+
+def similar_candidates(questions: DataFrame, examples: DataFrame, least: float) -> DataFrame:
+    """(qid, eid): every pair that may be as similar as least, by an index on bigrams and on counted characters.
+
+    Dice over bigrams of d is a Jaccard of d / (2 - d). A sequence ratio of r needs r / 2 of both
+    lengths in common characters, which is the same condition on the sets of counted characters.
+    """
+    jaccard = least / (2 - least)
+    pairs = None
+    for sets in (_grams, _characters):
+        sides = by_rarity(sets(_texts(examples, "eid")), sets(_texts(questions, "qid")))
+        met = prefix_candidates(*sides, jaccard).select(F.col("b").alias("qid"), F.col("a").alias("eid"))
+        pairs = met if pairs is None else pairs.unionByName(met)
+    return pairs.distinct()
+
+
 def example_similarity(questions: DataFrame, examples: DataFrame, least: float = RELEVANT) -> DataFrame:
     """(qid, eid, similarity) from least on: the larger of bigram Dice and sequence ratio, exactly.
 
-    The labelled examples are a stated set; all questions meet it in blocks of EXAMPLE_BLOCK rows. The
-    ratio is reckoned only where its bounds by length and by common characters reach least.
+    From INDEXED on, pairs come from an index (similar_candidates) and few are generated. Below it nearly
+    every pair is a result; the labelled examples are a stated set, and all questions meet it in blocks of
+    EXAMPLE_BLOCK rows. The ratio is reckoned only where its bounds by length and by common characters
+    reach least. Ids are unique; null and blank texts are like nothing.
     """
+    # ratios take milliseconds each: few questions of one file are still spread over all cores
+    tasks = max(questions.sparkSession.sparkContext.defaultParallelism, int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if least >= INDEXED:
+        pairs = similar_candidates(questions, examples, least)
+        rows = pairs.join(small(examples.select("eid", F.col("text").alias("example"))), "eid").join(questions.select("qid", "text"), "qid").repartition(tasks, "qid")
+        return T.text_similarity(rows, "text", "example", "similarity", least).select("qid", "eid", "similarity")
     numbered = examples.select("eid", "text").where("text is not null")
     blocks = max(1, -(-numbered.count() // EXAMPLE_BLOCK))
     found = None
     for i in range(blocks):
         block = numbered.where(F.pmod(F.xxhash64("eid"), F.lit(blocks)) == i).agg(F.collect_list(F.struct("eid", F.col("text").alias("example"))).alias("examples"))
-        pairs = questions.select("qid", "text").join(F.broadcast(block)).select("qid", "text", F.explode("examples").alias("e")).select("qid", "text", "e.eid", "e.example")
+        pairs = questions.select("qid", "text").repartition(tasks, "qid").join(F.broadcast(block)).select("qid", "text", F.explode("examples").alias("e")).select("qid", "text", "e.eid", "e.example")
         near = T.text_similarity(pairs, "text", "example", "similarity", least).select("qid", "eid", "similarity")
         found = near if found is None else found.unionByName(near)
     return found
 
 
+def nearest_examples(questions: DataFrame, examples: DataFrame, k: int = 6, least: float = RELEVANT, levels: tuple[float, ...] = ()) -> DataFrame:
+    """(qid, eid, similarity, rank): the k most similar examples from least on, ties to the first.
+
+    With levels the bar goes down one by one. A question with k examples above a bar is done, as all its pairs
+    above it are known; only the others meet the examples again below it. That pays where many questions
+    have k near twins, and costs a pass over the index where they have none.
+    """
+    still, found = written(questions.select("qid", "text"), "questions"), []
+    for level in levels:
+        if level <= least or still.isEmpty():
+            continue
+        near = written(example_similarity(still, examples, level), "near-examples")
+        done = near.groupBy("qid").count().where(F.col("count") >= k).select("qid")
+        found.append(near.join(done, "qid", "left_semi"))
+        still = written(still.join(done, "qid", "left_anti"), "questions")
+    found.append(example_similarity(still, examples, least))
+    return relevant_examples(reduce(DataFrame.unionByName, found), k)
+
+
 def score_by_examples(similar: DataFrame, examples: DataFrame) -> DataFrame:
     """(qid, intent, score) of the best example from LIKE_QUESTION on, ties to the first."""
     best = ordered(similar.where(F.col("similarity") >= LIKE_QUESTION), ["qid"], F.desc("similarity"), F.col("eid"), name="n").where("n = 1")

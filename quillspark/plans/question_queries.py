@@ -60,17 +60,18 @@ def examples(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("eid"), "text", F.element_at(F.array(*map(F.lit, VALID)), (F.col("item_id") % 6 + 1).cast("int")).alias("intent"))
 
 
-def similar(spark, sf_dir, least=Q.RELEVANT):
+def _near(spark, sf_dir):
+    """User turns, and the labelled examples themselves, some of them with a word more."""
     near = examples(spark, sf_dir).select(F.col("eid").alias("qid"), F.when(F.col("eid") % 3 > 0, F.concat("text", F.lit(" more"))).otherwise(F.col("text")).alias("text"))
-    return Q.example_similarity(asked(spark, sf_dir).select((F.col("qid") + 1000).alias("qid"), "text").unionByName(near), examples(spark, sf_dir), least)
+    return asked(spark, sf_dir).select((F.col("qid") + 1000).alias("qid"), "text").unionByName(near)
 
 
 def q5_score_by_examples(spark, sf_dir):
-    return Q.score_by_examples(similar(spark, sf_dir, Q.LIKE_QUESTION), examples(spark, sf_dir))
+    return Q.score_by_examples(Q.example_similarity(_near(spark, sf_dir), examples(spark, sf_dir), Q.LIKE_QUESTION), examples(spark, sf_dir))
 
 
 def q6_relevant_examples(spark, sf_dir):
-    return Q.relevant_examples(similar(spark, sf_dir)).select("qid", "eid", "rank", F.bround("similarity", 6).alias("similarity"))
+    return Q.nearest_examples(_near(spark, sf_dir), examples(spark, sf_dir)).select("qid", "eid", "rank", F.bround("similarity", 6).alias("similarity"))
 
 
 def _hits(spark, sf_dir, k=8):

@@ -187,3 +187,30 @@ def test_frequent_tokens_generate_no_candidates(spark):
     a, b = R.by_rarity(rows, rows)
     pairs = {(r.a, r.b) for r in R.prefix_candidates(a, b, 0.6).collect()}
     assert pairs == {(i, j) for i in range(80) for j in range(80) if i // 2 == j // 2}
+
+
+def test_nearest_examples_by_index_and_levels(spark):
+    rng = random.Random(14)
+    words = ["reset", "device", "the", "of", "drag", "knob", "😀", "panel", "why", "sound", "Ünter"]
+    base = [" ".join(rng.choice(words) for _ in range(rng.randint(2, 14))) for _ in range(30)]
+    near = lambda t: "".join(rng.choice("xyz😀") if rng.random() < 0.04 else c for c in t)
+    texts = [near(rng.choice(base)) for _ in range(40)] + ["", "  ", None, "zq", "x" * 300, base[0] * 30]
+    base += [base[0]] * 3 + ["x" * 310, None]
+    questions = spark.createDataFrame(list(enumerate(texts)), "qid long, text string")
+    examples = spark.createDataFrame([(100 + i, t) for i, t in enumerate(base)], "eid long, text string")
+    want = {(i, 100 + j): plain_similarity(a or "", b or "") for i, a in enumerate(texts) for j, b in enumerate(base)}
+    for least in (0.6, 0.86, 0.97):
+        got = {(r.qid, r.eid): round(r.similarity, 9) for r in Q.example_similarity(questions, examples, least).collect()}
+        assert got == {p: round(s, 9) for p, s in want.items() if s >= least}
+    assert Q.similar_candidates(questions, examples, 0.86).count() < 0.2 * len(texts) * len(base)
+    plain = {}
+    for i in range(len(texts)):
+        best = sorted(((-s, e) for (q, e), s in want.items() if q == i and s >= Q.RELEVANT))[:3]
+        if best:
+            plain[i] = {n + 1: (e, round(-s, 9)) for n, (s, e) in enumerate(best)}
+    for levels in ((), (Q.LIKE_QUESTION, Q.INDEXED)):
+        top = {}
+        for r in Q.nearest_examples(questions, examples, 3, levels=levels).collect():
+            top.setdefault(r.qid, {})[r["rank"]] = (r.eid, round(r.similarity, 9))
+        assert top == plain
+    assert Q.nearest_examples(questions.limit(0), examples).collect() == []
