@@ -77,14 +77,18 @@ def words_of(body: bytes) -> list[bytes]:
 def grams(bodies: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
     """(gram of every byte, where each text's grams begin and the last one's end); before a text stand line feeds."""
     pad = b"\n" * depth
-    data = np.frombuffer(b"".join([pad + b for b in bodies]), np.uint8).astype(np.int64)
+    data = np.frombuffer(b"".join([pad + b for b in bodies]), np.uint8)
     sizes = np.array([len(b) for b in bodies], np.int64)
     starts = np.concatenate(([0], np.cumsum(sizes)))
-    at = np.arange(starts[-1]) + depth * np.repeat(np.arange(1, len(bodies) + 1), sizes)
-    out = np.zeros(len(at), np.int64)
+    out, n = np.zeros(len(data) - depth, np.int64), len(data) - depth
     for back in range(1, depth + 1):
-        out = out << _BITS | data[at - back]
-    return out << _BITS | data[at], starts
+        out |= data[depth - back : depth - back + n]
+        out <<= _BITS
+    out |= data[depth:]
+    # what follows a text is the next one's line feeds
+    text = np.ones(n, bool)
+    text[(starts[1:-1, None] + depth * np.arange(len(bodies) - 1)[:, None] + np.arange(depth)).reshape(-1)] = False
+    return out[text], starts
 
 
 def parts(bodies: list[bytes], most: int = PART_BYTES) -> Iterator[tuple[int, int]]:
@@ -437,7 +441,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         row, right = left.iloc[0], right.sort_values(["kind", "part"])
         of = {kind: np.frombuffer(b"".join(right.loc[right["kind"] == kind, "payload"]), dtype) for kind, dtype in ((0, "<f8"), (1, "<i8"))}
-        keys, logs = unpacked(row["keys"], int(row["n_keys"])), of[0]
+        keys, logs = pd.Index(unpacked(row["keys"], int(row["n_keys"]))), of[0]
         base = np.log10((of[1] + 0.5) / (tokens + 0.5 * (distinct + 1)))
         known = of[1] > 0
         place = {w: i for i, w in enumerate(_text_of(row["words"]).split(b" "))}
@@ -446,10 +450,11 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         out = []
         for a, b in parts(bodies):
             found, starts = grams(bodies[a:b], depth)
-            for i in range(a, b):
-                mine = np.sort(found[starts[i - a] : starts[i - a + 1]])
-                at = np.array([place[w] for w in words_of(bodies[i])])
-                out.append((len(at), int(known[at].sum()), float(base[at].sum()), float(logs[np.searchsorted(keys, mine)].sum())))
+            chances = np.add.reduceat(logs[keys.get_indexer(found)], starts[:-1])
+            for body, chance in zip(bodies[a:b], chances.tolist(), strict=True):
+                words = words_of(body)
+                at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+                out.append((len(at), int(known[at].sum()), float(base[at].sum()), chance))
         n, k, s, t = zip(*out, strict=True)
         return pd.DataFrame({"doc_id": row["doc_ids"], "held_out": row["held"], "n_tokens": n, "n_known": k, "train_tokens": tokens, "base_score": s, "score": t})
 
