@@ -212,7 +212,8 @@ def text_similarity(df: DataFrame, a: str, b: str, name: str, least: float) -> D
     x, y = strip(F.coalesce(F.col(a), F.lit(""))), strip(F.coalesce(F.col(b), F.lit("")))
     rows = df.select("*", x.alias("_x"), y.alias("_y"), F.when((x != "") & (y != ""), dice(bigrams(x), bigrams(y))).otherwise(0.0).alias("_d"))
     rows = rows.where((F.col("_d") >= least) | ratio_may_reach(F.col("_x"), F.col("_y"), least))
-    return rows.withColumn(name, F.greatest("_d", sequence_ratio("_x", "_y"))).where(F.col(name) >= least).drop("_x", "_y", "_d")
+    both = F.greatest("_d", sequence_ratio("_x", "_y"))
+    return rows.withColumn(name, F.when((F.col("_x") != "") & (F.col("_y") != ""), both).otherwise(0.0)).where(F.col(name) >= least).drop("_x", "_y", "_d")
 
 
 @F.pandas_udf(DoubleType())

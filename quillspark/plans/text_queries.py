@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
-from quillspark.operators.questions import LIKE_QUESTION
 from quillspark.plans.fixtures import sql_clean, sql_compact, sql_strip, sql_strip_heading, table
 
 LETTERS = r"[\p{L}]+"
@@ -103,11 +102,11 @@ def p14_bigram_dice(spark, sf_dir):
 
 
 def p15_sequence_ratio(spark, sf_dir):
-    """Neighbours of one conversation that are alike, from LIKE_QUESTION on."""
+    """Neighbours of one conversation: how alike each turn and the next are."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next_text"))
     pairs = turns.join(after, ["conv_id", "turn"])
-    return T.text_similarity(pairs, "text", "next_text", "similarity", LIKE_QUESTION).select("conv_id", "turn", "similarity")
+    return T.text_similarity(pairs, "text", "next_text", "similarity", 0.0).select("conv_id", "turn", F.bround("similarity", 6).alias("similarity"))
 
 
 QUERIES = {f.__name__: f for f in (

@@ -41,6 +41,14 @@ def test_example_similarity_matches_plain_code(spark, monkeypatch):
     assert Q.example_similarity(questions, examples.limit(0)).collect() == []
 
 
+def test_similarity_of_every_pair(spark):
+    """With a bar of 0 each pair has its value, blank and null texts too."""
+    texts = ["how do I", "how do U", "", "  ", None, "quite other", "ow do I h"]
+    pairs = spark.createDataFrame([(i, j, a, b) for i, a in enumerate(texts) for j, b in enumerate(texts)], "i int, j int, a string, b string")
+    got = {(r.i, r.j): round(r.s, 9) for r in T.text_similarity(pairs, "a", "b", "s", 0.0).collect()}
+    assert got == {(i, j): round(plain_similarity(a or "", b or ""), 9) for i, a in enumerate(texts) for j, b in enumerate(texts)}
+
+
 def test_bigrams_keep_case(spark):
     row = spark.createDataFrame([("Ab aB",)], "t string").select(T.bigrams(F.col("t")).alias("g")).first()
     assert sorted(row.g) == ["Ab", "aB", "ba"]
