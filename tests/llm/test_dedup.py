@@ -185,11 +185,18 @@ def edit_distance(a, b):
 
 
 def similar_lines(a, b):
-    """The rule of the links: edits of letters, or of words where both lines have many."""
-    a, b = [w for w in re.split(r"[\W_]+", a.lower()) if w], [w for w in re.split(r"[\W_]+", b.lower()) if w]
-    if min(len(a), len(b)) < line_dedup.WORDS_FROM:
-        a, b = " ".join(a), " ".join(b)
-    return edit_distance(a, b) <= 0.1 * max(len(a), len(b)) + 1e-9
+    """The rule of the links: edits of letters or of words, at all lengths."""
+    words = [[w for w in re.split(r"[\W_]+", x.lower()) if w] for x in (a, b)]
+    return any(within(x, y) for x, y in (words, [" ".join(w) for w in words]))
+
+
+def within(a, b):
+    most = 0.1 * max(len(a), len(b)) + 1e-9
+    while a and b and a[0] == b[0]:
+        a, b = a[1:], b[1:]
+    while a and b and a[-1] == b[-1]:
+        a, b = a[:-1], b[:-1]
+    return edit_distance(a, b) <= most
 
 
 def changed(line, how, rng):
@@ -229,6 +236,52 @@ def test_line_dedup_recall_against_brute_force(spark):
     assert not [i for i, near, *_ in pairs if not near and i + 1 in lost and rows[i][1] != rows[i + 1][1]]
 
 
+def test_line_dedup_recall_of_scattered_edits_and_long_lists(spark):
+    """One letter changed in k words of n; and pairs of lines that all begin alike, in lists of any length."""
+    rng = random.Random(3)
+    new = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(4, 8))) for _ in range(n))
+
+    def scattered(line, k):
+        words = line.split(" ")
+        for i in rng.sample(range(len(words)), k):
+            at = rng.randrange(len(words[i]))
+            words[i] = words[i][:at] + "x" + words[i][at + 1 :]
+        return " ".join(words)
+
+    rows, kinds = [], []
+
+    def pair(kind, line, other):
+        if similar_lines(line, other):
+            kinds.append(kind)
+            rows.extend([(len(rows), line, "s"), (len(rows) + 1, other, "s")])
+
+    for n, k in ((6, 2), (10, 3), (12, 4), (20, 3), (20, 6), (30, 5), (36, 10), (38, 14), (45, 8), (60, 12)):
+        for _ in range(60):
+            line = new(n)
+            pair((n, k), line, scattered(line, k))
+    for size in (10, 60, 600):
+        start = new(8)
+        for _ in range(size):
+            line = f"{start} {new(12)}"
+            pair(size, line, scattered(line, 1))
+    lost = {r.doc_id for r in line_dedup.duplicate_lines(docs_of(spark, rows)).collect()}
+    assert all(i % 2 for i in lost)
+    found = {kind: [2 * i + 1 in lost for i, x in enumerate(kinds) if x == kind] for kind in dict.fromkeys(kinds)}
+    print({kind: (sum(ok), len(ok)) for kind, ok in found.items()})
+    assert all(sum(ok) >= 0.9 * len(ok) and len(ok) >= 10 for ok in found.values())
+
+
+def test_line_dedup_sizes_at_borders(spark):
+    """One letter more or less where the number of allowed edits changes."""
+    rows, rng = [], random.Random(5)
+    for size in (*range(9, 32), 50, 120, 300):
+        for _ in range(4):
+            line = "".join(rng.choice("abcdefghijkl") if i % 6 != 5 else " " for i in range(size - 1)) + "z"
+            rows += [(len(rows), line, "s"), (len(rows) + 1, line + "y", "s")]
+    lost = {r.doc_id for r in line_dedup.duplicate_lines(docs_of(spark, rows)).collect()}
+    assert lost == {i for i, *_ in rows if i % 2}
+
+
 def test_line_dedup_groups_and_odd_input(spark):
     words = [f"wordnumber{i}" for i in range(120)]
     lines = [" ".join(words), " ".join([*words[:60], "different", *words[61:]]), " ".join(reversed(words))]
