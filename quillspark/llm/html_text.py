@@ -3,7 +3,7 @@
 Markup is stripped to lines: every block of text is one line, and what surrounds the article becomes
 blank. A window over the following lines sums their lengths. The text starts at a surge, where the
 sum rises to a threshold, and ends at a dive, where it falls to nothing; the lines between belong
-to the article. Lines that are mostly link text have no length, so that link lists do not surge, and make
+to the article. Outside article and main elements lines that are mostly link text have no length, so that link lists do not surge, and make
 text dive.
 """
 
@@ -38,13 +38,14 @@ _MAIN = frozenset("article main".split())
 #: Elements that a start tag of the same kind closes.
 _SELF_CLOSING = frozenset("p li dt dd tr td th option".split())
 
-# fixed values: whole words of class and id that mark what is not the article, words that only go along with these, and roles
+# fixed values: whole words of class and id that mark what is not the article, words that only go along with these, that say of comments something else than that they are there, and roles
 _COMMENTS = frozenset("comment comments commentlist respond disqus".split())
 _NOISE = _COMMENTS | frozenset(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored sponsors promo promos promotion sidebar cookie cookies consent gdpr notice alert menu menus nav navbar "
     "navigation breadcrumb breadcrumbs header masthead footer share sharing social related recommended recommendations newsletter subscribe signup login popup modal overlay pagination pager "
     "toolbar skip".split()
 )
+_NO_LIST = frozenset("no open closed has with without enabled disabled off allow count on and the of about from".split())
 _BESIDE = frozenset(
     "site page global main primary secondary top bottom left right side inner outer list item items box bar button buttons link links icons area wrap wrapper container row col block slot unit "
     "section widget form media posts articles stories message text policy google to content".split()
@@ -55,6 +56,10 @@ _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<({_RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)", re.S | re.I)
 _MARKS = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)", re.I)
+#: Class and id names are words joined by hyphens, underscores or capitals.
+_NAME_BREAK = re.compile(r"[-_]+|(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
+#: Elements inside a line, whose class says nothing of what the line is.
+_INLINE = frozenset("a abbr b cite code em i mark small span strong sub sup u".split())
 _QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
 
 
@@ -68,12 +73,15 @@ def _noise(name: str, attributes: str, in_main: bool) -> str:
         return ""
     found = ""
     for kind, *values in _MARKS.findall(attributes):
-        for token in "".join(values).lower().split():
+        for token in "".join(values).split():
             if kind.lower() == "role":
-                if token in _ROLES:
+                if token.lower() in _ROLES:
                     return "never"
                 continue
-            words = [w for w in re.split(r"[-_]+", token) if w]
+            words = [w.lower() for w in _NAME_BREAK.split(token) if w]
+            # one word is enough for comments, whatever stands beside it
+            if name not in _INLINE and any(w in _COMMENTS for w in words) and not any(w in _NO_LIST for w in words):
+                found = "comments"
             if words and all(w in _NOISE or w in _BESIDE for w in words) and any(w in _NOISE for w in words):
                 found = "comments" if any(w in _COMMENTS for w in words) else found or "maybe"
     return found
@@ -200,10 +208,10 @@ def main_text(page: str) -> str:
     lines = lines_of(page)
     # with an article or main element, only lines inside count
     inside = any(main and text for text, _, main, _ in lines)
-    weight = [0 if 2 * linked > len(text) or inside and not main else len(text) - linked for text, linked, main, _ in lines]
+    # in an article links are text too: what leads away stands in elements that are left out
+    weight = [len(text) * main if inside else 0 if 2 * linked > len(text) else len(text) - linked for text, linked, main, _ in lines]
     if not any(weight):
-        # nothing but links: in an article they are its text
-        return " ".join(text for text, _, main, _ in lines if text and main)
+        return ""
     n = len(lines)
     sums = np.concatenate(([0], np.cumsum(weight), np.full(WINDOW, sum(weight)))) if n else np.zeros(1, int)
     window = sums[WINDOW : WINDOW + n] - sums[:n]
@@ -230,7 +238,8 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
 
     The text is the article's blocks in page order, joined by one space; character references are
     decoded and white space inside a block is one space. Class and id words leave an element out only
-    as whole words, never a heading, and, comments apart, never one that holds most of the text. A null or empty page, and one without an
+    as whole words, never a heading, and, comments apart, never one that holds most of the text. A word for
+    comments does so beside any other word. A null or empty page, and one without an
     article, gives an empty text and 0. Whole pages are read, however long or broken: unclosed
     elements end with their parents, an unended comment or script with the page. Repeated rows give
     repeated results; no rows give none; other columns are ignored.

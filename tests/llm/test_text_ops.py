@@ -180,8 +180,11 @@ ARTICLE = "<article><h1>Title</h1><p>Some paragraph of text that goes on for a w
 
 @pytest.mark.parametrize(("inside", "text"), [
     ("<h2 id='related-work'>Related work</h2>", "Related work"), ("<div class='entry-header'><h1>Two</h1></div>", "Two"), ("<section id='search'><p>On search.</p></section>", "On search."),
-    ("<p class='share-price'>12 dollars</p>", "12 dollars"), ("<p><a href=x>A link</a></p>", "A link"), ("<ul><li><a href=1>L1</a><li><a href=1>L2<li><a>L3</a></ul>", ""),
-    ("<div class='comments'>" + "<p>nice post</p>" * 90 + "</div>", ""), ("<div class='cookie-banner'>We use cookies</div>", ""), ("<aside>side</aside>", ""), ("<div hidden>gone</div>", ""),
+    ("<p class='share-price'>12 dollars</p>", "12 dollars"), ("<p><a href=x>A link</a></p>", "A link"), ("<ul><li><a href=1>L1</a><li><a href=1>L2<li><a>L3</a></ul>", "L1 L2 L3"),
+    ("<div class='comments'>" + "<p>nice post</p>" * 90 + "</div>", ""), ("<div class='comment-thread'>" + "<p>nice post</p>" * 90 + "</div>", ""), ("<section id='reader-comments'><p>nice</p></section>", ""),
+    ("<ol class='x user-comments'><li>nice</ol>", ""), ("<div class='post-comments-list'>nice</div>", ""), ("<div id='CookieBanner'>We use cookies</div>", ""), ("<div class='siteHeader'>Site</div>", ""),
+    ("<div class='has-comments'><p>Kept.</p></div>", "Kept."), ("<p>See <span class='comment-mark'>this</span>.</p>", "See this."), ("<p class='newsletterish'>Kept too.</p>", "Kept too."),
+    ("".join(f"<p><a href={i}>Reference {i}</a></p>" for i in range(5)), " ".join(f"Reference {i}" for i in range(5))), ("<div class='cookie-banner'>We use cookies</div>", ""), ("<aside>side</aside>", ""), ("<div hidden>gone</div>", ""),
 ])
 def test_html_class_words_count_whole(inside, text):
     page = "<body><nav><a href=u>Home</a></nav>" + ARTICLE.format(inside) + "<div class=sidebar>Side</div><footer>f</footer></body>"
@@ -190,6 +193,11 @@ def test_html_class_words_count_whole(inside, text):
     assert html_text.main_text(f"<form><div class='header-article-body'>{page}</div></form>") == " ".join(x for x in want if x)
 
 
+def test_html_links_at_the_ends_of_an_article():
+    page = "<article><p><a href=j>By Jane Doe</a></p><p>Text.</p><p><a href=r>Read the full report here</a></p></article>"
+    assert html_text.main_text(f"<nav><a href=u>Home</a></nav>{page}<p><a href=b>Back</a></p>") == "By Jane Doe Text. Read the full report here"
+
+
 def test_html_is_linear():
     began = time.time()
     for page in ("<p>" + "<b>" * 50_000 + "x" + "</b>" * 50_000, "<div class=ad>" * 30_000 + "x", "<a " + "\"'" * 50_000, "<p>a<ul>" * 20_000):
@@ -305,6 +313,19 @@ def test_toxicity_score_matches_plain_code(spark, monkeypatch):
         assert abs(sum(a * float(b) for a, b in zip(tops, model.out, strict=True)) + model.out_bias - model.logit(word, head)) < 1e-3
 
 
+def test_media_chains_of_pages_take_linear_time():
+    """Marks that lead on to the next mark are walked once, with an end flag and without."""
+    page = b"OggS" + bytes(22) + b"\x00"
+    last = b"OggS" + b"\x00\x04" + bytes(20) + b"\x00"
+    began = time.time()
+    assert media.sniff(page * 40_000) == []
+    assert media.sniff(b"x" + page * 3 + last + page) == [("audio/ogg", 1, 4 * 27)]
+    assert media.sniff(page * 40_000 + last) == [("audio/ogg", 0, 40_001 * 27)]
+    for _, magic, _, _ in media.FORMATS:
+        media.sniff(magic * (200_000 // len(magic)))
+    assert time.time() - began < 20
+
+
 def test_media_sniffing_and_storage(spark):
     wav = media.to_wav(b"abc" * 11)
     gz = zlib.compressobj(wbits=31)
