@@ -126,13 +126,18 @@ def _bmp(b: memoryview, at: int) -> int | None:
     return size if header in (12, 40, 52, 56, 64, 108, 124) and not reserved and 14 + header <= offset <= size <= len(b) - at else None
 
 
-def _gzip(b: memoryview, at: int) -> int | None:
-    unpack = zlib.decompressobj(31)
+def _gzip(b: memoryview, at: int, memo: dict) -> int | None:
+    """Up to the end of the member; short pieces first, as most marks are no files. A name or comment needs a byte 0 after the fixed header."""
+    if "zero" not in memo:
+        memo["zero"] = b.obj.rfind(b"\0")
+    if at + 18 > len(b) or b[at + 3] & 0xE0 or b[at + 3] & 0x18 and memo["zero"] < at + 10:
+        return None
+    unpack, p, piece = zlib.decompressobj(31), at, 64
     try:
-        p = at
         while p < len(b) and not unpack.eof:
-            unpack.decompress(bytes(b[p : p + 65536]), 1 << 20)
-            p += 65536
+            unpack.decompress(b[p : p + piece], 1 << 20)
+            p += piece
+            piece = min(2 * piece, 65536)
             while unpack.unconsumed_tail:
                 unpack.decompress(unpack.unconsumed_tail, 1 << 20)
     except zlib.error:
@@ -171,27 +176,42 @@ def _zip(b: bytes, at: int, memo: dict) -> int | None:
     return None if end is None else end - at
 
 
-def _ogg(b: memoryview, at: int) -> int | None:
-    p, last = at, False
-    while p + 27 <= len(b) and b[p : p + 4] == b"OggS" and not last:
+def _ogg(b: memoryview, at: int, memo: dict) -> int | None:
+    """Pages up to the one with the end flag; where a page leads is kept for all pages on the way, so that each is walked once."""
+    ends, way, p = memo.setdefault("ogg", {}), [], at
+    end = None
+    while p + 27 <= len(b) and b[p : p + 4] == b"OggS":
+        if p in ends:
+            end = ends[p]
+            break
         segments = b[p + 26]
         if p + 27 + segments > len(b):
-            return None
+            break
+        way.append(p)
         last = bool(b[p + 5] & 4)
         p += 27 + segments + sum(b[p + 27 : p + 27 + segments])
-    return p - at if last and p <= len(b) else None
+        if last:
+            end = p if p <= len(b) else None
+            break
+    for page in way:
+        ends[page] = end
+    return None if end is None else end - at
 
 
-def _mp4(b: memoryview, at: int) -> int | None:
-    """Boxes from ftyp on; at is the place of the four bytes before the magic."""
-    p, kinds = at, set()
-    while p + 8 <= len(b):
+def _mp4(b: memoryview, at: int, memo: dict) -> int | None:
+    """Boxes from ftyp on; at is the place of the four bytes before the magic. The end and whether a moov is met are kept for all boxes on the way."""
+    known, way, p = memo.setdefault("mp4", {}), [], at
+    while p not in known and p + 8 <= len(b):
         size, kind = struct.unpack_from(">I4s", b, p)
-        if size < 8 or p + size > len(b) or not bytes(kind).isalnum():
+        if size < 8 or p + size > len(b) or not kind.isalnum():
             break
-        kinds.add(bytes(kind))
+        way.append((p, kind == b"moov"))
         p += size
-    return p - at if {b"ftyp", b"moov"} <= kinds else None
+    end, moov = known.get(p, (p, False))
+    for box, own in reversed(way):
+        moov = moov or own
+        known[box] = end, moov
+    return end - at if moov else None
 
 
 #: Type, magic bytes, their place in the file, validator.
@@ -231,7 +251,7 @@ def sniff(value: bytes) -> list[tuple[str, int, int]]:
         if at < covered or at < 0:
             continue
         check = FORMATS[i][3]
-        length = check(value, at, memo) if check in (_pdf, _zip) else check(view, at)
+        length = check(value, at, memo) if check in (_pdf, _zip, _ogg, _mp4, _gzip) else check(view, at)
         if length:
             found.append((FORMATS[i][0], at, length))
             covered = at + length

@@ -1,3 +1,4 @@
+import gzip
 import base64
 import hashlib
 import io
@@ -321,6 +322,11 @@ def test_media_chains_of_pages_take_linear_time():
     assert media.sniff(page * 40_000) == []
     assert media.sniff(b"x" + page * 3 + last + page) == [("audio/ogg", 1, 4 * 27)]
     assert media.sniff(page * 40_000 + last) == [("audio/ogg", 0, 40_001 * 27)]
+    boxes = b"\0\0\0\x08ftyp" * 50_000
+    assert media.sniff(boxes) == []
+    assert media.sniff(boxes + b"\0\0\0\x08moov\0") == [("video/mp4", 0, 400_008)]
+    packed = gzip.compress(b"text" * 1000)
+    assert media.sniff(b"\x1f\x8b\x08" * 3 + packed + b"x") == [("application/gzip", 9, len(packed))]
     for _, magic, _, _ in media.FORMATS:
         media.sniff(magic * (200_000 // len(magic)))
     assert time.time() - began < 20
