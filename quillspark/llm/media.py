@@ -126,10 +126,10 @@ def _bmp(b: memoryview, at: int) -> int | None:
     return size if header in (12, 40, 52, 56, 64, 108, 124) and not reserved and 14 + header <= offset <= size <= len(b) - at else None
 
 
-def _gzip(b: memoryview, at: int, memo: dict) -> int | None:
+def _gzip(b: bytes, at: int, memo: dict) -> int | None:
     """Up to the end of the member; short pieces first, as most marks are no files. A name or comment needs a byte 0 after the fixed header."""
     if "zero" not in memo:
-        memo["zero"] = b.obj.rfind(b"\0")
+        memo["zero"] = b.rfind(b"\0")
     if at + 18 > len(b) or b[at + 3] & 0xE0 or b[at + 3] & 0x18 and memo["zero"] < at + 10:
         return None
     unpack, p, piece = zlib.decompressobj(31), at, 64
@@ -176,7 +176,7 @@ def _zip(b: bytes, at: int, memo: dict) -> int | None:
     return None if end is None else end - at
 
 
-def _ogg(b: memoryview, at: int, memo: dict) -> int | None:
+def _ogg(b: bytes, at: int, memo: dict) -> int | None:
     """Pages up to the one with the end flag; where a page leads is kept for all pages on the way, so that each is walked once."""
     ends, way, p = memo.setdefault("ogg", {}), [], at
     end = None
@@ -198,7 +198,7 @@ def _ogg(b: memoryview, at: int, memo: dict) -> int | None:
     return None if end is None else end - at
 
 
-def _mp4(b: memoryview, at: int, memo: dict) -> int | None:
+def _mp4(b: bytes, at: int, memo: dict) -> int | None:
     """Boxes from ftyp on; at is the place of the four bytes before the magic. The end and whether a moov is met are kept for all boxes on the way."""
     known, way, p = memo.setdefault("mp4", {}), [], at
     while p not in known and p + 8 <= len(b):

@@ -1,5 +1,5 @@
-import gzip
 import base64
+import gzip
 import hashlib
 import io
 import random
