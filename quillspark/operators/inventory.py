@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import reduce
 
@@ -10,7 +11,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from quillspark.functions import text as T
 from quillspark.operators.ordinals import ordinals
@@ -61,12 +62,12 @@ def all_terms(*sources: DataFrame) -> DataFrame:
 _machines: dict[str, ahocorasick.Automaton] = {}
 
 
-def _machine(key: str, named: dict[str, list[str]]) -> ahocorasick.Automaton:
+def term_machine(key: str, named: dict[str, object]) -> ahocorasick.Automaton:
     if key not in _machines:
         _machines.clear()
         machine = ahocorasick.Automaton()
-        for low, terms in named.items():
-            machine.add_word(low, terms)
+        for low, value in named.items():
+            machine.add_word(low, value)
         machine.make_automaton()
         _machines[key] = machine
     return _machines[key]
@@ -82,7 +83,7 @@ def _by_automaton(rows: DataFrame, part: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, named = shared.value
         for batch in batches if named else []:
-            machine, at, found = _machine(key, named), [], []
+            machine, at, found = term_machine(key, named), [], []
             for i, text in enumerate(batch.column(1)):
                 hits = {id(terms): terms for _, terms in machine.iter(text.as_py() or "")}
                 for terms in hits.values():
@@ -118,6 +119,48 @@ def containment(texts: DataFrame, terms: DataFrame, small_rows: int = SMALL_DICT
     return reduce(DataFrame.unionByName, found)
 
 
+def occurrences(texts: DataFrame, terms: DataFrame, ends: str = "", automaton_chars: int = AUTOMATON_CHARS) -> DataFrame:
+    """(id, term, start, stop, before, after): every place of a term in the text in lower case, overlapping ones too.
+
+    start counts characters from 0, stop is behind the last one; before and after are the numbers of
+    sentence ends (characters of ends) ahead of start and of stop. The dictionary goes to the tasks as in
+    containment(). Empty terms and null texts give nothing.
+    """
+    wanted = terms.select("term", F.lower("term").alias("low")).where("low != ''").distinct()
+    parts = max(1, -(-(wanted.agg(F.sum(F.length("low"))).first()[0] or 0) // automaton_chars))
+    if parts > 1:
+        wanted = written(wanted, "dictionary")
+    rows = texts.select("id", F.lower("text").alias("body"))
+    found = [_places(rows, wanted.where(F.pmod(F.xxhash64("low"), F.lit(parts)) == i), ends) for i in range(parts)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _places(rows: DataFrame, part: DataFrame, ends: str) -> DataFrame:
+    """occurrences() of (id, body) for a part of the dictionary of bounded size."""
+    named: dict[str, list[str]] = {}
+    for row in part.collect():
+        named.setdefault(row["low"], []).append(row["term"])
+    shared = rows.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, {low: (len(low), names) for low, names in named.items()}))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, named = shared.value
+        for batch in batches if named else []:
+            machine, at, found = term_machine(key, named), [], []
+            for i, text in enumerate(batch.column(1)):
+                text = text.as_py() or ""
+                stops = [n for n, c in enumerate(text) if c in ends] if ends else []
+                for last, (length, names) in machine.iter(text):
+                    start, stop = last + 1 - length, last + 1
+                    place = (start, stop, bisect_left(stops, start), bisect_left(stops, stop))
+                    at.extend([i] * len(names))
+                    found.extend((name, *place) for name in names)
+            columns = [pa.array([f[n] for f in found], pa.string() if n == 0 else pa.int32()) for n in range(5)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *columns], ["id", "term", "start", "stop", "before", "after"])
+
+    numbers = [StructField(n, IntegerType()) for n in ("start", "stop", "before", "after")]
+    return rows.mapInArrow(run, StructType([rows.schema["id"], StructField("term", StringType()), *numbers]))
+
+
 def terms_in_text(sections: DataFrame, inventory: DataFrame, most: int = 12) -> DataFrame:
     """(id, bucket, terms): terms of each bucket inside the section's text, in dictionary order."""
     hits = containment(sections.select("id", "text"), inventory).join(inventory, "term")

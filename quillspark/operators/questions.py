@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import re
+import uuid
+from bisect import bisect_left
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
-from quillspark.operators.inventory import containment, ordered
+from quillspark.operators.inventory import AUTOMATON_CHARS, containment, ordered, term_machine
+from quillspark.operators.ordinals import ordinals
 from quillspark.operators.retrieval import by_rarity, prefix_candidates
 from quillspark.sources.scratch import small, written
 
@@ -24,21 +30,87 @@ EXAMPLE_BLOCK = 500
 INDEXED = 0.6
 
 
-def rewrite_aliases(text: Column, aliases: list[tuple[str, str]]) -> Column:
-    """Sequential literal replacement whatever the case, longest alias first; later aliases see earlier output."""
-    out = T.drop_controls(text)
-    for alias, canonical in sorted(aliases, key=lambda a: (-len(a[0]), a[0])):
-        if alias and canonical:
-            out = F.regexp_replace(out, "(?iu)" + re.escape(alias), canonical.replace("\\", "\\\\").replace("$", "\\$"))
-    return T.compact_whitespace(out)
-
-
-def find_terms(questions: DataFrame, terms: DataFrame, aliases: list[tuple[str, str]]) -> DataFrame:
-    """(qid, term, ord): canonical terms inside rewritten questions, residual aliases first, then longest terms."""
-    rows = questions.select(F.col("qid").alias("id"), rewrite_aliases(F.col("text"), aliases).alias("text"))
-    spark = questions.sparkSession
-    alias_rows = spark.createDataFrame([(a, c, i) for i, (a, c) in enumerate(sorted(aliases, key=lambda x: (-len(x[0]), x[0])))], "term string, canonical string, n long")
-    named = terms.select("term").distinct().join(F.broadcast(alias_rows.select("term", "canonical")), "term", "left").select("term", F.coalesce("canonical", "term").alias("canonical"), F.struct(F.lit(1).alias("src"), (-F.length("term")).cast("long").alias("n"), F.col("term").alias("t")).alias("at"))
+class _Folded(dict):
+    """Code points to those that stand for them whatever the case, one for one."""
+
+    def __missing__(self, code: int) -> str:
+        upper = chr(code).upper()
+        low = (upper if len(upper) == 1 else chr(code)).lower()
+        self[code] = low if len(low) == 1 else chr(code)
+        return self[code]
+
+
+_folded = _Folded()
+
+
+def _rewrite(text: str, entries: list[tuple[str, str]], machine: ahocorasick.Automaton) -> str:
+    """Each pass of the automaton finds the next alias in order that occurs; those in between cannot fire, so they are not tried."""
+    at = 0
+    while True:
+        low = text.translate(_folded)
+        here = {id(ranks): ranks for _, ranks in machine.iter(low)}
+        nexts = [ranks[i] for ranks in here.values() if (i := bisect_left(ranks, at)) < len(ranks)]
+        if not nexts:
+            return text
+        alias, canonical = entries[min(nexts)]
+        out, start = [], 0
+        while (found := low.find(alias, start)) >= 0:
+            out += [text[start:found], canonical]
+            start = found + len(alias)
+        text, at = "".join([*out, text[start:]]), min(nexts) + 1
+
+
+def _rewritten(rows: DataFrame, column: str, part: DataFrame) -> DataFrame:
+    """rows with the aliases of a part (alias, canonical, n) of bounded size replaced in column, in the order of n."""
+    entries = [(r["alias"].translate(_folded), r["canonical"]) for r in part.orderBy("n").collect()]
+    named: dict[str, list[int]] = {}
+    for rank, (alias, _) in enumerate(entries):
+        named.setdefault(alias, []).append(rank)
+    shared = rows.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, named, entries))
+    place = rows.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, named, entries = shared.value
+        for batch in batches:
+            if named:
+                machine = term_machine(key, named)
+                texts = [None if t is None else _rewrite(t, entries, machine) for t in batch.column(place).to_pylist()]
+                batch = batch.set_column(place, batch.schema.field(place), pa.array(texts, batch.schema.field(place).type))
+            yield batch
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def alias_order(aliases: DataFrame) -> DataFrame:
+    """(alias, canonical, n): usable rows of an alias table, numbered from 0, the longest alias first, then by alias and canonical."""
+    usable = aliases.select("alias", "canonical").where("alias != '' AND canonical != ''").distinct()
+    rows = ordinals(usable, [], [F.desc(F.length("alias")), F.col("alias"), F.col("canonical")], "n")
+    return written(rows.select("alias", "canonical", (F.col("n") - 1).alias("n")), "aliases")
+
+
+def rewrite_aliases(questions: DataFrame, aliases: DataFrame, column: str = "text", part_chars: int = AUTOMATON_CHARS) -> DataFrame:
+    """questions with the aliases of (alias, canonical) replaced in column, whatever the case, and white space compacted.
+
+    The result is that of literal replacements one after the other, longest alias first (alias_order), so
+    later aliases see what earlier ones wrote. Each task holds an automaton of the aliases: a pass over
+    the text names the next alias that can fire, and only those are folded in. The table is cut, in its order,
+    into parts of about part_chars characters, one step of the plan each, however many aliases there are.
+    Null and empty aliases and canonicals are left out, null texts stay null.
+    """
+    ordered_aliases = alias_order(aliases)
+    n, longest = ordered_aliases.agg(F.count(F.lit(1)), F.max(F.length("alias"))).first()
+    each = max(1, part_chars // (longest or 1))
+    rows = questions.withColumn(column, T.drop_controls(F.col(column)))
+    for start in range(0, n, each):
+        rows = _rewritten(rows, column, ordered_aliases.where((F.col("n") >= start) & (F.col("n") < start + each)))
+    return rows.withColumn(column, T.compact_whitespace(F.col(column)))
+
+
+def find_terms(questions: DataFrame, terms: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(qid, term, ord): canonical terms inside rewritten questions, residual aliases first, then longest terms; aliases: alias, canonical."""
+    rows = rewrite_aliases(questions.select(F.col("qid").alias("id"), "text"), aliases)
+    alias_rows = alias_order(aliases).withColumnRenamed("alias", "term")
+    named = terms.select("term").distinct().join(small(alias_rows.select("term", "canonical")), "term", "left").select("term", F.coalesce("canonical", "term").alias("canonical"), F.struct(F.lit(1).alias("src"), (-F.length("term")).cast("long").alias("n"), F.col("term").alias("t")).alias("at"))
     every = alias_rows.select("term", "canonical", F.struct(F.lit(0).alias("src"), F.col("n"), F.col("term").alias("t")).alias("at")).unionByName(named)
     hits = containment(rows, every.select("term")).join(every, "term").groupBy("id", "canonical").agg(F.min("at").alias("at"))
     return ordered(hits, ["id"], F.col("at"), F.col("canonical")).select(F.col("id").alias("qid"), F.col("canonical").alias("term"), "ord")

@@ -31,12 +31,16 @@ def asked(spark, sf_dir):
     return table(spark, sf_dir, "conversations").where("role = 'user'").select((F.col("conv_id") * 100 + F.col("turn")).alias("qid"), "text", F.when(F.col("conv_id") % 7 == 0, 1).otherwise(0).alias("images"))
 
 
+def aliases(spark):
+    return spark.createDataFrame(ALIASES, "alias string, canonical string")
+
+
 def q1_rewrite_aliases(spark, sf_dir):
-    return asked(spark, sf_dir).select("qid", F.md5(Q.rewrite_aliases(F.col("text"), ALIASES)).alias("digest"))
+    return Q.rewrite_aliases(asked(spark, sf_dir), aliases(spark)).select("qid", F.md5("text").alias("digest"))
 
 
 def found(spark, sf_dir):
-    return Q.find_terms(asked(spark, sf_dir), iq.inventory(spark, sf_dir), ALIASES)
+    return Q.find_terms(asked(spark, sf_dir), iq.inventory(spark, sf_dir), aliases(spark))
 
 
 def q2_find_terms(spark, sf_dir):
@@ -160,8 +164,8 @@ def q18_parse_questions(spark, sf_dir):
     hits = written(rq.search(spark, sf_dir, 8, asked=turns), "hits").join(iq.knowledge(spark, sf_dir).select("id", "layer"), "id")
     layers = Q.detect_layers(turns.join(done.select("qid", "intent"), "qid"), hits, INTENT_LAYERS, [("(?i)tion", "property"), ("(?i)ment", "form")])
     frame = q20_select_frame(spark, sf_dir).select("qid", F.split("frame", ",").alias("frame"), "source")
-    aliases = spark.createDataFrame(ALIASES, "original string, canonical string")
-    fixed = turns.join(F.broadcast(aliases), F.contains(F.lower("text"), F.col("original"))).select("qid", "original", "canonical")
+    originals = aliases(spark).withColumnRenamed("alias", "original")
+    fixed = turns.join(F.broadcast(originals), F.contains(F.lower("text"), F.col("original"))).select("qid", "original", "canonical")
     blocking = Q.blocking_missing(F.col("intent"), F.col("text"), F.col("images"), F.size("terms"), F.size("design_missing") > 0)
     with_terms = rows.withColumn("terms", F.when(F.col("qid") % 3 == 0, F.array(F.lit("with"), F.lit("zzz"))).otherwise(F.array().cast("array<string>")))
     made = Q.parse_questions(with_terms, done, found(spark, sf_dir), FOCUS, ["definition", "relation", "limits"], [" and ", ", "], layers=layers, frames=frame, corrections=fixed, design=Q.Design("evaluation", lists, missing, risks), missing=blocking)

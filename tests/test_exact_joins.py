@@ -1,7 +1,9 @@
 """Joins and similarities against plain code."""
 
 import difflib
+import itertools
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -222,3 +224,60 @@ def test_nearest_examples_by_index_and_levels(spark):
             top.setdefault(r.qid, {})[r["rank"]] = (r.eid, round(r.similarity, 9))
         assert top == plain
     assert Q.nearest_examples(questions.limit(0), examples).collect() == []
+
+
+def plain_rewrite(text, aliases):
+    """One literal replacement after the other, the longest alias first."""
+    for alias, canonical in sorted(set(aliases), key=lambda a: (-len(a[0]), a)):
+        if alias and canonical:
+            text = re.sub(re.escape(alias), lambda m: canonical, text, flags=re.IGNORECASE)  # noqa: B023
+    return " ".join(text.split())
+
+
+def test_aliases_fire_in_order_through_chains(spark):
+    """Few letters, so that canonicals make further aliases and aliases across their borders; in one part and in many."""
+    rnd = random.Random(5)
+    word = lambda a, b: "".join(rnd.choice("abAB ñÑ") for _ in range(rnd.randint(a, b)))
+    aliases = list({word(1, 5): word(1, 4).strip() for _ in range(60)}.items()) + [("", "x"), ("b", ""), ("q.*", "$1\\")]
+    texts = [word(0, 60) for _ in range(150)] + ["Q.*q.* q", ""]
+    table = spark.createDataFrame([*aliases, (None, "a"), ("a", None)], "alias string, canonical string")
+    rows = spark.createDataFrame([*enumerate(texts), (999, None)], "qid long, text string").withColumn("alias", F.lit(1))
+    want = {i: plain_rewrite(t, aliases) for i, t in enumerate(texts)} | {999: None}
+    for chars in (10_000, 40):
+        got = Q.rewrite_aliases(rows, table, part_chars=chars)
+        assert got.columns == rows.columns and {r["qid"]: r["text"] for r in got.collect()} == want
+    none = Q.rewrite_aliases(rows, table.limit(0))
+    assert {r["qid"]: r["text"] for r in none.collect()} == {i: " ".join(t.split()) for i, t in enumerate(texts)} | {999: None}
+
+
+def test_plan_does_not_grow_with_the_aliases(spark):
+    rows = spark.createDataFrame([(1, "a1b2")], "qid long, text string")
+    sizes = []
+    for n in (10, 2000):
+        table = spark.createDataFrame([(f"a{i}b", f"c{i}") for i in range(n)], "alias string, canonical string")
+        sizes.append(len(Q.rewrite_aliases(rows, table)._jdf.queryExecution().optimizedPlan().toString()))
+    assert abs(sizes[0] - sizes[1]) < 50
+
+
+def plain_conflicts(answers, unsupported, reach, ends):
+    best = {}
+    for (qid, text), (term, mechanism, nth) in itertools.product(answers, unsupported):
+        if text and term and mechanism and re.search(f"{re.escape(term)}[^{re.escape(ends)}]{{0,{reach}}}{re.escape(mechanism)}", text, re.IGNORECASE):
+            best[qid, term] = min(best.get((qid, term), (nth, mechanism)), (nth, mechanism))
+    return {(q, t, m) for (q, t), (_, m) in best.items()}
+
+
+def test_conflicts_by_places_match_patterns(spark):
+    """Overlapping terms, terms that hold sentence ends, long sentences, repeated rows; the dictionary in one part and in many."""
+    rnd = random.Random(11)
+    text = lambda n: "".join(rnd.choice("aabbC. \n") for _ in range(n))
+    answers = [(i, text(rnd.randint(0, 90))) for i in range(200)] + [(900, "aa" * 4000 + "z"), (901, "")]
+    unsupported = [("aa", "bb", 2), ("aa", "c", 1), ("a.", "b", 1), ("ab", "B. ", 3), ("AB", "ca", 1), ("aa", "z", 9), ("bb", "bb", 1), ("c", "a", 1), ("c", "b", 1), ("", "a", 1), ("a", "", 1)]
+    a = spark.createDataFrame([*answers, (None, "aa bb"), (902, None)], "qid long, answer string")
+    u = spark.createDataFrame(unsupported * 2, "term string, mechanism string, ord int")
+    for reach, ends in ((20, ".!?\n"), (2, ".\n"), (0, "")):
+        want = plain_conflicts(answers, unsupported, reach, ends or "\u0001")
+        assert want and {tuple(r) for r in V.knowledge_conflicts(a, u, reach, ends).collect()} == want
+    places = K.occurrences(a.selectExpr("qid AS id", "answer AS text"), u.selectExpr("term"), ".", automaton_chars=3)
+    assert places.exceptAll(K.occurrences(a.selectExpr("qid AS id", "answer AS text"), u.selectExpr("term"), ".")).count() == 0
+    assert V.knowledge_conflicts(a.limit(0), u).count() == 0 and V.knowledge_conflicts(a, u.limit(0)).count() == 0
