@@ -97,19 +97,24 @@ def rewrite_aliases(questions: DataFrame, aliases: DataFrame, column: str = "tex
     into parts of about part_chars characters, one step of the plan each, however many aliases there are.
     Null and empty aliases and canonicals are left out, null texts stay null.
     """
-    ordered_aliases = alias_order(aliases)
-    n, longest = ordered_aliases.agg(F.count(F.lit(1)), F.max(F.length("alias"))).first()
+    return _in_order(questions, alias_order(aliases), column, part_chars)
+
+
+def _in_order(questions: DataFrame, numbered: DataFrame, column: str, part_chars: int) -> DataFrame:
+    """rewrite_aliases() by a table of alias_order()."""
+    n, longest = numbered.agg(F.count(F.lit(1)), F.max(F.length("alias"))).first()
     each = max(1, part_chars // (longest or 1))
     rows = questions.withColumn(column, T.drop_controls(F.col(column)))
     for start in range(0, n, each):
-        rows = _rewritten(rows, column, ordered_aliases.where((F.col("n") >= start) & (F.col("n") < start + each)))
+        rows = _rewritten(rows, column, numbered.where((F.col("n") >= start) & (F.col("n") < start + each)))
     return rows.withColumn(column, T.compact_whitespace(F.col(column)))
 
 
 def find_terms(questions: DataFrame, terms: DataFrame, aliases: DataFrame) -> DataFrame:
     """(qid, term, ord): canonical terms inside rewritten questions, residual aliases first, then longest terms; aliases: alias, canonical."""
-    rows = rewrite_aliases(questions.select(F.col("qid").alias("id"), "text"), aliases)
-    alias_rows = alias_order(aliases).withColumnRenamed("alias", "term")
+    numbered = alias_order(aliases)
+    rows = _in_order(questions.select(F.col("qid").alias("id"), "text"), numbered, "text", AUTOMATON_CHARS)
+    alias_rows = numbered.withColumnRenamed("alias", "term")
     named = terms.select("term").distinct().join(small(alias_rows.select("term", "canonical")), "term", "left").select("term", F.coalesce("canonical", "term").alias("canonical"), F.struct(F.lit(1).alias("src"), (-F.length("term")).cast("long").alias("n"), F.col("term").alias("t")).alias("at"))
     every = alias_rows.select("term", "canonical", F.struct(F.lit(0).alias("src"), F.col("n"), F.col("term").alias("t")).alias("at")).unionByName(named)
     hits = containment(rows, every.select("term")).join(every, "term").groupBy("id", "canonical").agg(F.min("at").alias("at"))
