@@ -88,3 +88,10 @@ def test_media_without_heading_earns_each_title(spark):
     asked = spark.createDataFrame([(1, ["dogs"], [], [])], "qid int, terms array<string>, section_terms array<string>, titles array<string>")
     assert {r.id: r.score for r in R.media_search(asked, media).collect()} == {"m1": 3.0, "m2": 1.0}
     assert F.col("x") is not None
+
+
+def test_excerpts_of_questions_that_share_a_number(spark):
+    layers = spark.createDataFrame([(1, 0, "a"), (1, 1, "b")] * 2, "qid long, pos int, bucket string")
+    inventory = spark.createDataFrame([("a", "x", 1), ("a", "y", 2), ("b", "z", 1)], "bucket string, term string, ord int")
+    matched = spark.createDataFrame([(1, "x", 1, ["m"])], "qid long, term string, ord int, mechanisms array<string>")
+    assert [tuple(r) for r in V.verification_excerpts(layers, inventory, matched, 3).collect()] == [(1, "x, y, z", "x: m")]
