@@ -281,3 +281,22 @@ def test_conflicts_by_places_match_patterns(spark):
     places = K.occurrences(a.selectExpr("qid AS id", "answer AS text"), u.selectExpr("term"), ".", automaton_chars=3)
     assert places.exceptAll(K.occurrences(a.selectExpr("qid AS id", "answer AS text"), u.selectExpr("term"), ".")).count() == 0
     assert V.knowledge_conflicts(a.limit(0), u).count() == 0 and V.knowledge_conflicts(a, u.limit(0)).count() == 0
+
+
+def test_search_in_small_blocks_and_parts_keeps_ties(spark, monkeypatch):
+    from quillspark.operators import scoring
+
+    rng = random.Random(4)
+    words = [f"w{i}x" for i in range(30)]
+    sentence = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    sections = [(f"s{i}", i, f"title{i % 70}", sentence(5), rng.choice(["mechanism", "form"])) for i in range(120)]
+    questions = [(i, sentence(3)) for i in range(30)] + [(90, ""), (91, "absent")]
+    for name, value in (("QUESTIONS", 7), ("SECTIONS", 11), ("PART", 13), ("KEPT", 50)):
+        monkeypatch.setattr(scoring, name, value)
+    q, s = spark.createDataFrame(questions, "qid long, text string"), spark.createDataFrame(sections, "id string, ord long, title string, text string, layer string").repartition(5)
+    want = plain_search(questions, sections, {}, 4)
+    for listed in (1, 50):
+        got = {}
+        for r in R.hybrid_search(q, s, 4, listed=listed).collect():
+            got.setdefault(r.qid, []).append((r["rank"], r["id"], r.score))
+        assert {i: sorted(x) for i, x in got.items()} == {i: x for i, x in want.items() if x}
