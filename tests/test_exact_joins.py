@@ -300,3 +300,16 @@ def test_search_in_small_blocks_and_parts_keeps_ties(spark, monkeypatch):
         for r in R.hybrid_search(q, s, 4, listed=listed).collect():
             got.setdefault(r.qid, []).append((r["rank"], r["id"], r.score))
         assert {i: sorted(x) for i, x in got.items()} == {i: x for i, x in want.items() if x}
+
+
+def test_media_search_meets_media_once_for_like_questions(spark, monkeypatch):
+    asked, search = [], R._media_search
+    monkeypatch.setattr(R, "_media_search", lambda questions, *a: asked.append(questions.count()) or search(questions, *a))
+    rows = [(f"q{i}", ["a", "b"] if i % 2 else ["b", "a"], ["a"], ["h"]) for i in range(40)] + [("x", ["a"], [], []), ("none", None, None, None)]
+    questions = spark.createDataFrame(rows, "qid string, terms array<string>, section_terms array<string>, titles array<string>")
+    media = spark.createDataFrame([("m1", "h a", "b", ["a"]), ("m2", None, "b", ["b"]), ("m3", "z", "q", [])], "id string, heading string, caption string, terms array<string>")
+    got = {}
+    for r in R.media_search(questions, media, 2).collect():
+        got.setdefault(r.qid, []).append((r["rank"], r["id"], r.score))
+    assert asked == [3] and len(got) == 41 and sorted(got["x"]) == [(1, "m1", 5.0)]
+    assert all(sorted(got[f"q{i}"]) == [(1, "m1", 15.0), (2, "m2", 9.0)] for i in range(40))
