@@ -313,3 +313,27 @@ def test_media_search_meets_media_once_for_like_questions(spark, monkeypatch):
         got.setdefault(r.qid, []).append((r["rank"], r["id"], r.score))
     assert asked == [3] and len(got) == 41 and sorted(got["x"]) == [(1, "m1", 5.0)]
     assert all(sorted(got[f"q{i}"]) == [(1, "m1", 15.0), (2, "m2", 9.0)] for i in range(40))
+
+
+def test_vector_ranking_expands_no_pairs_and_keeps_ties(spark, monkeypatch):
+    from quillspark.operators import scoring
+
+    monkeypatch.setattr(scoring, "SECTIONS", 5)
+    rng = random.Random(6)
+    rows = [(i, [rng.choice([0.0, 0.5, 1.0]) for _ in range(4)]) for i in range(90)]
+    index = spark.createDataFrame(rows, "id long, embedding array<float>").repartition(3)
+    queries = index.where("id < 9").select(index["id"].alias("qid"), "embedding")
+    made = R.vector_top_k(queries, index, 4)
+    want = {}
+    for q, a in rows[:9]:
+        scores = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in rows)
+        want[q] = [(n + 1, i, -s) for n, (s, i) in enumerate(scores[:4])]
+    got = {}
+    for r in made.collect():
+        got.setdefault(r.qid, []).append((r["rank"], r["id"], r.score))
+    assert {q: sorted(x) for q, x in got.items()} == want
+    odd = index.unionByName(spark.createDataFrame([(900, None), (901, [1.0])], "id long, embedding array<float>"))
+    assert sorted(map(str, R.vector_top_k(queries, odd, 4).collect())) == sorted(map(str, made.collect()))
+    assert R.vector_top_k(queries, odd, 100).where("id >= 900 AND score IS NULL").count() == 18
+    plan = made._jdf.queryExecution().toString()
+    assert "Generate" not in plan and "NestedLoopJoin" not in plan
