@@ -271,6 +271,13 @@ def test_line_dedup_recall_of_scattered_edits_and_long_lists(spark):
     assert all(sum(ok) >= 0.9 * len(ok) and len(ok) >= 10 for ok in found.values())
 
 
+def test_line_keys_take_five_bytes_and_come_back(spark):
+    keys = [0, 1, (1 << 31) - 1, 1 << 31, (1 << 32) - 1, (1 << 40) - 1, 1 << 39, -1, -(1 << 63)]
+    rows = spark.createDataFrame([(7, keys), (8, [])], "id long, keys array<long>").select("id", F.struct(line_dedup._packed(F.col("keys")).alias("packed")).alias("first"))
+    assert rows.schema["first"].dataType["packed"].dataType.simpleString() == "struct<lows:array<int>,highs:array<tinyint>>"
+    assert [(r.id, r.key) for r in line_dedup._keyed(rows).collect()] == [(7, k & ((1 << 40) - 1)) for k in keys]
+
+
 def test_line_dedup_sizes_at_borders(spark):
     """One letter more or less where the number of allowed edits changes."""
     rows, rng = [], random.Random(5)
