@@ -337,3 +337,12 @@ def test_vector_ranking_expands_no_pairs_and_keeps_ties(spark, monkeypatch):
     assert R.vector_top_k(queries, odd, 100).where("id >= 900 AND score IS NULL").count() == 18
     plan = made._jdf.queryExecution().toString()
     assert "Generate" not in plan and "NestedLoopJoin" not in plan
+
+
+def test_matching_ratio_is_that_of_difflib(spark):
+    rng = random.Random(11)
+    for letters, most in (("ab", 30), ("abcdefgh ", 120), ("ab", 260), ("aé😀 ", 60)):
+        for _ in range(150):
+            a, b = ["".join(rng.choice(letters) for _ in range(rng.randrange(most))) for _ in range(2)]
+            b = rng.choice([b, a, a[3:] + b[:9], b + a[:20]])
+            assert T.matching_ratio(a, b) == difflib.SequenceMatcher(None, a, b).ratio()
