@@ -346,3 +346,18 @@ def test_matching_ratio_is_that_of_difflib(spark):
             a, b = ["".join(rng.choice(letters) for _ in range(rng.randrange(most))) for _ in range(2)]
             b = rng.choice([b, a, a[3:] + b[:9], b + a[:20]])
             assert T.matching_ratio(a, b) == difflib.SequenceMatcher(None, a, b).ratio()
+
+
+def test_jaccard_join_shuffles_no_right_set_for_a_small_left_table(spark):
+    rng = random.Random(5)
+    rows = lambda n: [(i, [rng.choice(["a", "b", "c", None, "d", "e", "f", "g"]) for _ in range(rng.randrange(9))] if i % 7 else None) for i in range(n)]
+    left, right = [spark.createDataFrame(rows(n), "id long, tokens array<string>") for n in (20, 60)]
+    joined = R.jaccard_join(left, right, 0.4)
+    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    got = sorted(map(tuple, joined.collect()))
+    try:
+        spark.conf.set("quillspark.broadcast.bytes", "0")
+        assert got == sorted(map(tuple, R.jaccard_join(left, right, 0.4).collect())) != []
+    finally:
+        spark.conf.unset("quillspark.broadcast.bytes")
+    assert R.jaccard_join(left.where("false"), right, 0.4).collect() == []
