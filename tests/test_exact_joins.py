@@ -361,3 +361,14 @@ def test_jaccard_join_shuffles_no_right_set_for_a_small_left_table(spark):
     finally:
         spark.conf.unset("quillspark.broadcast.bytes")
     assert R.jaccard_join(left.where("false"), right, 0.4).collect() == []
+
+
+def test_typo_windows_of_questions_are_not_shuffled_for_the_terms(spark):
+    texts = [(1, "tho cat"), (1, "tho"), (2, "the kat"), (2, "the")]
+    segments = spark.createDataFrame(texts, "qid long, segment string")
+    terms = spark.createDataFrame([("the",), ("cat",)], "term string")
+    found = spark.createDataFrame([(2, "cat")], "qid long, term string")
+    made = V.typo_candidates(segments, terms, found, "aeiu")
+    assert sorted(map(tuple, made.collect())) == [(1, "tho", "the")]
+    # windows meet the near ones by broadcast: what is shuffled has met a term
+    assert "BroadcastHashJoin [original" in made._jdf.queryExecution().executedPlan().toString()
