@@ -372,3 +372,11 @@ def test_typo_windows_of_questions_are_not_shuffled_for_the_terms(spark):
     assert sorted(map(tuple, made.collect())) == [(1, "tho", "the")]
     # windows meet the near ones by broadcast: what is shuffled has met a term
     assert "BroadcastHashJoin [original" in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_pairs_ratio_is_reckoned_once(spark):
+    pairs = spark.createDataFrame([(1, "ab c", "ab d"), (2, " ", "x"), (3, "abcd", None)], "i int, a string, b string")
+    for least, want in ((0.0, {1: 0.75, 2: 0.0, 3: 0.0}), (0.18, {1: 0.75}), (0.86, {})):
+        rows = T.text_similarity(pairs, "a", "b", "s", least).select("i", "s")
+        assert rows._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+        assert {r.i: r.s for r in rows.collect()} == want
