@@ -95,3 +95,30 @@ def test_excerpts_of_questions_that_share_a_number(spark):
     inventory = spark.createDataFrame([("a", "x", 1), ("a", "y", 2), ("b", "z", 1)], "bucket string, term string, ord int")
     matched = spark.createDataFrame([(1, "x", 1, ["m"])], "qid long, term string, ord int, mechanisms array<string>")
     assert [tuple(r) for r in V.verification_excerpts(layers, inventory, matched, 3).collect()] == [(1, "x, y, z", "x: m")]
+
+
+def test_terms_in_text_are_cut_in_the_tasks(spark):
+    sections = spark.createDataFrame([("a", "AB abc abcd x"), ("b", "abcd"), ("c", None), ("d", "zzz")], "id string, text string")
+    inventory = spark.createDataFrame([("m", "ab", 3), ("m", "abc", 2), ("m", "abcd", 1), ("p", "x", 1), ("p", "ABC", 2), (None, "d", 1)], "bucket string, term string, ord int")
+    want = {("a", "m", "abcd|abc"), ("a", "p", "x|ABC"), ("a", None, "d"), ("b", "m", "abcd|abc"), ("b", "p", "ABC"), ("b", None, "d")}
+    for chars in (1000, 3):
+        made = K.terms_in_text(sections, inventory, 2, chars)
+        assert {(r.id, r.bucket, "|".join(r.terms)) for r in made.collect()} == want
+    # no join stands behind the automaton, so no term of a text is shuffled by itself
+    assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_section_titles_equal_those_of_the_sections(spark):
+    docs = spark.createDataFrame([(1, "intro\n# A\nx\n\n# B\nz"), (2, "no heading\nat all"), (3, ""), (4, "# A"), (5, None)], "doc_id long, text string")
+    marked = G.mark_headings(G.read_lines(docs), [("", "^# ")])
+    want = {(r.sec > 0, r.title) for r in G.split_sections(marked).collect()}
+    assert {tuple(r) for r in G.section_titles(marked).collect()} == want
+    assert "array_join" not in G.section_titles(marked)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_hits_leave_a_task_in_bounded_batches(spark, monkeypatch):
+    texts = spark.createDataFrame([(i, "abc") for i in range(50)], "id int, text string").coalesce(1)
+    terms = spark.createDataFrame([("a",), ("b",), ("c",)], "term string")
+    monkeypatch.setattr(K, "HIT_ROWS", 10)
+    found = K.containment(texts, terms, small_rows=0)
+    assert sorted(map(tuple, found.collect())) == sorted((i, t) for i in range(50) for t in "abc")
