@@ -1,3 +1,4 @@
+import os
 import random
 import re
 from collections import defaultdict
@@ -278,6 +279,54 @@ def test_line_keys_take_five_bytes_and_come_back(spark):
     assert [(r.id, r.key) for r in line_dedup._keyed(rows).collect()] == [(7, k & ((1 << 40) - 1)) for k in keys]
 
 
+def test_simhash_is_the_majority_of_the_words(spark):
+    rng = random.Random(2)
+    most = (1 << line_dedup.DIGITS) - 1
+    rows = [[rng.randrange(-(1 << 63), 1 << 63) for _ in range(n)] for n in (1, 2, 3, 16, 30, most)] + [[-1] * most, [0] * most]
+    words = [F.coalesce(F.get("words", F.lit(i)), F.lit(0)) for i in range(most)]
+    got = spark.createDataFrame([(r,) for r in rows], "words array<long>").select("words", line_dedup.simhash(words, F.size("words")).alias("sim")).collect()
+    assert [r.sim for r in got] == [sum(1 << k for k in range(60) if sum(w >> k & 1 for w in r.words) > len(r.words) // 2) for r in got]
+
+
+def test_line_lists_go_once_they_have_met(spark, monkeypatch):
+    rng = random.Random(4)
+    new = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n))
+    passage = new(6)
+    rows = [(i, f"{new(20)} {passage} {new(20)}", "s") for i in range(40)]
+    rows += [(100, rows[0][1] + " more", "s")]
+    made, rest, write = [], [], line_dedup.materialize
+
+    def kept(df, label, *more):
+        out = write(df, label, *more)
+        made.append((label, out.scratch_path))
+        rest.extend([out.columns] if label == "line-rest" else [])
+        return out
+
+    monkeypatch.setattr(line_dedup, "materialize", kept)
+    assert [tuple(r) for r in line_dedup.duplicate_lines(docs_of(spark, rows)).collect()] == [(100, 0)]
+    left = {label for label, path in made if os.path.exists(path.removeprefix("file:"))}
+    assert rest and {"line-lists", "line-refined", "line-rest"} <= {label for label, _ in made} and not {"line-lists", "line-refined", "line-rest"} & left
+
+
+def test_chance_meetings_of_long_lines_are_not_verified(spark, monkeypatch):
+    """Lines that share two runs of common words and a third of their words stay apart by their SimHashes."""
+    rng = random.Random(6)
+    new = lambda n: ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n)]
+    common = new(12)
+    rows = [(i, " ".join([*common, *new(28)]), "s") for i in range(60)]
+    pairs, write = [], line_dedup.materialize
+
+    def kept(df, label, *more):
+        out = write(df, label, *more)
+        pairs.extend([out.count()] if label == "line-pairs" else [])
+        return out
+
+    monkeypatch.setattr(line_dedup, "materialize", kept)
+    assert line_dedup.duplicate_lines(docs_of(spark, rows)).collect() == []
+    print(pairs)
+    assert sum(pairs) < 60 * 59 // 2 // 8
+
+
 def test_line_dedup_sizes_at_borders(spark):
     """One letter more or less where the number of allowed edits changes."""
     rows, rng = [], random.Random(5)
