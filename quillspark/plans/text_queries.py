@@ -40,7 +40,9 @@ def p5_strip_heading_prefix(spark, sf_dir):
 
 
 def _titles(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.get(T.lines_array(F.col("text")), F.lit(0)).alias("title"))
+    # a text without lines has an empty title, a null text none
+    first = F.coalesce(F.get(T.lines_array(F.col("text")), F.lit(0)), F.when(F.col("text").isNotNull(), ""))
+    return table(spark, sf_dir, "documents").select("doc_id", first.alias("title"))
 
 
 _TITLES = "titles AS (SELECT doc_id, string_split_regex(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]')[1] AS title FROM documents)"
